@@ -1,0 +1,6 @@
+"""Every registered query and its oracle."""
+
+from slimlake.catalog import filters, joins, projections, sources  # noqa: F401
+from slimlake.catalog.registry import oracle_sql, queries
+
+__all__ = ["oracle_sql", "queries"]

@@ -30,7 +30,7 @@ def setting_of_line(line) -> Column:
 def last_setting(report) -> Column:
     """The verdict of a search report: its last usable line."""
     found = F.filter(
-        F.transform(F.split(col(report), "\n"), setting_of_line), lambda v: v.isNotNull()
+        F.transform(F.split(col(report), "\r?\n"), setting_of_line), lambda v: v.isNotNull()
     )
     return F.try_element_at(found, F.lit(-1))
 
@@ -38,7 +38,7 @@ def last_setting(report) -> Column:
 def hash_lines(dump) -> Column:
     """The hash column of a frame-hash dump, in order, without its header."""
     lines = F.filter(
-        F.split(col(dump), "\n"), lambda x: ~x.startswith("#") & (F.trim(x) != "")
+        F.split(col(dump), "\r?\n"), lambda x: ~x.startswith("#") & (F.trim(x) != "")
     )
     return F.array_join(
         F.transform(lines, lambda x: F.trim(F.substring_index(x, ",", -1))), "\n"

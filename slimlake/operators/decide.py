@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slimlake import constants as K
 from slimlake.functions import media, paths, sizes, sniff
-from slimlake.functions.columns import col, lookup
+from slimlake.functions.columns import col, lookup, once
 
 _EXTENSION_KIND = {ext: kind for kind, exts in K.KIND_EXTENSIONS.items() for ext in exts}
 _RATIO = {recipe: facts[0] for recipe, facts in K.RECIPES.items()}
@@ -140,7 +140,7 @@ def with_decision(
     named = df.withColumn("kind", kind_of("path"))
     if head is not None:
         named = named.withColumn("kind", confirmed_kind("kind", head))
-    judged = named.withColumn("verdict", verdict("kind", "size", limits, head, probe))
+    judged = once(named, "verdict", verdict("kind", "size", limits, head, probe))
     recipe, reason = split_verdict()
     return judged.withColumns({"recipe": recipe, "skip_reason": reason}).drop("verdict")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slimlake.functions.columns import col
+from slimlake.functions.columns import col, once
 from slimlake.schemas import RAW_PROBE, RAW_SCORES
 
 
@@ -57,7 +57,8 @@ def with_probe(df: DataFrame, json_col: str = "probe", out: str = "probe", stric
     """Parse probe JSON into ``out``; ``strict`` makes bad JSON an error, else null."""
     options = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
     raw = F.from_json(F.col(json_col), RAW_PROBE, options)
-    return df.withColumn("_raw_probe", raw).withColumn(out, probe_struct("_raw_probe")).drop("_raw_probe")
+    parsed = once(df, "_raw_probe", raw)
+    return once(parsed, out, probe_struct("_raw_probe")).drop("_raw_probe")
 
 
 def is_finite(score) -> Column:
