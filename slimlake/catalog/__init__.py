@@ -1,6 +1,8 @@
 """Every registered query and its oracle."""
 
-from slimlake.catalog import filters, joins, projections, sources  # noqa: F401
+from slimlake.catalog import (  # noqa: F401
+    aggregates, filters, joins, projections, sources, windows,
+)
 from slimlake.catalog.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
