@@ -1,7 +1,8 @@
 """Every registered query and its oracle."""
 
 from slimlake.catalog import (  # noqa: F401
-    aggregates, filters, joins, projections, sources, windows,
+    aggregates, filters, joins, projections, recompression, scalars, sources, streams,
+    transitions, windows,
 )
 from slimlake.catalog.registry import oracle_sql, queries
 
