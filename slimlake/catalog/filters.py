@@ -86,7 +86,7 @@ d AS (SELECT path, output_path FROM f_lines WHERE state = 'done' AND output_path
 SELECT wanted, path FROM d JOIN w ON path = wanted UNION SELECT wanted, path FROM d JOIN w ON output_path = wanted""",
 )
 def either_path_lookup(t: Tables):
-    lines = t.f_lines
+    lines = t.stored("f_lines")
     by_path = lines.where(F.col("size") % 7 == 0).select("path")
     by_output = lines.where(F.col("output_path").isNotNull() & (F.col("size") % 11 == 0))
     wanted = by_path.union(by_output.select("output_path"))

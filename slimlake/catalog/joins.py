@@ -64,7 +64,7 @@ literal_view(
 
 
 def verified(t: Tables):
-    lines = t.f_lines.withColumn("blake3", F.sha2("path", 256))
+    lines = t.stored("f_lines").withColumn("blake3", F.sha2("path", 256))
     size = F.col("size")
     listing = lines.where((F.col("state") == "done") & (size % 13 != 0)).select(
         F.col("output_path").alias("path"),
@@ -96,12 +96,7 @@ def destination_exists(t: Tables):
     planned = with_output_path(t).select("path", "size", "output_path")
     extra = planned.where(F.col("size") % 5 == 0).select(F.col("output_path").alias("path"))
     listing = t.f_docs.select("path").union(extra)
-    conflicts, safe = checks.destination_conflicts(planned, listing)
-    return (
-        conflicts.withColumn("conflict", F.lit(True))
-        .unionByName(safe.withColumn("conflict", F.lit(False)))
-        .select("path", "output_path", "conflict")
-    )
+    return checks.destination_conflicts(planned, listing).select("path", "output_path", "conflict")
 
 
 @query(
@@ -128,7 +123,7 @@ def confirm_write(t: Tables):
  CAST(CASE WHEN size % 6 = 0 THEN size % 64 END AS INTEGER) AS crf_hint FROM f_lines""",
 )
 def keyed_update(t: Tables):
-    lines = t.f_lines.withColumn("crf_hint", F.lit(None).cast("int")).withColumn(
+    lines = t.stored("f_lines").withColumn("crf_hint", F.lit(None).cast("int")).withColumn(
         "crf_hint_preset", F.lit(None).cast("int")
     )
     states = lines.where(F.col("size") % 9 == 0).select(
@@ -160,10 +155,7 @@ def resume_match(t: Tables):
         F.when(size % 5 == 0, size + 1).otherwise(size).alias("size"),
         F.when(size % 3 == 0, None).otherwise(time).alias("mod_time"),
     )
-    reusable, stale = checks.match_salvaged(claimed, salvaged)
-    return reusable.select("path", F.lit(True).alias("reusable")).union(
-        stale.select("path", F.lit(False).alias("reusable"))
-    )
+    return checks.match_salvaged(claimed, salvaged).select("path", "reusable")
 
 
 @query(

@@ -33,13 +33,12 @@ def fingerprint(t: Tables):
         return digests.fingerprint(df).select(F.struct(*words).alias(name))
 
     changed = rows.withColumn("l_tax", F.when(F.col("l_orderkey") == 1, F.col("l_tax") + 1).otherwise(F.col("l_tax")))
-    one = named(rows, "a")
-    for other, name in (
-        (rows.repartition(5, "l_partkey"), "b"),
-        (changed, "c"),
-        (rows.union(rows.where(F.col("l_orderkey") == 1)), "d"),
-    ):
-        one = one.crossJoin(F.broadcast(named(other, name)))  # one row each
+    others = {
+        "b": rows.repartition(5, "l_partkey"),
+        "c": changed,
+        "d": rows.union(rows.where(F.col("l_orderkey") == 1)),
+    }
+    one = named(rows, "a").withColumns({n: named(df, n).scalar() for n, df in others.items()})
     return one.select(
         "a.rows",
         (F.col("a") == F.col("b")).alias("order_free"),
@@ -65,7 +64,7 @@ def verified(t: Tables):
     source = t.lineitem
     recompress.rewrite(source, place, DENSE)
     dense = t.spark.read.parquet(place)
-    known = t.spark.createDataFrame([digests.fingerprint(source).first()])
+    known = digests.take_fingerprint(source)
     first = dense.orderBy(*dense.columns).limit(1)
     lost = dense.join(first, dense.columns, "left_anti")
     cents = F.when(F.col("l_orderkey") % 997 == 0, F.col("l_tax") + 0.01).otherwise(F.col("l_tax"))
@@ -122,7 +121,7 @@ def restored(t: Tables):
     """The kept version, made current again after its fingerprint was checked."""
     table = _table(t, t.lineitem)
     first = table.current().version
-    known = t.spark.createDataFrame([digests.fingerprint(table.read()).first()])
+    known = digests.take_fingerprint(table.read())
     table.write(t.lineitem.where(F.col("l_quantity") > 10), "a bad rewrite")
     recompress.restore(table, first, known)
     return table.read()

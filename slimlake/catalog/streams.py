@@ -15,10 +15,13 @@ from slimlake.sources.snapshots import SnapshotTable
 from slimlake.streaming import jobs
 
 
-def _events_as_files(t: Tables, rows, key: str, files: int) -> str:
-    """Rows as ``files`` Parquet files in key order, so that several triggers run."""
+def _as_files(t: Tables, rows, key: str, files: int) -> str:
+    """Rows written in ``files`` steps of rising key, so that several triggers run."""
     place = scratch(t.spark, "stream")
-    rows.repartitionByRange(files, key).write.parquet(place)
+    width = rows.agg((F.max(key) / files + 1).cast("long")).first()[0]
+    for step in range(files):
+        part = rows.where(F.floor(F.col(key) / width) == step)
+        part.coalesce(1).write.mode("append").parquet(place)
     return place
 
 
@@ -66,7 +69,7 @@ def throttled_progress(t: Tables):
     "SELECT path, max(seq) AS seq, arg_max(state, seq) AS state, arg_max(bytes, seq) AS bytes FROM f_jobs GROUP BY path",
 )
 def latest_counters(t: Tables):
-    place = _events_as_files(t, t.f_jobs.drop("ts"), "seq", 4)
+    place = _as_files(t, t.f_jobs.drop("ts"), "seq", 4)
     schema = t.f_jobs.drop("ts").schema
     stream = jobs.read_stream(t.spark, place, schema, per_trigger=1)
     table = SnapshotTable(t.spark, scratch(t.spark, "counters"))
@@ -85,7 +88,7 @@ def hand_out_once(t: Tables):
 
 @query("M6_progress_blocks", BLOCKS_SQL)
 def progress_blocks(t: Tables):
-    place = _events_as_files(t, progress_lines(t), "seq", 3)
+    place = _as_files(t, progress_lines(t), "seq", 3)
     stream = jobs.read_stream(t.spark, place, progress_lines(t).schema, per_trigger=1)
     table = SnapshotTable(t.spark, scratch(t.spark, "state"))
     out = scratch(t.spark, "blocks")

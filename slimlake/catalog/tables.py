@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slimlake.session import cut
+
 _DIALECT = {
     "octet_length(text)": "strlen(text)",
     "octet_length(html)": "strlen(html)",
@@ -265,6 +267,10 @@ class Tables:
             return self._finish(name, view.frame(getattr(self, view.source)))
         return self.spark.read.parquet(self.path(name))
 
+    def stored(self, name: str) -> DataFrame:
+        """A view written once, for queries that read it several times."""
+        return cut(getattr(self, name))
+
     def _finish(self, name: str, df: DataFrame) -> DataFrame:
         if name == "f_heads":
             head = F.concat(F.unhex("magic"), F.col("text").cast("binary"))

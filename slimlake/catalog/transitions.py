@@ -66,7 +66,7 @@ def record_skip(t: Tables):
 FROM (SELECT *, state IN ('claimed','failed') AND size % 2 = 0 AS c FROM f_lines)""",
 )
 def record_conversion(t: Tables):
-    rows = t.f_lines.withColumn("blake3", F.lit(None).cast("string"))
+    rows = t.stored("f_lines").withColumn("blake3", F.lit(None).cast("string"))
     results = rows.where(F.col("state").isin("claimed", "failed") & (F.col("size") % 2 == 0)).select(
         "path",
         F.concat("path", F.lit(".new")).alias("output_path"),
@@ -89,7 +89,7 @@ def record_conversion(t: Tables):
 def mark_reclaimed(t: Tables):
     after = ledger.mark_reclaimed(t.f_lines)
     again = reports.pending_reclaim(after).select(F.col("bytes").alias("still_held"))
-    return after.select("path", "reclaimed").crossJoin(F.broadcast(again))  # one row
+    return after.select("path", "reclaimed", again.scalar().alias("still_held"))
 
 
 @query(

@@ -62,17 +62,16 @@ def require_no_failures(summary: DataFrame) -> None:
         raise RuntimeError(f"{failed} conversion(s) did not verify")
 
 
-def destination_conflicts(planned: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split planned ``(path, output_path)`` rows into conflicts and safe ones.
+def destination_conflicts(planned: DataFrame, listing: DataFrame) -> DataFrame:
+    """Mark planned ``(path, output_path)`` rows whose destination already exists.
 
-    An in-place result replaces its own source and is never a conflict.
+    An in-place result replaces its own source and is never a conflict. One join
+    marks both kinds, so the plan behind ``planned`` runs once.
     """
     taken = listing.select(F.col("path").alias("output_path")).distinct()
-    in_place = F.col("path") == F.col("output_path")
-    moving = planned.where(~in_place)
-    conflicts = moving.join(taken, "output_path", "left_semi")
-    safe = moving.join(taken, "output_path", "left_anti").unionByName(planned.where(in_place))
-    return conflicts, safe
+    marked = planned.join(taken.withColumn("_taken", F.lit(True)), "output_path", "left")
+    conflict = F.col("_taken").isNotNull() & (F.col("path") != F.col("output_path"))
+    return marked.withColumn("conflict", conflict).drop("_taken")
 
 
 def confirm_written(intended: DataFrame, found: DataFrame) -> DataFrame:
@@ -95,18 +94,17 @@ def confirm_written(intended: DataFrame, found: DataFrame) -> DataFrame:
     return joined.withColumn("outcome", outcome).select("path", "outcome")
 
 
-def match_salvaged(claimed: DataFrame, salvaged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Earlier partial work that is still current, and the stale rest."""
-    same = ["path", "size", "mod_time"]
-    c, s = claimed.select(*same).alias("c"), salvaged.alias("s")
-    agrees = (
-        (F.col("c.path") == F.col("s.path"))
-        & (F.col("c.size") == F.col("s.size"))
-        & F.col("c.mod_time").eqNullSafe(F.col("s.mod_time"))
+def match_salvaged(claimed: DataFrame, salvaged: DataFrame) -> DataFrame:
+    """Mark earlier partial work as ``reusable`` if it is of the same file still."""
+    now = claimed.select(
+        "path", F.col("size").alias("_size"), F.col("mod_time").alias("_time"), F.lit(True).alias("_now")
+    )
+    same = F.col("_now") & (F.col("size") == F.col("_size")) & F.col("mod_time").eqNullSafe(F.col("_time"))
+    return (
+        salvaged.join(now, "path", "left")
+        .withColumn("reusable", F.coalesce(same, F.lit(False)))
+        .drop("_size", "_time", "_now")
     )
-    reusable = s.join(c, agrees, "left_semi")
-    stale = s.join(c, agrees, "left_anti")
-    return reusable, stale
 
 
 def parity(left: DataFrame, right: DataFrame, with_hash: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,22 +67,32 @@ def compare_frame_counts(before: DataFrame, after: DataFrame, item: list[str]) -
 # -- whole tables ------------------------------------------------------------
 
 
-def _comparable(field: T.StructField) -> list[Column]:
-    """Grouping keys under which two values are equal only if they are the same.
+_SIGNS = "_signs"
 
-    Maps have no grouping order, and grouping treats -0.0 as 0.0.
-    """
+
+def _comparable(field: T.StructField) -> Column:
+    """The value in a form that can be grouped: a map has no order of its own."""
     value = F.col(field.name)
     if isinstance(field.dataType, T.MapType):
-        return [F.array_sort(F.map_entries(value)).alias(field.name)]
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        negative_zero = F.when(value == 0, value.cast("string") == "-0.0")
-        return [value, F.coalesce(negative_zero, F.lit(False)).alias(f"_negzero_{field.name}")]
-    return [value]
+        return F.array_sort(F.map_entries(value)).alias(field.name)
+    return value
+
+
+def _flags(tests: list[Column]) -> list[Column]:
+    """Tests as bits of a few whole numbers."""
+    bits = [F.when(test, F.lit(1 << (i % 62)).cast("long")).otherwise(F.lit(0).cast("long")) for i, test in enumerate(tests)]
+    return [reduce(lambda a, b: a + b, bits[i : i + 62]) for i in range(0, len(bits), 62)]
 
 
 def _keys(df: DataFrame) -> list[Column]:
-    return [key for field in df.schema.fields for key in _comparable(field)]
+    """Keys under which two rows are equal only if they are the same.
+
+    Grouping and hashing take -0.0 for 0.0, so signs of zero are a key as well.
+    """
+    floating = [f for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    zeros = [(F.col(f.name) == 0) & (F.col(f.name).cast("string") == "-0.0") for f in floating]
+    signs = [flag.alias(f"{_SIGNS}{i}") for i, flag in enumerate(_flags(zeros))]
+    return [*[_comparable(f) for f in df.schema.fields], *signs]
 
 
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -97,7 +109,7 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     )
     counted = both.groupBy(*left.columns).agg(F.sum("_n").alias("surplus"))
     return counted.where(F.col("surplus") != 0).drop(
-        *[c for c in left.columns if c.startswith("_negzero_")]
+        *[c for c in left.columns if c.startswith(_SIGNS)]
     )
 
 
@@ -116,9 +128,7 @@ _WORD = 22
 
 def row_hash(df: DataFrame) -> Column:
     """64-bit hash of a row that tells nulls and signed zeros apart."""
-    keys = _keys(df)
-    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])
-    return F.xxhash64(*keys, nulls)
+    return F.xxhash64(*_keys(df), *_flags([F.col(c).isNull() for c in df.columns]))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -153,9 +163,9 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def same_fingerprint(a: DataFrame, b: DataFrame) -> bool:
-    """Both are one row, so this is two small reads."""
-    return a.first().asDict() == b.first().asDict()
+def take_fingerprint(df: DataFrame, strong: bool = False) -> dict[str, int]:
+    """The fingerprint as values, to keep after the source is gone."""
+    return (content_fingerprint(df) if strong else fingerprint(df)).first().asDict()
 
 
 def same_schema(a: DataFrame, b: DataFrame) -> bool:

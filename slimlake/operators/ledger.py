@@ -107,7 +107,7 @@ def sync_counts(ledger: DataFrame, listing: DataFrame, scope: Scope = EVERYTHING
     """How many rows a listing holds and how many it removes."""
     seen = listing.agg(F.count("*").alias("seen"))
     removed = stale_rows(ledger, listing, scope).agg(F.count("*").alias("removed"))
-    return seen.crossJoin(F.broadcast(removed))  # one row each
+    return seen.withColumn("removed", removed.scalar())
 
 
 # -- keyed updates -----------------------------------------------------------

@@ -23,6 +23,7 @@ from slimlake import constants as K
 from slimlake.functions import sizes
 from slimlake.operators import digests
 from slimlake.operators.ledger import is_reclaimable, newer_than
+from slimlake.session import spread
 from slimlake.sources.snapshots import SnapshotTable
 
 
@@ -71,7 +72,9 @@ def rewrite(df: DataFrame, path: str, setting: Setting) -> None:
     writer.parquet(path)
 
 
-def verify(before: DataFrame, after: DataFrame, known: DataFrame | None = None, strict: bool = True) -> str | None:
+def verify(
+    before: DataFrame, after: DataFrame, known: dict[str, int] | None = None, strict: bool = True
+) -> str | None:
     """The guarantee that holds between two tables; None when neither does.
 
     ``known`` is the fingerprint taken earlier. ``byte-exact`` means same schema
@@ -79,8 +82,8 @@ def verify(before: DataFrame, after: DataFrame, known: DataFrame | None = None,
     """
     if not digests.same_schema(before, after):
         return None
-    known = digests.fingerprint(before) if known is None else known
-    if not digests.same_fingerprint(known, digests.fingerprint(after)):
+    known = digests.take_fingerprint(before) if known is None else known
+    if known != digests.take_fingerprint(after):
         return None
     if not strict:
         return K.CONTENT_EXACT
@@ -98,10 +101,10 @@ def recompress(
     """Rewrite the current version of ``table`` if that proves safe and worthwhile."""
     started = time.monotonic()
     spark, before = table.spark, table.read()
-    held = stored_bytes(spark, f"{table.root}/{table.current().data}")
-    # The fingerprint is one row; taken before the rewrite, it is kept as values.
-    known = spark.createDataFrame([digests.fingerprint(before).first()])
-    staged = f"data/v={table.current().version + 1:08d}"
+    current = table.current()
+    held = stored_bytes(spark, f"{table.root}/{current.data}")
+    known = digests.take_fingerprint(before)
+    staged = table.staging_place()
     target = f"{table.root}/{staged}"
     rewrite(before, target, setting)
     after = spark.read.parquet(target)
@@ -124,10 +127,10 @@ def recompress(
     return done("converted", table.publish(staged, f"recompress {setting.label}"))
 
 
-def restore(table: SnapshotTable, version: int, known: DataFrame) -> int:
+def restore(table: SnapshotTable, version: int, known: dict[str, int]) -> int:
     """Make a kept version current again if it still has the recorded fingerprint."""
     kept = table.read(version)
-    if not digests.same_fingerprint(known, digests.fingerprint(kept)):
+    if known != digests.take_fingerprint(kept):
         raise RuntimeError(f"version {version} is not what was recorded")
     return table.restore(version)
 
@@ -139,7 +142,7 @@ def compare_settings(df: DataFrame, root: str, settings: list[Setting]) -> DataF
     df.write.mode("errorifexists").parquet(base)
     source = spark.read.parquet(base)
     held = stored_bytes(spark, base)
-    known = spark.createDataFrame([digests.fingerprint(source).first()])
+    known = digests.take_fingerprint(source)
     rows = []
     for i, setting in enumerate(settings):
         started = time.monotonic()
@@ -197,7 +200,7 @@ def payload_trial(df: DataFrame, payload: str, by: list[str], codecs: list[str])
         *by, F.col(payload).cast("binary").alias("_payload")
     )
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.select(*by).schema)
-    return narrow.mapInPandas(
+    return spread(narrow).mapInPandas(
         trial, f"{keys}, codec string, input_bytes long, output_bytes long, verified boolean"
     )
 
@@ -236,12 +239,8 @@ def with_measured_saving(files: DataFrame, ratios: DataFrame, by: list[str]) ->
 def purge_plan(ledger: DataFrame, days: int, as_of: Column) -> DataFrame:
     """Rows whose kept originals may go: all that wait, or none at all.
 
-    The decision is one row and is joined to every candidate.
+    The decision is one number, read as a scalar subquery.
     """
     waiting = ledger.where(is_reclaimable())
-    young = waiting.agg(F.count(F.when(newer_than(days, as_of), 1)).alias("_young"))
-    return (
-        waiting.crossJoin(F.broadcast(young))  # one row
-        .where(F.col("_young") == 0)
-        .drop("_young")
-    )
+    young = waiting.agg(F.count(F.when(newer_than(days, as_of), 1)))
+    return waiting.where(young.scalar() == 0)

@@ -157,14 +157,11 @@ def accounting(ledger: DataFrame, quota: DataFrame) -> DataFrame:
         F.count(F.when(held, 1)).alias("pending_files"),
         _zero(F.sum(F.when(held, F.col("size")))).alias("pending_bytes"),
     )
-    return (
-        books.crossJoin(F.broadcast(quota.select("free")))  # one row each
-        .select(
-            sizes.saturating_sub("_in", "_out").alias("logical_bytes"),
-            "pending_files",
-            "pending_bytes",
-            F.col("free").alias("remote_free"),
-        )
+    return books.select(
+        sizes.saturating_sub("_in", "_out").alias("logical_bytes"),
+        "pending_files",
+        "pending_bytes",
+        quota.select("free").scalar().alias("remote_free"),
     )
 
 

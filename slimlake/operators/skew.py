@@ -15,9 +15,8 @@ def join_by_weight(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: s
     than 1/1000 of all those rows number fewer than 1000, so they are broadcast;
     the rest are joined by shuffle, where no key is large.
     """
-    total = keyed.agg(F.sum(weight)).first()[0] or 0
-    limit = max(total // HOT_SHARE, 1)
-    hot = F.broadcast(keyed.where(F.col(weight) > limit))
+    limit = keyed.agg(F.sum(weight) / HOT_SHARE).scalar()
+    hot = keyed.where(F.col(weight) > limit)
     cold = keyed.where(F.col(weight) <= limit)
-    rest = rows.join(F.broadcast(keyed.where(F.col(weight) > limit).select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(rest.join(cold, keys))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))

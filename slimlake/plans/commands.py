@@ -90,7 +90,9 @@ def dry_run(ledger: DataFrame, attempts: DataFrame, pure: bool = False) -> DataF
 
 def report(ledger: DataFrame, quota: DataFrame) -> DataFrame:
     """Counts by state beside the three accounting figures: one row."""
-    return reports.counts_by_state(ledger).crossJoin(F.broadcast(reports.accounting(ledger, quota)))
+    figures = reports.accounting(ledger, quota).select(F.struct("*").alias("f")).scalar()
+    counts = reports.counts_by_state(ledger).withColumn("_figures", figures)
+    return counts.select("*", "_figures.*").drop("_figures")
 
 
 def dedup(ledger: DataFrame, scope: Scope = EVERYTHING) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slimlake.functions.columns import col, once
 from slimlake.schemas import RAW_PROBE, RAW_SCORES
+from slimlake.session import spread
 
 
 def _unsigned(text: Column) -> Column:
@@ -57,7 +58,7 @@ def with_probe(df: DataFrame, json_col: str = "probe", out: str = "probe", stric
     """Parse probe JSON into ``out``; ``strict`` makes bad JSON an error, else null."""
     options = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
     raw = F.from_json(F.col(json_col), RAW_PROBE, options)
-    parsed = once(df, "_raw_probe", raw)
+    parsed = once(spread(df), "_raw_probe", raw)
     return once(parsed, out, probe_struct("_raw_probe")).drop("_raw_probe")
 
 

@@ -61,9 +61,15 @@ class SnapshotTable:
     def has_tag(self, tag: str) -> bool:
         return not self.commits().where(F.col("tag") == tag).isEmpty()
 
-    def _publish(self, data: str, action: str, tag: str | None) -> int:
+    def _next(self) -> int:
         last = self.current()
-        version = last.version + 1 if last else 1
+        return last.version + 1 if last else 1
+
+    @staticmethod
+    def _place(version: int) -> str:
+        return f"data/v={version:08d}"
+
+    def _publish(self, version: int, data: str, action: str, tag: str | None) -> int:
         row = self.spark.createDataFrame([(version, data, action, tag)], _COMMIT)
         row.coalesce(1).write.mode("append").json(f"{self.root}/commits")
         return version
@@ -88,26 +94,26 @@ class SnapshotTable:
         """
         if tag is not None and self.has_tag(tag):
             return self.current().version
-        data = self.stage(df, **options)
-        return self._publish(data, action, tag)
-
-    def stage(self, df: DataFrame, **options) -> str:
-        """Write data without publishing it; returns its place in the table."""
-        last = self.current()
-        data = f"data/v={(last.version if last else 0) + 1:08d}"
+        version = self._next()
+        data = self._place(version)
         # A leftover of a job that died before publishing is replaced.
         df.write.mode("overwrite").options(**options).parquet(f"{self.root}/{data}")
-        return data
+        return self._publish(version, data, action, tag)
+
+    def staging_place(self) -> str:
+        """Where the next version's data belongs, relative to the table."""
+        return self._place(self._next())
 
     def publish(self, data: str, action: str, tag: str | None = None) -> int:
-        return self._publish(data, action, tag)
+        """Make data written to its staging place current."""
+        return self._publish(self._next(), data, action, tag)
 
     def restore(self, version: int) -> int:
         """Make an earlier version current again, as a new commit."""
         found = self.commits().where(F.col("version") == version).limit(1).collect()
         if not found:
             raise NothingCommitted(f"{self.root} version {version}")
-        return self._publish(found[0].data, f"restore of {version}", None)
+        return self._publish(self._next(), found[0].data, f"restore of {version}", None)
 
     def drop_data(self, versions: list[int]) -> None:
         """Remove the data of old versions for good; the current one is refused."""

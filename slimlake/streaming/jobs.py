@@ -118,9 +118,17 @@ def latest_counters(
     return _start(updates, checkpoint, "append", work, every)
 
 
-def hand_out_once(claims: DataFrame, delay: str) -> DataFrame:
-    """Drop repeated claims of a path that arrive within ``delay`` of each other."""
-    return claims.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["path"])
+def hand_out_once(claims: DataFrame, delay: str, salts: int = 64) -> DataFrame:
+    """Drop repeated claims of a path that arrive within ``delay`` of each other.
+
+    Repeats are dropped per path and salt first, so a path with most of the rows
+    is thinned in many tasks; at most ``salts`` rows of it reach the second step.
+    """
+    salted = claims.withWatermark("ts", delay).withColumn(
+        "_salt", F.pmod(F.xxhash64("path", "ts"), F.lit(salts))
+    )
+    thinned = salted.dropDuplicatesWithinWatermark(["path", "_salt"])
+    return thinned.dropDuplicatesWithinWatermark(["path"]).drop("_salt")
 
 
 def assemble_progress(
@@ -128,7 +136,8 @@ def assemble_progress(
 ) -> StreamingQuery:
     """Turn ``(job, seq, line)`` rows into one row per finished progress block.
 
-    A block may span batches: the values each job had reached are kept in
+    Batches must arrive in ``seq`` order. A block may span batches: the values
+    each job had reached are kept in
     ``table`` and put before the next batch's lines. Blocks of a batch go to their
     own folder, which a replay replaces.
     """
