@@ -51,7 +51,7 @@ def budget_admission(t: Tables):
     return admitted.select("path", "reservation_mib", "admission", "reserved_mib")
 
 
-_FREE, _RESERVE, _FLOOR = 130 * 10**9, 5 * 10**9, 60_000
+_FREE, _RESERVE, _FLOOR = 11 * 10**9, 5 * 10**9, 2_000
 _CAPACITY = -(-_FREE // 2**20) - -(-_RESERVE // 2**20)
 literal_view(
     "o_headroom",
