@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slimlake.functions.columns import col, once
 from slimlake.schemas import RAW_PROBE, RAW_SCORES
@@ -56,10 +57,16 @@ def probe_struct(raw) -> Column:
 
 def with_probe(df: DataFrame, json_col: str = "probe", out: str = "probe", strict: bool = True) -> DataFrame:
     """Parse probe JSON into ``out``; ``strict`` makes bad JSON an error, else null."""
-    options = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
-    raw = F.from_json(F.col(json_col), RAW_PROBE, options)
+    if strict:
+        raw = F.from_json(F.col(json_col), RAW_PROBE, {"mode": "FAILFAST"})
+    else:
+        schema = T.StructType([*RAW_PROBE.fields, T.StructField("_bad", T.StringType())])
+        raw = F.from_json(F.col(json_col), schema, {"columnNameOfCorruptRecord": "_bad"})
     parsed = once(spread(df), "_raw_probe", raw)
-    return once(parsed, out, probe_struct("_raw_probe")).drop("_raw_probe")
+    probe = probe_struct("_raw_probe")
+    if not strict:
+        probe = F.when(F.col("_raw_probe._bad").isNull(), probe)
+    return once(parsed, out, probe).drop("_raw_probe")
 
 
 def is_finite(score) -> Column:
