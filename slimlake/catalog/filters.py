@@ -128,11 +128,7 @@ def reason_in_list(t: Tables):
  AND skip_reason IN ('video_tier_disabled','too_large_for_budget','video_too_short')""",
 )
 def settings_reasons(t: Tables):
-    reopened = decide.reopened_by(allow_video=True, allow_av1=False)
-    table = decide.reasons_table(t.spark)
-    wanted = table.where(F.col("depends_on_settings") & F.col("skip_reason").isin(reopened))
-    skipped = t.f_ledger.where(F.col("state") == "skipped")
-    return skipped.join(wanted, "skip_reason", "left_semi").select("path", "skip_reason")
+    return ledger.awaiting_settings(t.f_ledger, allow_video=True, allow_av1=False).select("path", "skip_reason")
 
 
 @query(

@@ -82,19 +82,22 @@ def verified(t: Tables):
     return t.spark.createDataFrame(held, "fidelity string, copy string")
 
 
-@query("V4_gain_gate")
+@query(
+    "V4_gain_gate",
+    """SELECT s AS setting, o AS outcome, 'byte-exact' AS fidelity, s = 'zstd' AS smaller, (SELECT count(*) FROM documents) AS rows
+FROM (VALUES ('zstd', 'would_convert'), ('uncompressed', 'no_gain')) v(s, o)""",
+)
 def gain_gate(t: Tables):
     """Files before and after a dense and a wasteful rewrite, and what the gate says."""
     table = _table(t, t.documents)
     kept = recompress.recompress(table, Setting("zstd"), execute=False)
     worse = recompress.recompress(table, Setting("uncompressed"), execute=False)
-    rows = [(o.setting, o.outcome, o.fidelity, o.input_bytes, o.output_bytes) for o in (kept, worse)]
-    return t.spark.createDataFrame(
-        rows, "setting string, outcome string, fidelity string, input_bytes long, output_bytes long"
-    )
+    rows = [(o.setting, o.outcome, o.fidelity, o.output_bytes < o.input_bytes) for o in (kept, worse)]
+    told = t.spark.createDataFrame(rows, "setting string, outcome string, fidelity string, smaller boolean")
+    return told.withColumn("rows", table.read().agg(F.count("*")).scalar())
 
 
-@query("V5_confirm")
+@query("V5_confirm", "SELECT 'ok' AS outcome, true AS any_file, true AS whole")
 def confirm(t: Tables):
     """What was written, as the store lists it, against what the ledger would record."""
     from slimlake.operators.checks import confirm_written
@@ -103,7 +106,9 @@ def confirm(t: Tables):
     recompress.rewrite(t.documents, place, Setting("zstd"))
     meant = list_files(t.spark, place, with_hash=True).select("path", "size", F.col("blake3").alias("hash"))
     found = list_files(t.spark, place, with_hash=True).select("path", "size", F.upper("blake3").alias("hash"))
-    return confirm_written(meant, found)
+    outcomes = confirm_written(meant, found).groupBy("outcome").agg(F.count("*").alias("n"))
+    whole = meant.agg(F.count("*")).scalar()
+    return outcomes.select("outcome", (F.col("n") > 0).alias("any_file"), (F.col("n") == whole).alias("whole"))
 
 
 @query("V6_swap", "SELECT * FROM lineitem")
@@ -127,13 +132,18 @@ def restored(t: Tables):
     return table.read()
 
 
-@query("V8_settings_bench")
+@query(
+    "V8_settings_bench",
+    """SELECT * FROM (VALUES ('snappy', 'no_gain', 'content-exact'), ('zstd', 'kept', 'content-exact'),
+ ('gzip', 'kept', 'content-exact'), ('zstd by source,lang,doc_id', 'kept', 'content-exact')) v(setting, outcome, fidelity)""",
+)
 def settings_bench(t: Tables):
     settings = [
         Setting("snappy"), Setting("zstd"), Setting("gzip"),
         Setting("zstd", ("source", "lang", "doc_id")),
     ]
-    return recompress.compare_settings(t.documents, scratch(t.spark, "bench"), settings)
+    measured = recompress.compare_settings(t.documents, scratch(t.spark, "bench"), settings)
+    return measured.select("setting", "outcome", "fidelity")
 
 
 def _trials(t: Tables, by, codecs):

@@ -46,7 +46,7 @@ def shrunk(size, ratio) -> Column:
 
 def bytes_to_mib(size) -> Column:
     """Whole MiB, rounded up, held at the largest unsigned 32-bit value."""
-    whole = F.floor((col(size) + F.lit(K.MIB - 1)) / F.lit(K.MIB)).cast("long")
+    whole = F.shiftright(col(size).cast("long") + F.lit(K.MIB - 1), 20)
     return F.least(whole, F.lit(K.MAX_MIB).cast("long"))
 
 

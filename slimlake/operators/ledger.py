@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slimlake import constants as K
 from slimlake.functions.columns import col
 from slimlake.functions.text import valid_state
-from slimlake.operators.decide import with_projected_saving
+from slimlake.operators.decide import reasons_table, reopened_by, with_projected_saving
 from slimlake.operators.scope import EVERYTHING, Scope
 from slimlake.schemas import LEDGER, evolve
 
@@ -212,6 +212,20 @@ def skipped_for(reasons: list[str]) -> Column:
     return (F.col("state") == "skipped") & F.coalesce(F.col("skip_reason").isin(reasons), F.lit(False))
 
 
+def awaiting_settings(ledger: DataFrame, allow_video: bool, allow_av1: bool) -> DataFrame:
+    """Skipped rows that a run with these settings would look at again.
+
+    The reasons are a fixed table of 15 rows, hence the broadcast: each reason may
+    hold a large share of the ledger.
+    """
+    table = reasons_table(ledger.sparkSession)
+    wanted = table.where(
+        F.col("depends_on_settings") & F.col("skip_reason").isin(reopened_by(allow_video, allow_av1))
+    )
+    skipped = ledger.where(F.col("state") == "skipped")
+    return skipped.join(F.broadcast(wanted), "skip_reason", "left_semi")
+
+
 def reopen_skipped(ledger: DataFrame, reasons: list[str]) -> DataFrame:
     return _move(ledger, skipped_for(reasons), "pending", F.lit(None).cast("string"))
 

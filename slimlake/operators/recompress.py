@@ -23,7 +23,7 @@ from slimlake import constants as K
 from slimlake.functions import sizes
 from slimlake.operators import digests
 from slimlake.operators.ledger import is_reclaimable, newer_than
-from slimlake.session import spread
+from slimlake.operators.skew import broadcast_if_small
 from slimlake.sources.snapshots import SnapshotTable
 
 
@@ -171,12 +171,15 @@ _PACK = {
 _UNPACK = {"zlib": zlib.decompress, "bz2": bz2.decompress, "lzma": lzma.decompress}
 
 
-def payload_trial(df: DataFrame, payload: str, by: list[str], codecs: list[str]) -> DataFrame:
+def payload_trial(
+    df: DataFrame, payload: str, by: list[str], codecs: list[str], partitions: int | None = None
+) -> DataFrame:
     """Encode every payload with every codec and check that it decodes to itself.
 
     One row per payload and codec: the class columns, ``codec``, ``input_bytes``,
     ``output_bytes`` and ``verified``. Only the payload and the class columns go
-    to Python, and no payload comes back.
+    to Python, and no payload comes back. ``partitions`` deals a small input that
+    sits in few files out to more cores; a large one has splits enough.
     """
     codecs = list(codecs)
 
@@ -200,7 +203,9 @@ def payload_trial(df: DataFrame, payload: str, by: list[str], codecs: list[str])
         *by, F.col(payload).cast("binary").alias("_payload")
     )
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.select(*by).schema)
-    return spread(narrow).mapInPandas(
+    if partitions:
+        narrow = narrow.repartition(partitions)
+    return narrow.mapInPandas(
         trial, f"{keys}, codec string, input_bytes long, output_bytes long, verified boolean"
     )
 
@@ -228,7 +233,8 @@ def best_ratios(summary: DataFrame, by: list[str]) -> DataFrame:
 def with_measured_saving(files: DataFrame, ratios: DataFrame, by: list[str]) -> DataFrame:
     """Projected saving from measured ratios; no measurement projects none."""
     saving = sizes.saturating_sub("size", sizes.shrunk("size", "ratio"))
-    return files.join(ratios.select(*by, "ratio"), by, "left").withColumn(
+    measured = broadcast_if_small(ratios.select(*by, "ratio"))
+    return files.join(measured, by, "left").withColumn(
         "measured_saving", F.coalesce(saving, F.lit(0)).cast("long")
     )
 

@@ -139,4 +139,18 @@ def cleanup(ledger: DataFrame, free_before: int | None, free_after: int | None)
     )
 
 
-purge = recompress.purge_plan
+def purge(
+    ledger: DataFrame, days: int, as_of: Column, table: SnapshotTable | None = None,
+    versions: list[int] | None = None, execute: bool = False,
+) -> DataFrame:
+    """The ledger after releasing kept originals, if none of them is too young.
+
+    Without ``execute`` nothing is removed and the ledger is returned as it was;
+    ``recompress.purge_plan`` lists what would go. Removing is final.
+    """
+    state = reports.retention(ledger, days, as_of).first()
+    if not (execute and state["ready"]):
+        return ledger
+    if table is not None and versions:
+        table.drop_data(versions)
+    return books.mark_reclaimed(ledger)

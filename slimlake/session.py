@@ -58,22 +58,6 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores before costly work on each row.
-
-    An input of less than one full split per core may sit in a single file, and a
-    shuffle of it is cheap. A larger one has splits enough and is left alone.
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    split_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split_bytes else df
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder, so later reads agree and recover."""
     shared_dir(df.sparkSession)

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -77,10 +78,11 @@ def main() -> int:
 
     args = sys.argv[1:]
     sf = "0.01"
+    partitions = os.environ.get("COMPARE_PARTITIONS", "8")
     if args[:1] == ["--sf"]:
         sf, args = args[1], args[2:]
     folder = f"/root/testdata/sf{sf}"
-    spark, con = local_session(8), duck(folder)
+    spark, con = local_session(8, **{"spark.sql.shuffle.partitions": partitions}), duck(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name, fn in queries.items():

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from slimlake.operators import checks, claims, ledger, reports
+from slimlake.operators import checks, claims, ledger, recompress, reports
 from slimlake.operators.scope import Scope
 from slimlake.plans import commands
 from slimlake.schemas import LEDGER, evolve
@@ -146,8 +146,23 @@ def test_retention_is_all_or_nothing(spark):
     row = reports.retention(young, 30, at).first()
     assert (row.files, row.too_recent, row.ready) == (2, 1, False)
     assert not reports.retention(book(spark), 30, at).first().ready
-    assert commands.purge(young, 30, at).count() == 0
-    assert commands.purge(edge, 30, at).count() == 1
+    assert recompress.purge_plan(young, 30, at).count() == 0
+    assert recompress.purge_plan(edge, 30, at).count() == 1
+
+
+def test_purge_is_explicit_and_drops_kept_versions(spark, place):
+    at = F.lit(datetime(2024, 3, 31))
+    old = book(spark, dict(path="a", size=8, state="done", trashed_at=NOW))
+    table = SnapshotTable(spark, f"{place}/t")
+    table.write(spark.range(5))
+    table.write(spark.range(6))
+    assert rows(commands.purge(old, 30, at, table, [1])) == rows(old)
+    assert rows(commands.purge(old, 31, at, table, [1], execute=True)) == rows(old)
+    assert table.read(1).count() == 5
+    after = commands.purge(old, 30, at, table, [1], execute=True)
+    assert reports.pending_reclaim(after).first().bytes == 0
+    with pytest.raises(Exception, match="(?i)path"):
+        table.read(1).count()
 
 
 def test_claims_never_overlap(spark):
