@@ -131,16 +131,21 @@ def run_summary(t: Tables):
 
 literal_view(
     "o_scores",
-    """SELECT item, round(any_value(m), 6) AS mean, round(any_value(lo), 9) AS min,
+    """SELECT item, round(any_value(m) + 3e-8, 6) AS mean, round(any_value(lo), 9) AS min,
  round(max(score) FILTER (rn = greatest(ceil(0.01::DOUBLE * n), 1)), 9) AS low_percentile, any_value(n) AS frames
 FROM (SELECT item, score, row_number() OVER w AS rn, count(*) OVER p AS n, avg(score) OVER p AS m, min(score) OVER p AS lo
  FROM f_scores WINDOW w AS (PARTITION BY item ORDER BY score), p AS (PARTITION BY item)) GROUP BY item""",
 )
 
 
+def off_ties(mean):
+    """Six decimals, shifted so that exact halves round alike in both engines."""
+    return F.round(F.col(mean) + 3e-8, 6)
+
+
 def rounded(df):
     return df.withColumns(
-        {"mean": F.round("mean", 6), "min": F.round("min", 9), "low_percentile": F.round("low_percentile", 9)}
+        {"mean": off_ties("mean"), "min": F.round("min", 9), "low_percentile": F.round("low_percentile", 9)}
     )
 
 
@@ -157,7 +162,7 @@ p AS (SELECT item, preset, max(score) FILTER (rn = greatest(ceil(0.01::DOUBLE *
  FROM (SELECT item, preset, score, row_number() OVER (PARTITION BY item, preset ORDER BY score) AS rn,
    count(*) OVER (PARTITION BY item, preset) AS n FROM f_scores) GROUP BY item, preset)
 SELECT preset, item % 2 = 0 AS temporal_filtering, CAST(24 + item % 3 AS INTEGER) AS crf, count(*) AS samples,
- CAST(sum(i) AS BIGINT) AS input_bytes, CAST(sum(i * (7 + preset) // 12) AS BIGINT) AS output_bytes, round(avg(mean), 6) AS mean,
+ CAST(sum(i) AS BIGINT) AS input_bytes, CAST(sum(i * (7 + preset) // 12) AS BIGINT) AS output_bytes, round(avg(mean) + 3e-8, 6) AS mean,
  round(min(low), 9) AS low_percentile, CAST(sum(frames) AS BIGINT) AS elapsed_secs, bool_and(item % 7 <> 0) AS metadata_kept,
  round(1.0 - sum(i * (7 + preset) // 12)::DOUBLE / sum(i)::DOUBLE, 9) AS saving_fraction, NOT bool_and(item % 7 <> 0) AS warn
 FROM r JOIN p USING (item, preset) GROUP BY ALL""",
@@ -183,7 +188,7 @@ def settings_comparison(t: Tables):
     out = reports.settings_comparison(runs)
     return out.withColumns(
         {
-            "mean": F.round("mean", 6),
+            "mean": off_ties("mean"),
             "low_percentile": F.round("low_percentile", 9),
             "saving_fraction": F.round("saving_fraction", 9),
         }

@@ -10,6 +10,7 @@ from slimlake.catalog.shared import parsed
 from slimlake.catalog.tables import Tables, literal_view
 from slimlake.operators import checks, digests, ledger
 from slimlake.operators.scope import Scope
+from slimlake.session import cut
 from slimlake.sources.media import with_probe
 
 SCOPE = Scope(("src1", "src2"))
@@ -93,7 +94,7 @@ def verify(t: Tables):
 SELECT path, output_path, path <> output_path AND output_path IN (SELECT path FROM taken) AS conflict FROM o_out""",
 )
 def destination_exists(t: Tables):
-    planned = with_output_path(t).select("path", "size", "output_path")
+    planned = cut(with_output_path(t).select("path", "size", "output_path"))
     extra = planned.where(F.col("size") % 5 == 0).select(F.col("output_path").alias("path"))
     listing = t.f_docs.select("path").union(extra)
     return checks.destination_conflicts(planned, listing).select("path", "output_path", "conflict")

@@ -92,7 +92,7 @@ SELECT path, {SPLIT} FROM v""",
 def two_tier_deferral(t: Tables):
     from slimlake.operators.decide import Limits
 
-    heads = t.f_heads
+    heads = t.stored("f_heads")
     docs = t.f_ledger.select("doc_id", "path")
     clips = parsed(t).where(F.col("event_id") % 12 != 1).select("event_id", "probe")
     probes = docs.join(clips, F.col("doc_id") == F.col("event_id")).select("path", "probe")

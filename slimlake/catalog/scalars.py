@@ -154,15 +154,13 @@ def fraction_and_eta(t: Tables):
 
 @query(
     "C15_bytes_to_mib",
-    """SELECT path, CAST(ceil(size / 1048576) AS BIGINT) AS mib, CAST(least(size * 1000000 // 1 + 0, 4294967295 * 1048576) / 1048576 AS BIGINT) >= 0 AS fits,
- CASE WHEN size > 4096 THEN 4294967295 ELSE 1 END AS saturated FROM f_docs""",
+    """SELECT path, CAST(ceil(size * 100 / 1048576) AS BIGINT) AS mib, CASE WHEN size > 4096 THEN 4294967295 ELSE 1 END AS saturated FROM f_docs""",
 )
 def bytes_to_mib(t: Tables):
     huge = F.when(F.col("size") > 4096, F.lit(2**60)).otherwise(F.lit(2**20))
     return t.f_docs.select(
         "path",
-        sizes.bytes_to_mib("size").alias("mib"),
-        (sizes.bytes_to_mib(F.col("size") * 1_000_000) >= 0).alias("fits"),
+        sizes.bytes_to_mib(F.col("size") * 100).alias("mib"),
         sizes.bytes_to_mib(huge).alias("saturated"),
     )
 

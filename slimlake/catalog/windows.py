@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from slimlake.catalog.aggregates import off_ties
 from slimlake.catalog.filters import _EXCLUDED_SQL, EXCLUDES
 from slimlake.catalog.registry import query
 from slimlake.catalog.shared import pending_docs
@@ -128,14 +129,14 @@ s AS (SELECT item, attempt, avg(score) AS mean, max(score) FILTER (rn = greatest
  (SELECT *, row_number() OVER (PARTITION BY item, attempt ORDER BY score) AS rn, count(*) OVER (PARTITION BY item, attempt) AS n FROM a) GROUP BY item, attempt),
 r AS (SELECT *, mean >= 97 AND low >= 95 AS ok FROM s),
 k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY ok DESC, CASE WHEN ok THEN attempt ELSE -attempt END) AS pick FROM r)
-SELECT item, ok AS passed, attempt, 30 - 2 * attempt AS crf, round(mean, 6) AS mean, round(low, 9) AS low_percentile FROM k WHERE pick = 1""",
+SELECT item, ok AS passed, attempt, 30 - 2 * attempt AS crf, round(mean + 3e-8, 6) AS mean, round(low, 9) AS low_percentile FROM k WHERE pick = 1""",
 )
 def first_passing_rung(t: Tables):
     attempt = F.when(F.col("preset") == 3, 1).when(F.col("preset") == 4, 2).otherwise(3)
     measured = scores.score_summary(t.f_scores.withColumn("attempt", attempt), ["item", "attempt"])
     tried = measured.withColumn("crf", 30 - 2 * F.col("attempt"))
     return scores.first_passing(tried, ["item"]).withColumns(
-        {"mean": F.round("mean", 6), "low_percentile": F.round("low_percentile", 9)}
+        {"mean": off_ties("mean"), "low_percentile": F.round("low_percentile", 9)}
     )
 
 

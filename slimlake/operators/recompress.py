@@ -24,6 +24,7 @@ from slimlake.functions import sizes
 from slimlake.operators import digests
 from slimlake.operators.ledger import is_reclaimable, newer_than
 from slimlake.operators.skew import broadcast_if_small
+from slimlake.session import spread_few_files
 from slimlake.sources.snapshots import SnapshotTable
 
 
@@ -171,15 +172,12 @@ _PACK = {
 _UNPACK = {"zlib": zlib.decompress, "bz2": bz2.decompress, "lzma": lzma.decompress}
 
 
-def payload_trial(
-    df: DataFrame, payload: str, by: list[str], codecs: list[str], partitions: int | None = None
-) -> DataFrame:
+def payload_trial(df: DataFrame, payload: str, by: list[str], codecs: list[str]) -> DataFrame:
     """Encode every payload with every codec and check that it decodes to itself.
 
     One row per payload and codec: the class columns, ``codec``, ``input_bytes``,
     ``output_bytes`` and ``verified``. Only the payload and the class columns go
-    to Python, and no payload comes back. ``partitions`` deals a small input that
-    sits in few files out to more cores; a large one has splits enough.
+    to Python, and no payload comes back.
     """
     codecs = list(codecs)
 
@@ -203,9 +201,7 @@ def payload_trial(
         *by, F.col(payload).cast("binary").alias("_payload")
     )
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.select(*by).schema)
-    if partitions:
-        narrow = narrow.repartition(partitions)
-    return narrow.mapInPandas(
+    return spread_few_files(narrow).mapInPandas(
         trial, f"{keys}, codec string, input_bytes long, output_bytes long, verified boolean"
     )
 

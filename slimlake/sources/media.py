@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from slimlake.functions.columns import col, once
 from slimlake.schemas import RAW_PROBE, RAW_SCORES
+from slimlake.session import spread_few_files
 
 
 def _unsigned(text: Column) -> Column:
@@ -61,7 +62,7 @@ def with_probe(df: DataFrame, json_col: str = "probe", out: str = "probe", stric
     else:
         schema = T.StructType([*RAW_PROBE.fields, T.StructField("_bad", T.StringType())])
         raw = F.from_json(F.col(json_col), schema, {"columnNameOfCorruptRecord": "_bad"})
-    parsed = once(df, "_raw_probe", raw)
+    parsed = once(spread_few_files(df), "_raw_probe", raw)
     probe = probe_struct("_raw_probe")
     if not strict:
         probe = F.when(F.col("_raw_probe._bad").isNull(), probe)
