@@ -1,4 +1,4 @@
-"""Inventory analytics and verified recompression for large stores, on Spark.
+"""Inventory analytics and proven, reversible rewriting for large stores, on Spark.
 
 Layout
 ------

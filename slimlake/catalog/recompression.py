@@ -1,4 +1,4 @@
-"""V: verified recompression of tables and payload columns."""
+"""V: proven rewriting of tables and payload columns."""
 
 from __future__ import annotations
 

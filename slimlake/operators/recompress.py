@@ -1,4 +1,4 @@
-"""Verified recompression: rewrite, prove, keep only a real gain, swap, restore.
+"""Rewriting tables denser: rewrite, prove, keep only a real gain, swap, restore.
 
 The subject is a Parquet table (``SnapshotTable``) or a payload column. The order
 never changes: fingerprint, rewrite to the side, verify, gain gate, confirm, and

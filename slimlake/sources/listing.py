@@ -48,15 +48,17 @@ def read_listing_json(
 def list_files(spark: SparkSession, root: str, scope: str = "", with_hash: bool = False) -> DataFrame:
     """A recursive listing of ``root``; contents are read only when hashed.
 
-    ``path`` is relative to ``root``. Any store Spark can open will do.
+    ``path`` is relative to ``root``, which must be absolute. Any store Spark can
+    open will do.
     """
     target = f"{root.rstrip('/')}/{scope.strip('/')}".rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(target)
-    base = root.rstrip("/").split(":", 1)[-1]
-    base = "/" + base.lstrip("/") if base.startswith("/") else base
-    relative = F.regexp_replace(F.col("path"), r"\A[a-zA-Z0-9+.-]+:/*(?=/)", "")
+    # Listed paths carry a scheme, and the root may spell it with more slashes.
+    base = "/" + root.split(":", 1)[-1].strip("/")
+    plain = F.regexp_replace(F.col("path"), r"\A[a-zA-Z0-9+.-]+:/*(?=/)", "")
+    below = F.substr(plain, F.lit(len(base) + 1))
     rows = files.select(
-        paths.normalize(F.replace(relative, F.lit(base), F.lit(""))).alias("path"),
+        paths.normalize(below).alias("path"),
         F.col("length").alias("size"),
         F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("mod_time"),
         "content",

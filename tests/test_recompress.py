@@ -212,6 +212,11 @@ def test_direct_listing(spark, place):
     assert "content" not in got._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
     with pytest.raises(PySparkException):
         listing.list_files(spark, f"{place}/absent").collect()
+    os.makedirs(f"{place}/root{place}")
+    with open(f"{place}/root{place}/deep.txt", "wb") as out:
+        out.write(b"x")
+    for root in (f"{place}/root/", f"file://{place}/root", f"file:{place}/root"):
+        assert (f"{place[1:]}/deep.txt", 1) in rows(listing.list_files(spark, root).select("path", "size"))
 
 
 def test_probe_json_edges(spark):
