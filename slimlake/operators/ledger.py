@@ -44,6 +44,9 @@ def reconcile(
     their state, unless their size changed, which sends them back to ``pending``.
     Rows in scope that are not listed and not ``done`` are dropped. A ``done``
     row that was rewritten in place is compared with the size it was given.
+
+    Only rows in scope are joined; the rest of the ledger passes by without a
+    shuffle. A listing row outside ``scope`` is therefore an error.
     """
     seen_at = F.lit(None).cast("timestamp") if seen_at is None else seen_at
     fresh = listing if unique else latest_per_path(listing)
@@ -51,7 +54,14 @@ def reconcile(
         if name not in fresh.columns:
             fresh = fresh.withColumn(name, F.lit(None).cast("string"))
     fresh = with_projected_saving(fresh.select("path", "size", "mod_time", "blake3"))
-    old, new = evolve(ledger).alias("o"), fresh.withColumn("_listed", F.lit(True)).alias("n")
+    whole = evolve(ledger).select(*LEDGER.names)
+    inside = whole
+    if scope.prefixes:
+        inside = whole.where(scope.contains("path"))
+        stray = F.raise_error(F.concat(F.lit("listed outside the scope: "), F.col("path")))
+        in_scope = F.when(scope.contains("path"), F.col("path")).otherwise(stray.cast("string"))
+        fresh = fresh.withColumn("path", in_scope)
+    old, new = inside.alias("o"), fresh.withColumn("_listed", F.lit(True)).alias("n")
     both = old.join(new, F.col("o.path") == F.col("n.path"), "full_outer")
 
     listed = F.col("n._listed").isNotNull()
@@ -92,9 +102,11 @@ def reconcile(
         listed.alias("_listed"),
     )
     if sweep:
-        stale = ~F.col("_listed") & scope.contains("path") & (F.col("state") != "done")
-        merged = merged.where(~stale)
-    return merged.drop("_listed")
+        merged = merged.where(F.col("_listed") | (F.col("state") == "done"))
+    merged = merged.drop("_listed")
+    if scope.prefixes:
+        merged = merged.unionByName(whole.where(~scope.contains("path")))
+    return merged
 
 
 def stale_rows(ledger: DataFrame, listing: DataFrame, scope: Scope = EVERYTHING) -> DataFrame:
@@ -118,6 +130,19 @@ def unknown_updates(ledger: DataFrame, updates: DataFrame) -> DataFrame:
     return updates.select("path").join(ledger.select("path"), "path", "left_anti")
 
 
+def _all_known(ledger: DataFrame, updates: DataFrame) -> DataFrame:
+    """The updates, failing on a path the ledger lacks.
+
+    The ledger is always the left side here and in the update itself, so that a
+    small set of updates can be broadcast and the ledger stays where it is.
+    """
+    known = ledger.select("path").join(updates.select("path"), "path", "left_semi")
+    marked = updates.join(known.withColumn("_known", F.lit(True)), "path", "left")
+    refused = F.raise_error(F.concat(F.lit("no ledger row for "), F.col("path"))).cast("string")
+    checked = F.when(F.col("_known").isNotNull(), F.col("path")).otherwise(refused)
+    return marked.withColumn("path", checked).drop("_known")
+
+
 def update_by_path(
     ledger: DataFrame, updates: DataFrame, columns: list[str], unknown: str = "error"
 ) -> DataFrame:
@@ -126,15 +151,9 @@ def update_by_path(
     ``unknown="error"`` fails on a path the ledger lacks; ``"ignore"`` drops it.
     """
     fresh = updates.select("path", *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
-    if unknown == "ignore":
-        joined = ledger.join(fresh, "path", "left")
-    else:
-        # One join both updates and checks: a row without an old side is an error.
-        joined = ledger.withColumn("_known", F.lit(True)).join(fresh, "path", "full_outer")
-        refuse = F.raise_error(F.concat(F.lit("no ledger row for "), F.col("path"))).cast("string")
-        joined = joined.withColumn(
-            "path", F.when(F.col("_known").isNotNull(), F.col("path")).otherwise(refuse)
-        )
+    if unknown == "error":
+        fresh = _all_known(ledger, fresh)
+    joined = ledger.join(fresh, "path", "left")
     hit = F.col("_hit").isNotNull()
     return joined.select(
         *[

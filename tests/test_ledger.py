@@ -73,6 +73,20 @@ def test_sweep_is_scoped_by_segment_and_case(spark):
     assert (counts.seen, counts.removed) == (1, 1)
 
 
+def test_a_listing_row_outside_its_scope_is_an_error(spark):
+    with pytest.raises(PySparkException, match="listed outside the scope: Music/a"):
+        ledger.reconcile(book(spark), listing(spark, ("Music/a", 1)), Scope(("Photos",))).collect()
+
+
+def test_rows_out_of_scope_are_not_shuffled(spark, place):
+    book(spark, *[dict(path=f"{d}/{i}", size=1, state="pending") for d in "ab" for i in range(9)]).write.parquet(f"{place}/l")
+    merged = ledger.reconcile(spark.read.parquet(f"{place}/l"), listing(spark, ("a/1", 1)), Scope(("a",)))
+    assert merged.count() == 10
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    outside = plan[plan.index("Union") :].split("\n")
+    assert sum("Exchange" in line for line in outside) == 2  # the two sides of the join
+
+
 def test_hash_options(spark):
     old = book(spark, dict(path="a", size=1, blake3="known", state="skipped"), dict(path="b", size=1, blake3="known", state="skipped"))
     plain = spark.createDataFrame([("a", 1), ("b", 2)], "path string, size long")
