@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slimlake.session import scratch
@@ -38,3 +38,8 @@ def count_words(text: str | Column = "text") -> Column:
     """Number of words of the text; 0 for null."""
     value = F.col(text) if isinstance(text, str) else text
     return F.coalesce(F.regexp_count(value, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Limit what Spark sends to Python at once by bytes, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slimlake.llm import mixing, sharding, url_filters
+from slimlake.llm import decontaminate, line_rules, mixing, sharding, substring_dedup, url_filters
 from slimlake.session import prepare
 
 URL_RULES = [
@@ -21,6 +21,101 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = line_rules.clean_lines(_read(spark, folder, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "n_lines", "n_bad_lines", "bad_chars",
+    )
+
+
+OP1_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS no, doc_id, text,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words,
+         coalesce(string_split(text, chr(10)), []) AS lines
+  FROM documents
+), placed AS (
+  SELECT no, unnest(words) AS a, generate_subscripts(words, 1) AS pos FROM docs
+), windows AS (
+  SELECT no, pos, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c FROM placed WINDOW w AS (PARTITION BY no ORDER BY pos)
+), seen AS (
+  SELECT no, pos, c IS NOT NULL AND count(*) OVER (PARTITION BY no, a, b, c) > 1 AS twice FROM windows
+), covered AS (
+  SELECT no, bool_or(twice) OVER (PARTITION BY no ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM seen
+), repeats AS (
+  SELECT no, count(*) FILTER (hit) AS n_repeat_words FROM covered GROUP BY no
+), each_line AS (
+  SELECT no, unnest(lines) AS line FROM docs
+), counted AS (
+  SELECT no, line, len(line) AS n, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+         len(regexp_extract_all(line, '[|»›•·→]')) AS seps, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+         len(regexp_extract_all(line, '\p{Lu}')) AS capitals, len(regexp_extract_all(line, '\p{Ll}')) AS small
+  FROM each_line
+), judged AS (
+  SELECT *, (seps >= 3 AND seps * 6 >= words) OR symbols * 20 > n OR (words >= 2 AND capitals > small)
+         OR regexp_matches(lower(line), 'BOILERPLATE')
+         OR NOT regexp_matches(line, '[.!?…:;,)\]\"''”’»]\s*$') AS bad
+  FROM counted WHERE words > 0
+), sums AS (
+  SELECT no, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+         count(*) FILTER (bad) AS n_bad_lines, sum(n)::BIGINT AS line_chars, coalesce(sum(n) FILTER (bad), 0)::BIGINT AS bad_chars
+  FROM judged GROUP BY no
+), joined AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, len(array_to_string(words, ''))::BIGINT AS word_chars,
+         coalesce(len(regexp_extract_all(text, '[#*$%&|<>]')), 0)::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_bad_lines, 0)::BIGINT AS n_bad_lines,
+         coalesce(bad_chars, 0)::BIGINT AS bad_chars, coalesce(line_chars, 0)::BIGINT AS line_chars
+  FROM docs LEFT JOIN repeats USING (no) LEFT JOIN sums USING (no)
+), based AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM joined
+)
+SELECT * EXCLUDE (line_chars), NOT base_failed AND bad_chars <= 0.3::DOUBLE * line_chars AS kept FROM based
+""".replace("BOILERPLATE", "|".join(line_rules.BOILERPLATE))
+
+
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS no, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), sized AS (
+  SELECT *, least(len(words), 10) AS n FROM items WHERE len(words) > 0
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(words[i : i + n - 1], ' ') AS w
+  FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM sized)
+), placed AS (
+  SELECT no, n, i, array_to_string(words[i : i + n - 1], ' ') AS w
+  FROM (SELECT no, words, n, unnest(range(1, len(words) - n + 2)) AS i
+        FROM docs, (SELECT DISTINCT n FROM sized) WHERE len(words) >= n)
+), hits AS (
+  SELECT no, item_id, i, n FROM placed JOIN windows USING (n, w)
+), covered AS (
+  SELECT no, count(DISTINCT pos) AS n_hit FROM (SELECT no, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY no
+), named AS (
+  SELECT no, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT no, item_id::VARCHAR AS id FROM hits) GROUP BY no
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered USING (no) LEFT JOIN named USING (no)
+"""
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixing.mix(_read(spark, folder, "documents"))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))
@@ -67,6 +162,34 @@ FROM picked, range(picked.n)
 """
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(_read(spark, folder, "documents"), form="sha256")
+    return rows.withColumnRenamed("kept", "kept_sha256")
+
+
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS no, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words
+  FROM documents
+), windows AS (
+  SELECT no, doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS w
+  FROM (SELECT *, unnest(range(1, len(words) - 48)) AS i FROM docs WHERE len(words) >= 50)
+), firsts AS (
+  SELECT w, min(doc_id) AS first_id FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT no, unnest(range(i, i + 50)) AS pos FROM windows JOIN firsts USING (w) WHERE doc_id > first_id
+), counted AS (
+  SELECT no, count(*) AS n, list(pos) AS positions FROM gone GROUP BY no
+), placed AS (
+  SELECT no, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs
+), stay AS (
+  SELECT no, string_agg(word, ' ' ORDER BY pos) AS body FROM placed ANTI JOIN gone USING (no, pos) GROUP BY no
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM docs LEFT JOIN counted USING (no) LEFT JOIN stay USING (no)
+"""
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.shard_rows(_read(spark, folder, "documents"), 16)
     return rows.select(
@@ -102,9 +225,12 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parsed LE
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
 }
 
-ORACLES = {"op4_mixing": OP4_SQL, "op8_url_filters": OP8_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_url_filters": OP8_SQL}
