@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slimlake.llm import decontaminate, line_rules, mixing, sharding, substring_dedup, url_filters
+from slimlake.llm import (
+    decontaminate, line_rules, mixing, near_duplicates, sharding, substring_dedup, url_filters,
+)
 from slimlake.session import prepare
 
 URL_RULES = [
@@ -190,6 +192,10 @@ FROM docs LEFT JOIN counted USING (no) LEFT JOIN stay USING (no)
 """
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_read(spark, folder, "documents"))
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.shard_rows(_read(spark, folder, "documents"), 16)
     return rows.select(
@@ -229,6 +235,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
 }
