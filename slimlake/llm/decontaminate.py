@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slimlake.llm.common import bounded_batches, kept
+from slimlake.llm.common import bounded_batches, kept, text_key
 from slimlake.llm.lanes import LOWER, PLAIN, Words, pieces, signed, text_bytes
 
-_FOUND = "row bigint, id bigint, n_words bigint, fp bigint, at bigint, near binary"
+_FOUND = "row bigint, id bigint, digest string, n_words bigint, fp bigint, at bigint, near binary"
 
 
 def winnowed(words: Words, window: int, gram: int) -> np.ndarray:
@@ -74,10 +74,11 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(flat), [None, offsets, pa.py_buffer(flat.tobytes())])
 
 
-def _table(row, ident, n_words, fp, at, near) -> pa.RecordBatch:
-    columns = [row, ident, n_words, fp, at, near]
-    names = ["row", "id", "n_words", "fp", "at", "near"]
-    kinds = [pa.int64()] * 5 + [pa.binary()]
+def _table(row, ident, n_words, fp, at, near, digest=None) -> pa.RecordBatch:
+    digest = pa.nulls(len(row), pa.string()) if digest is None else digest
+    columns = [row, ident, digest, n_words, fp, at, near]
+    names = ["row", "id", "digest", "n_words", "fp", "at", "near"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=k) for c, k in zip(columns, kinds)], names
     )
@@ -95,7 +96,7 @@ def _finder(window: int, gram: int, short: list[int], bits, bit_count: int):
                 none = pa.nulls(piece.num_rows, pa.int64())
                 yield _table(
                     piece.column("row"), piece.column("id"), words.counts, none, none,
-                    pa.nulls(piece.num_rows, pa.binary()),
+                    pa.nulls(piece.num_rows, pa.binary()), piece.column("digest"),
                 )
                 starts = [winnowed(words, window, gram)]
                 prints = [words.runs(gram)[starts[0]]]
@@ -177,18 +178,27 @@ def _extender(window: int, gram: int):
     return extend
 
 
-def _numbered(df: DataFrame, ident: str) -> DataFrame:
+def _numbered(df: DataFrame, ident: str, keyed: bool = False) -> DataFrame:
     return df.select(
-        F.monotonically_increasing_id().alias("row"), F.col(f"`{ident}`").cast("long").alias("id"), "text"
+        F.monotonically_increasing_id().alias("row"),
+        F.col(f"`{ident}`").cast("long").alias("id"),
+        (text_key() if keyed else F.lit(None).cast("string")).alias("digest"),
+        "text",
     )
 
 
 def find_overlaps(
-    documents: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, filter_bits: int = 26
+    documents: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    gram: int = 5,
+    filter_bits: int = 26,
+    keyed: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents (row, id, n_words) and their shared spans (row, item, start, stop).
+    """Documents (row, id, digest, n_words) and their shared spans (row, item, start, stop).
 
-    ``row`` numbers the input's rows; ``start`` and ``stop`` count words from 0.
+    ``row`` numbers the input's rows; ``start`` and ``stop`` count words from 0. The
+    digest of the text is there if ``keyed``, else null.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
@@ -206,8 +216,8 @@ def find_overlaps(
     table[filled["word"].to_numpy(dtype=np.int64)] = filled["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     bits = spark.sparkContext.broadcast(table)
     finder = _finder(window, gram, short, bits, 1 << filter_bits)
-    found = kept(_numbered(documents, "doc_id").mapInArrow(finder, _FOUND), "document-prints")
-    heads = found.where("fp IS NULL").select("row", "id", "n_words")
+    found = kept(_numbered(documents, "doc_id", keyed).mapInArrow(finder, _FOUND), "document-prints")
+    heads = found.where("fp IS NULL").select("row", "id", "digest", "n_words")
     joined = found.where("fp IS NOT NULL").select("row", "fp", "at", "near").join(items, "fp")
     spans = joined.select("row", "at", "near", "item", "short", "item_near").mapInArrow(
         _extender(window, gram), "row bigint, item bigint, start bigint, stop bigint"
@@ -243,3 +253,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
+    """The documents, columns as they are, without those that share a window."""
+    heads, spans = find_overlaps(documents, benchmark, window, gram, keyed=True)
+    hit = heads.join(spans.select("row").distinct(), "row").select(
+        F.col("id").alias("__id"), F.col("digest").alias("__digest")
+    )
+    # A hit text is not null, so its digest is not.
+    hit = kept(hit.distinct(), "contaminated")
+    return documents.join(
+        hit,
+        (text_key(documents["text"]) == F.col("__digest")) & documents["doc_id"].eqNullSafe(F.col("__id")),
+        "left_anti",
+    )

@@ -93,6 +93,7 @@ class Words:
             self.ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
         self._hashes: np.ndarray | None = None
+        self._sums: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -110,14 +111,22 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         if self._hashes is None:
-            n = len(self.data)
-            up, down = _BYTE_POWERS.get(n + 1)
-            total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-            spans = (total[self.ends] - total[self.starts]) * down[self.starts]
-            self._hashes = mix(spans ^ (self.ends - self.starts).astype(np.uint64))
+            self._hashes = self._spans(self.ends)
         return self._hashes
 
+    def prefix_hashes(self, length: int) -> np.ndarray:
+        """A hash of each word's first ``length`` bytes."""
+        return self._spans(np.minimum(self.ends, self.starts + length))
+
+    def _spans(self, ends: np.ndarray) -> np.ndarray:
+        n = len(self.data)
+        up, down = _BYTE_POWERS.get(n + 1)
+        if self._sums is None:
+            self._sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self._sums[1:])
+        spans = (self._sums[ends] - self._sums[self.starts]) * down[self.starts]
+        return mix(spans ^ (ends - self.starts).astype(np.uint64))
+
     def runs(self, length: int, lane: int = 0) -> np.ndarray:
         """A hash of the ``length`` words that start at each word, as far as they exist.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slimlake.llm import (
-    decontaminate, line_rules, mixing, near_duplicates, sharding, substring_dedup, url_filters,
+    decontaminate, line_rules, mixing, near_duplicates, quality_net, sharding, substring_dedup,
+    token_counts, toxicity, url_filters,
 )
 from slimlake.session import prepare
 
@@ -77,6 +78,24 @@ SELECT * EXCLUDE (line_chars), NOT base_failed AND bad_chars <= 0.3::DOUBLE * li
 """.replace("BOILERPLATE", "|".join(line_rules.BOILERPLATE))
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of doc_id's text, modulo ``divisor``; null without an id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
+
+
+def _marked(scored: DataFrame, held: Column, least: float, *more: Column) -> DataFrame:
+    return scored.select(
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= least).cast("int").alias("predicted"), *more,
+    )
+
+
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = _read(spark, folder, "documents"), _read(spark, folder, "labels")
+    net = quality_net.fit(documents, labels, remainder(5) != 0)
+    return _marked(quality_net.score_texts(documents, net, ["doc_id"]), remainder(5) == 0, 0.3)
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
     return found.select(
@@ -230,14 +249,33 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parsed LE
 """
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.context_table(token_counts.length_histogram(_read(spark, folder, "documents")))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Adds the language's calibrated threshold, and whether the score reaches it."""
+    documents, labels = _read(spark, folder, "documents"), _read(spark, folder, "labels")
+    net, common, by = toxicity.fit(documents, labels, remainder(3) != 1)
+    scored = toxicity.score_texts(documents, net, ["doc_id", "lang"])
+    threshold = toxicity.threshold_of(F.col("lang"), common, by)
+    return _marked(
+        scored, remainder(3) == 1, 0.7,
+        threshold.alias("threshold"), (F.col("score") >= threshold).alias("rejected"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
+    "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {"op1_quality_rules": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_url_filters": OP8_SQL}
