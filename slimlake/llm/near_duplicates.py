@@ -15,7 +15,8 @@ Nodes are sorted runs of equal prefixes. A node is verified exactly, by intersec
 the word sets of its members with one matrix product; a pair counts only in the first
 tree that holds it. Members of a large node are dealt to blocks of bounded size and
 each two blocks meet in a task of their own, so no task gathers a whole node and pairs
-are counted inside tasks, never written. What leaves a task is one row per member: its
+are counted inside tasks, never written. A first look at the signatures alone picks the
+members that have a pair to verify in a node; only their word sets go there. What leaves a task is one row per member: its
 links and the root of its part. Parts are joined to components by the smallest label
 with pointer jumping.
 
@@ -166,24 +167,33 @@ def _roots(linked: np.ndarray, names: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verify_node(rows: list[dict], depth: int, similarity: float) -> dict[str, list]:
-    """Links within a node's block, or between two of its blocks."""
+def _new_pairs(rows: list[dict], depth: int) -> np.ndarray:
+    """Pairs of a node, or of two of its blocks, that no earlier tree holds."""
     tree, one, two = rows[0]["tree"], rows[0]["one"], rows[0]["two"]
-    names = np.array([r["class"] for r in rows], dtype=np.int64)
     block = np.array([r["block"] for r in rows])
-    weight = np.array([r["weight"] for r in rows], dtype=np.int64)
     prefix = np.stack([np.frombuffer(r["signature"], dtype=np.uint16) for r in rows]).reshape(len(rows), -1, depth)
     new = (prefix[:, None, tree] == prefix[None, :, tree]).all(axis=2)
+    np.fill_diagonal(new, False)
     for earlier in range(tree):
         new &= ~(prefix[:, None, earlier] == prefix[None, :, earlier]).all(axis=2)
     if one != two:
         new &= block[:, None] != block[None, :]
-    if not new.any():
-        return {}
-    linked = linked_pairs([np.frombuffer(r["members"], dtype=np.uint64) for r in rows], similarity) & new
+    return new
+
+
+def _choose_node(rows: list[dict], depth: int) -> dict[str, list]:
+    """The members that have a pair to verify here."""
+    use = np.flatnonzero(_new_pairs(rows, depth).any(axis=1))
+    return {c: [rows[i][c] for i in use] for c in _PLACES}
+
+
+def _verify_node(rows: list[dict], depth: int, similarity: float) -> dict[str, list]:
+    """Links within a node's block, or between two of its blocks."""
+    names = np.array([r["class"] for r in rows], dtype=np.int64)
+    weight = np.array([r["weight"] for r in rows], dtype=np.int64)
+    sets = [np.frombuffer(r["members"], dtype=np.uint64) for r in rows]
+    linked = linked_pairs(sets, similarity) & _new_pairs(rows, depth)
     has = linked.any(axis=1)
-    if not has.any():
-        return {}
     return {
         "class": names[has].tolist(),
         "links": (linked @ weight)[has].tolist(),
@@ -192,20 +202,21 @@ def _verify_node(rows: list[dict], depth: int, similarity: float) -> dict[str, l
     }
 
 
+_PLACES = ["class", "tree", "node", "block", "one", "two"]
 _LINKS = "class bigint, links bigint, texts bigint, root bigint"
 
 
-def _verifier(depth: int, similarity: float):
-    """Verify the sorted nodes one after the other."""
+def _by_node(work, names: list[str], kinds: list[pa.DataType]):
+    """Apply ``work`` to the rows of each node, which come sorted, one node at a time."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c, pa.int64()) for c in ("class", "links", "texts", "root")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(list(zip(names, kinds)))
         at, rows = None, []
-        out: dict[str, list] = {c: [] for c in schema.names}
+        out: dict[str, list] = {c: [] for c in names}
 
         def done():
             if len(rows) > 1:
-                for name, values in _verify_node(rows, depth, similarity).items():
+                for name, values in work(rows).items():
                     out[name] += values
 
         for batch in batches:
@@ -215,13 +226,28 @@ def _verifier(depth: int, similarity: float):
                     done()
                     at, rows = key, []
                 rows.append(row)
-            if len(out["class"]) >= 5000:
+            if len(out[names[0]]) >= 5000:
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
-                out = {c: [] for c in schema.names}
+                out = {c: [] for c in names}
         done()
         yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return verify
+    return run
+
+
+def _chooser(depth: int):
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return _by_node(lambda rows: _choose_node(rows, depth), _PLACES, kinds)
+
+
+def _verifier(depth: int, similarity: float):
+    names = ["class", "links", "texts", "root"]
+    return _by_node(lambda rows: _verify_node(rows, depth, similarity), names, [pa.int64()] * 4)
+
+
+def _together(df: DataFrame) -> DataFrame:
+    """The rows of a node, or of two of its blocks, next to each other in one task."""
+    return df.repartition("node", "one", "two").sortWithinPartitions("node", "one", "two")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,7 +317,20 @@ def jaccard_links(
     )
     placed = kept(placed.select("class", "tree", "node", "block", "blocks"), "placed")
 
-    wanted = placed.select("class").distinct().join(classes, "class").select(
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    meeting = placed.withColumn("_other", other).select(
+        "class", "tree", "node", "block",
+        F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"),
+    )
+    signed_ = meeting.join(classes.select("class", "signature"), "class")
+    # Signatures are small: they tell who has a pair to verify before sets are moved.
+    chosen = kept(
+        _together(signed_).mapInArrow(
+            _chooser(depth), "class bigint, tree int, node bigint, block int, one int, two int"
+        ),
+        "chosen",
+    )
+    wanted = chosen.select("class").distinct().join(classes, "class").select(
         "class", F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest")
     )
     texts = source.join(wanted, source["id"].eqNullSafe(F.col("_id")) & (source["digest"] == F.col("_digest")))
@@ -299,12 +338,7 @@ def jaccard_links(
         _packer(shingle), "class bigint, members binary"
     )
     sets = kept(sets.join(classes.select("class", "weight", "signature"), "class"), "sets")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    meeting = placed.withColumn("_other", other).select(
-        "class", "tree", "node", "block",
-        F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"),
-    )
-    meeting = meeting.join(sets, "class").repartition("node", "one", "two").sortWithinPartitions("node", "one", "two")
+    meeting = _together(chosen.join(sets, "class"))
     found = kept(meeting.mapInArrow(_verifier(depth, similarity), _LINKS), "links")
     labels = components(found.where("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("class").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
