@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slimlake.llm.common import bounded_batches, kept, text_key
+from slimlake.llm.common import bit_table, bounded_batches, in_bit_table, kept, text_key
 from slimlake.llm.lanes import LOWER, PLAIN, Words, pieces, signed, text_bytes
 
 _FOUND = "row bigint, id bigint, digest string, n_words bigint, fp bigint, at bigint, near binary"
@@ -84,7 +84,7 @@ def _table(row, ident, n_words, fp, at, near, digest=None) -> pa.RecordBatch:
     )
 
 
-def _finder(window: int, gram: int, short: list[int], bits, bit_count: int):
+def _finder(window: int, gram: int, short: list[int], bits):
     """Fingerprints of documents that pass the bit table, after one head row per document."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +104,7 @@ def _finder(window: int, gram: int, short: list[int], bits, bit_count: int):
                     starts.append(np.flatnonzero(words.whole(length)))
                     prints.append(words.runs(length)[starts[-1]])
                 at, fp = np.concatenate(starts), np.concatenate(prints)
-                cell = fp & np.uint64(bit_count - 1)
-                word = table[(cell >> np.uint64(6)).astype(np.int64)]
-                passes = (word >> (cell & np.uint64(63))) & np.uint64(1) == 1
+                passes = in_bit_table(table, fp)
                 at, fp = at[passes], fp[passes]
                 if len(at):
                     text = np.searchsorted(words.bounds, at, side="right") - 1
@@ -208,14 +206,9 @@ def find_overlaps(
     ).distinct()
     items = kept(items, "benchmark-prints")
     short = sorted(r[0] for r in items.where("short > 0").select("short").distinct().collect())
-    # At most one row per 64 bits of the table.
-    cell = F.col("fp").bitwiseAND(F.lit((1 << filter_bits) - 1))
-    bit = F.expr(f"shiftleft(1L, cast(fp & 63 AS int))")
-    filled = items.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    table = np.zeros(1 << (filter_bits - 6), dtype=np.uint64)
-    table[filled["word"].to_numpy(dtype=np.int64)] = filled["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    table = bit_table(items, "fp", filter_bits)
     bits = spark.sparkContext.broadcast(table)
-    finder = _finder(window, gram, short, bits, 1 << filter_bits)
+    finder = _finder(window, gram, short, bits)
     found = kept(_numbered(documents, "doc_id", keyed).mapInArrow(finder, _FOUND), "document-prints")
     heads = found.where("fp IS NULL").select("row", "id", "digest", "n_words")
     joined = found.where("fp IS NOT NULL").select("row", "fp", "at", "near").join(items, "fp")

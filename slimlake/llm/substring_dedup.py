@@ -15,6 +15,10 @@ Second pass: windows whose estimate is 2 or more are grouped exactly, by 96 bits
 two independent hashes of their words, to find the smallest id of each. A Count-min
 sketch errs upwards only, so no repeated window is lost.
 
+Equal texts are met before that: a bit table of the hashes of texts that occur twice
+singles them out, only those of the smallest id go on, and the copies, if a window long
+or longer, lose everything.
+
 The sketch gets ``cell_bytes`` bytes of text per cell and row of hashes, up to
 ``max_cells`` bits in all, which bounds the broadcast; a larger corpus still gives the
 same result, with more windows going to the exact groups.
@@ -35,18 +39,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slimlake.llm.common import bounded_batches, kept
+from slimlake.llm.common import bit_table, bounded_batches, in_bit_table, kept, text_key
 from slimlake.llm.lanes import SPACED, Words, mix, pieces, signed, text_bytes
 
 BLOCK = 1 << 20
+COPY_BITS = 26
 _SPARSE = "block int, once binary, twice binary"
 _FOUND = (
-    "row bigint, id bigint, n_words bigint, body string, clear string, h1 bigint, h2 int, at array<int>"
+    "row bigint, id bigint, digest string, n_words bigint, body string, clear string, "
+    "h1 bigint, h2 int, at array<int>"
 )
 _FOUND_TYPES = [
-    pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32())
+    pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(),
+    pa.list_(pa.int32()),
 ]
-_FOUND_NAMES = ["row", "id", "n_words", "body", "clear", "h1", "h2", "at"]
+_FOUND_NAMES = ["row", "id", "digest", "n_words", "body", "clear", "h1", "h2", "at"]
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -166,8 +173,12 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, _FOUND_NAMES)
 
 
-def _candidates(window: int, gram: int, rows: int, width: int, sketch, form: str):
-    """Per document a row, finished if no window may repeat; and the windows that may."""
+def _candidates(window: int, gram: int, rows: int, width: int, sketch, form: str, copies=None):
+    """Per document a row, finished if no window may repeat; and the windows that may.
+
+    A text of a window or more whose hash is in the bit table ``copies`` is passed on
+    with its digest instead.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
@@ -187,17 +198,25 @@ def _candidates(window: int, gram: int, rows: int, width: int, sketch, form: str
                 maybe = np.repeat(often, np.diff(np.append(runs, len(starts))))
                 has_id = ~np.asarray(piece.column("id").is_null())
                 maybe &= has_id[text]
+                again = np.zeros(piece.num_rows, dtype=bool)
+                if copies is not None:
+                    hashes = np.asarray(piece.column("text_hash")).view(np.uint64)
+                    again = in_bit_table(copies.value, hashes) & (words.counts >= window) & has_id
+                    maybe &= ~again[text]
                 starts, text = starts[maybe], text[maybe]
                 open_ = np.zeros(piece.num_rows, dtype=bool)
                 open_[text] = True
+                open_ |= again
                 raw = data.tobytes()
                 bodies, clear = [], []
                 for t in range(piece.num_rows):
                     body = raw[offsets[t] : offsets[t + 1]]
                     bodies.append(body.decode() if open_[t] else None)
                     clear.append(None if open_[t] else _finish(body.split(), form))
+                named = [d if a else None for d, a in zip(piece.column("digest").to_pylist(), again)]
                 yield _rows(
-                    row=piece.column("row"), id=piece.column("id"), n_words=words.counts, body=bodies, clear=clear
+                    row=piece.column("row"), id=piece.column("id"), digest=named, n_words=words.counts,
+                    body=bodies, clear=clear,
                 )
                 if not len(starts):
                     continue
@@ -251,9 +270,9 @@ def _remover(window: int, form: str):
 def remove_repeats(
     documents: DataFrame,
     window: int = 50,
-    gram: int = 16,
+    gram: int = 25,
     rows: int = 3,
-    cell_bytes: int = 24,
+    cell_bytes: int = 20,
     max_cells: int = 1 << 30,
     form: str = "text",
 ) -> DataFrame:
@@ -265,22 +284,42 @@ def remove_repeats(
     spark = documents.sparkSession
     bounded_batches(spark)
     numbered = documents.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), "text"
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"),
+        text_key().alias("digest"), F.xxhash64("text").alias("text_hash"), "text",
     )
     bits, width = repeated_bits(numbered, window, gram, rows, cell_bytes, max_cells)
     sketch = spark.sparkContext.broadcast(bits)
-    found = kept(numbered.mapInArrow(_candidates(window, gram, rows, width, sketch, form), _FOUND), "windows")
-    windows = found.where("h1 IS NOT NULL").select("row", "id", "h1", "h2", "at")
+    twice = documents.select(F.xxhash64("text").alias("text_hash")).groupBy("text_hash").agg(F.count("*").alias("n"))
+    copies = spark.sparkContext.broadcast(bit_table(twice.where("n > 1"), "text_hash", COPY_BITS))
+    find = _candidates(window, gram, rows, width, sketch, form, copies)
+    found = kept(numbered.mapInArrow(find, _FOUND), "windows")
+
+    # Of equal texts only those of the smallest id are looked at; the others lose all.
+    same = found.where("digest IS NOT NULL").select("row", "id", "digest", "n_words", "body")
+    least = kept(same.groupBy("digest").agg(F.min("id").alias("first_id")), "first-copies")
+    same = same.join(least, "digest")
+    first = same.where("id = first_id").select(
+        "row", "id", F.lit(None).cast("string").alias("digest"), F.col("body").alias("text")
+    )
+    more = kept(first.mapInArrow(_candidates(window, gram, rows, width, sketch, form), _FOUND), "first-windows")
+    gone = same.where("id > first_id").select(
+        F.col("id").alias("doc_id"), "n_words", F.col("n_words").alias("n_removed"),
+        F.lit(_finish([], form)).alias("kept"),
+    )
+
+    both = found.where("digest IS NULL").unionByName(more)
+    windows = both.where("h1 IS NOT NULL").select("row", "id", "h1", "h2", "at")
     firsts = windows.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    firsts = kept(firsts.where("first_id < last_id").drop("last_id"), "first-windows")
+    firsts = kept(firsts.where("first_id < last_id").drop("last_id"), "repeated-windows")
     later = windows.join(firsts, ["h1", "h2"]).where("id > first_id")
     starts = later.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("starts"))
-    documents_ = found.where("h1 IS NULL")
-    clear = documents_.where("clear IS NOT NULL").select(
+    texts = both.where("h1 IS NULL")
+    clear = texts.where("clear IS NOT NULL").select(
         F.col("id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("clear").alias("kept")
     )
-    open_ = documents_.where("body IS NOT NULL").select("row", "id", "n_words", "body").join(starts, "row", "left")
+    open_ = texts.where("body IS NOT NULL").select("row", "id", "n_words", "body").join(starts, "row", "left")
     cut = open_.mapInArrow(
         _remover(window, form), "row bigint, id bigint, n_words bigint, n_removed bigint, kept string"
     )
-    return clear.unionByName(cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept"))
+    cut = cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept")
+    return clear.unionByName(cut).unionByName(gone)
