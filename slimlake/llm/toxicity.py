@@ -82,6 +82,20 @@ def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return word_rows(words), words.bounds
 
 
+def sample_words(texts: list[bytes], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """``text_words`` of many texts, found a megabyte at a time."""
+    found, counts, low, size = [np.zeros((0, 1 + len(PREFIXES)), dtype=np.int32)], [np.zeros(0, dtype=np.int64)], 0, 0
+    for high, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= limit or high == len(texts):
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts[low:high]])]).astype(np.int64)
+            rows, bounds = text_words(np.frombuffer(b"".join(texts[low:high]), dtype=np.uint8), offsets)
+            found.append(rows)
+            counts.append(np.diff(bounds))
+            low, size = high, 0
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+
+
 def select_texts(rows: np.ndarray, bounds: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and bounds of some of the texts."""
     counts = np.diff(bounds)
@@ -270,9 +284,7 @@ def fit(
 ) -> tuple[WordNet, float, dict[str, float]]:
     """The net, the common threshold and those by language."""
     sample = sample_labelled(documents, labels, label, learn, per_class, ["lang"])
-    texts = [spread_bytes(t.encode(), sample_bytes) for t in sample["text"]]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    rows, bounds = text_words(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
+    rows, bounds = sample_words([spread_bytes(t.encode(), sample_bytes) for t in sample["text"]])
     marks = sample["label"].to_numpy(dtype=np.int64)
     aside = np.arange(len(marks)) % 6 == 5
     own, used = select_texts(rows, bounds, ~aside)
