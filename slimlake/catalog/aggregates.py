@@ -131,21 +131,16 @@ def run_summary(t: Tables):
 
 literal_view(
     "o_scores",
-    """SELECT item, round(any_value(m) + 3e-8, 6) AS mean, round(any_value(lo), 9) AS min,
+    """SELECT item, any_value(m) AS mean, round(any_value(lo), 9) AS min,
  round(max(score) FILTER (rn = greatest(ceil(0.01::DOUBLE * n), 1)), 9) AS low_percentile, any_value(n) AS frames
-FROM (SELECT item, score, row_number() OVER w AS rn, count(*) OVER p AS n, avg(score) OVER p AS m, min(score) OVER p AS lo
+FROM (SELECT item, score, row_number() OVER w AS rn, count(*) OVER p AS n, (sum(CAST(round(score * 1000000) AS BIGINT)) OVER p)::BIGINT / (count(*) OVER p * 1000000) AS m, min(score) OVER p AS lo
  FROM f_scores WINDOW w AS (PARTITION BY item ORDER BY score), p AS (PARTITION BY item)) GROUP BY item""",
 )
 
 
-def off_ties(mean):
-    """Six decimals, shifted so that exact halves round alike in both engines."""
-    return F.round(F.col(mean) + 3e-8, 6)
-
-
 def rounded(df):
     return df.withColumns(
-        {"mean": off_ties("mean"), "min": F.round("min", 9), "low_percentile": F.round("low_percentile", 9)}
+        {"min": F.round("min", 9), "low_percentile": F.round("low_percentile", 9)}
     )
 
 
@@ -156,13 +151,13 @@ def score_aggregation(t: Tables):
 
 @query(
     "A12_settings_comparison",
-    """WITH r AS (SELECT item, preset, count(*) AS frames, avg(score) AS mean, min(score) AS lo,
+    """WITH r AS (SELECT item, preset, count(*) AS frames, sum(CAST(round(score * 1000000) AS BIGINT))::BIGINT / (count(*) * 1000000) AS mean, min(score) AS lo,
   CAST(sum(floor(value*100)) AS BIGINT) AS i FROM f_scores GROUP BY item, preset),
 p AS (SELECT item, preset, max(score) FILTER (rn = greatest(ceil(0.01::DOUBLE * n), 1)) AS low
  FROM (SELECT item, preset, score, row_number() OVER (PARTITION BY item, preset ORDER BY score) AS rn,
    count(*) OVER (PARTITION BY item, preset) AS n FROM f_scores) GROUP BY item, preset)
 SELECT preset, item % 2 = 0 AS temporal_filtering, CAST(24 + item % 3 AS INTEGER) AS crf, count(*) AS samples,
- CAST(sum(i) AS BIGINT) AS input_bytes, CAST(sum(i * (7 + preset) // 12) AS BIGINT) AS output_bytes, round(avg(mean) + 3e-8, 6) AS mean,
+ CAST(sum(i) AS BIGINT) AS input_bytes, CAST(sum(i * (7 + preset) // 12) AS BIGINT) AS output_bytes, round(avg(mean), 9) AS mean,
  round(min(low), 9) AS low_percentile, CAST(sum(frames) AS BIGINT) AS elapsed_secs, bool_and(item % 7 <> 0) AS metadata_kept,
  round(1.0 - sum(i * (7 + preset) // 12)::DOUBLE / sum(i)::DOUBLE, 9) AS saving_fraction, NOT bool_and(item % 7 <> 0) AS warn
 FROM r JOIN p USING (item, preset) GROUP BY ALL""",
@@ -188,7 +183,7 @@ def settings_comparison(t: Tables):
     out = reports.settings_comparison(runs)
     return out.withColumns(
         {
-            "mean": off_ties("mean"),
+            "mean": F.round("mean", 9),
             "low_percentile": F.round("low_percentile", 9),
             "saving_fraction": F.round("saving_fraction", 9),
         }
@@ -268,12 +263,26 @@ def reclaim_reconciliation(t: Tables):
 
 @query(
     "A19_ordered_digest",
-    """SELECT conv_id, count(*) AS frames, sha256(string_agg(sha256(text), chr(10) ORDER BY turn)) AS digest
-FROM conversations GROUP BY conv_id""",
+    """WITH items AS (
+  SELECT conv_id, turn AS pos, sha256(text) AS h FROM conversations
+  UNION ALL SELECT -1, event_id, sha256(event_id::VARCHAR) FROM events
+), placed AS (
+  SELECT conv_id, h, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS i FROM items
+), one AS (
+  SELECT conv_id, i // 4096 AS i, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY i)) AS h FROM placed GROUP BY conv_id, placed.i // 4096
+), two AS (
+  SELECT conv_id, i // 4096 AS i, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY i)) AS h FROM one GROUP BY conv_id, one.i // 4096
+)
+SELECT conv_id, CAST(sum(n) AS BIGINT) AS frames, sha256(string_agg(h, chr(10) ORDER BY i)) AS digest FROM two GROUP BY conv_id""",
 )
 def ordered_digest(t: Tables):
-    rows = t.conversations.withColumn("h", F.sha2("text", 256))
-    return digests.ordered_digest(rows, ["conv_id"], ["turn"], "h")
+    """Every conversation, and all events as one long sequence."""
+    turns = t.conversations.select("conv_id", F.col("turn").cast("long"), F.sha2("text", 256).alias("h"))
+    events = t.events.select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("event_id").alias("turn"),
+        F.sha2(F.col("event_id").cast("string"), 256).alias("h"),
+    )
+    return digests.ordered_digest(turns.unionByName(events), ["conv_id"], ["turn"], "h")
 
 
 @query(

@@ -151,8 +151,13 @@ def schema_evolution(t: Tables):
     return evolve(t.f_docs, LEDGER).drop("seen_at", "trashed_at")
 
 
-@query("S12_kept_copy", "SELECT * FROM lineitem")
+@query(
+    "S12_kept_copy",
+    """SELECT *, CASE WHEN l_linenumber = 1 THEN '' WHEN l_linenumber > 2 THEN '00' || l_linenumber END AS lot FROM lineitem""",
+)
 def kept_copy(t: Tables):
-    place = scratch(t.spark, "kept")
-    snapshots.keep_copy(t.lineitem, place, ["l_returnflag"])
-    return t.spark.read.parquet(place)
+    """By a text column of digits, empty texts and nulls, and by a flag."""
+    place, number = scratch(t.spark, "kept"), F.col("l_linenumber")
+    lot = F.when(number == 1, "").when(number > 2, F.concat(F.lit("00"), number.cast("string")))
+    snapshots.keep_copy(t.lineitem.withColumn("lot", lot), place, ["lot", "l_returnflag"])
+    return snapshots.read_copy(t.spark, place)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slimlake.catalog.aggregates import off_ties
 from slimlake.catalog.filters import _EXCLUDED_SQL, EXCLUDES
 from slimlake.catalog.registry import query
 from slimlake.catalog.shared import pending_docs
@@ -107,8 +106,8 @@ _NUMBER = (
     "split_part('0,25,5,75',',',cast(event_id % 4 + 1 AS int)))"
 )
 _REPORT = (
-    f"concat('[INFO] crf 37.5 VMAF 96.24', chr(10), 'crf 45 VMAF 90', chr(10), 'crf ', {_NUMBER}, ' VMAF 97.1 taking 12 seconds',"
-    " CASE event_id % 3 WHEN 0 THEN concat(chr(10), 'crf none VMAF 1') WHEN 1 THEN concat(chr(10), 'crf -4 VMAF 1') ELSE '' END)"
+    f"concat('probe 1 of 3: crf 61.0 is no verdict', chr(10), 'crf 12.5 first', chr(10), 'crf ', {_NUMBER}, ' settled',"
+    " CASE event_id % 3 WHEN 0 THEN concat(chr(10), 'crf unknown') WHEN 1 THEN concat(chr(10), 'crf -9 refused') ELSE '' END)"
 )
 
 
@@ -125,19 +124,20 @@ def last_match_wins(t: Tables):
 @query(
     "W8_first_passing_rung",
     """WITH a AS (SELECT item, CASE preset WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 3 END AS attempt, score FROM f_scores),
-s AS (SELECT item, attempt, avg(score) AS mean, max(score) FILTER (rn = greatest(ceil(0.01::DOUBLE * n), 1)) AS low FROM
+s AS (SELECT item, attempt, sum(CAST(round(score * 1000000) AS BIGINT))::BIGINT / (count(*) * 1000000) AS mean, max(score) FILTER (rn = greatest(ceil(0.01::DOUBLE * n), 1)) AS low FROM
  (SELECT *, row_number() OVER (PARTITION BY item, attempt ORDER BY score) AS rn, count(*) OVER (PARTITION BY item, attempt) AS n FROM a) GROUP BY item, attempt),
-r AS (SELECT *, mean >= 97 AND low >= 95 AS ok FROM s),
+r AS (SELECT *, mean >= 97 AND low >= 95 AS ok FROM s WHERE attempt = 1 OR item % 6 > 2 * (attempt - 1)),
 k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY ok DESC, CASE WHEN ok THEN attempt ELSE -attempt END) AS pick FROM r)
-SELECT item, ok AS passed, attempt, 30 - 2 * attempt AS crf, round(mean + 3e-8, 6) AS mean, round(low, 9) AS low_percentile FROM k WHERE pick = 1""",
+SELECT item, ok AS passed, attempt, CAST(greatest(item % 6 - 2 * (attempt - 1), 0) AS INTEGER) AS crf, mean, round(low, 9) AS low_percentile FROM k WHERE pick = 1""",
 )
 def first_passing_rung(t: Tables):
     attempt = F.when(F.col("preset") == 3, 1).when(F.col("preset") == 4, 2).otherwise(3)
     measured = scores.score_summary(t.f_scores.withColumn("attempt", attempt), ["item", "attempt"])
-    tried = measured.withColumn("crf", 30 - 2 * F.col("attempt"))
-    return scores.first_passing(tried, ["item"]).withColumns(
-        {"mean": off_ties("mean"), "low_percentile": F.round("low_percentile", 9)}
-    )
+    # The ladder starts at 0 to 5 and ends at its floor.
+    first = measured.withColumn("first", (F.col("item") % 6).cast("int"))
+    crf = F.get(scores.setting_ladder("first"), F.col("attempt") - 1)
+    tried = first.withColumn("crf", crf).where("crf IS NOT NULL").drop("first")
+    return scores.first_passing(tried, ["item"]).withColumn("low_percentile", F.round("low_percentile", 9))
 
 
 @query("W9_latest_state", "SELECT path, arg_max(state, seq) AS state, max(seq) AS seq FROM f_jobs GROUP BY path")

@@ -27,7 +27,7 @@ def extension(path) -> Column:
 
 def swap_extension(path, new_extension) -> Column:
     """Replace the extension, or add one where the name has none."""
-    stem = F.regexp_replace(col(path), r"(?<=[^/])\.[^./]*\z", "")
+    stem = F.regexp_replace(col(path), r"(?<=[^/])\.[^./]*/*\z", "")
     return F.concat(stem, F.lit("."), col(new_extension))
 
 

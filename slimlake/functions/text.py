@@ -35,14 +35,20 @@ def last_setting(report) -> Column:
     return F.try_element_at(found, F.lit(-1))
 
 
-def hash_lines(dump) -> Column:
-    """The hash column of a frame-hash dump, in order, without its header."""
+def hash_lines(dump, strict: bool = True) -> Column:
+    """The hash column of a frame-hash dump, in order, without its header.
+
+    A dump without frames is an error, or null with ``strict`` off: two empty dumps
+    must not count as agreeing.
+    """
     lines = F.filter(
         F.split(col(dump), "\r?\n"), lambda x: ~x.startswith("#") & (F.trim(x) != "")
     )
-    return F.array_join(
+    joined = F.array_join(
         F.transform(lines, lambda x: F.trim(F.substring_index(x, ",", -1))), "\n"
     )
+    missing = F.raise_error(F.lit("a frame-hash dump without frames")).cast("string")
+    return F.when(F.size(lines) > 0, joined).otherwise(missing if strict else F.lit(None).cast("string"))
 
 
 def redact(line) -> Column:

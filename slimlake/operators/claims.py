@@ -18,9 +18,6 @@ ORDERS = {
     "path": ["path"],
 }
 
-# Up to here a batch is a top-k; a larger one is ranked over slices.
-TOP_K_ROWS = 100_000
-
 
 def sort_columns(order: str) -> list[Column]:
     return [F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in ORDERS[order]]
@@ -35,10 +32,11 @@ def pending(ledger: DataFrame, scope: Scope = EVERYTHING) -> DataFrame:
 
 
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The first ``n`` rows of an order, however large ``n`` is."""
-    if n <= TOP_K_ROWS:
-        return in_order(df, order).limit(n)
-    return ranked(df, ORDERS[order], name="_row_no").where(F.col("_row_no") <= n).drop("_row_no")
+    """The first ``n`` rows of an order, in that order.
+
+    ``n`` is what one run can start, so its rows may meet in one task.
+    """
+    return in_order(df, order).limit(n)
 
 
 def claim_batch(
@@ -50,7 +48,7 @@ def claim_batch(
 
 def apply_claims(ledger: DataFrame, claimed: DataFrame) -> DataFrame:
     """The ledger with the claimed rows marked, so no later batch has them."""
-    hit = claimed.select("path", F.lit(True).alias("_hit"))
+    hit = claimed.select("path", F.lit(True).alias("_hit")).distinct()
     return (
         ledger.join(hit, "path", "left")
         .withColumn("state", F.when(F.col("_hit"), "claimed").otherwise(F.col("state")))

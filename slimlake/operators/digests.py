@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from slimlake.operators.ordered import ranked
 
-# Hashes joined into one digest; longer sequences take one more level per power.
-SPAN = 65_536
+# Hashes joined into one digest at each level; three levels reach 6.8e10 positions.
+SPAN = 4_096
 _LEVELS = 3
 
 
@@ -20,24 +20,21 @@ def ordered_digest(
 ) -> DataFrame:
     """Digest of each item's hashes in order: reordering, loss and repeats show.
 
-    The digest of up to ``SPAN`` hashes is sha256 over them, one per line. Longer
-    sequences are cut into spans by position and the span digests are digested
-    the same way, so no group is larger than ``SPAN`` however long an item is.
-    ``frames`` is the length.
+    The sequence is cut into spans of ``SPAN`` by position, and each span is digested
+    by sha256 over its hashes, one per line. The span digests are digested the same
+    way, twice, at every length, so no group is larger than ``SPAN`` and the rule does
+    not depend on how long an item is. ``frames`` is the length.
     """
     placed = ranked(rows.select(*item, *_names(order), hash_col), order, item, "_at", count="frames")
     level = placed.select(
         *item, "frames", (F.col("_at") - 1).alias("_at"), F.col(hash_col).alias("_h")
     )
-    for step in range(_LEVELS):
+    for _ in range(_LEVELS):
         span = F.floor(F.col("_at") / SPAN).cast("long")
         joined = F.array_join(
             F.transform(F.array_sort("_hs"), lambda s: s["_h"]), "\n"
         )
-        # A lone span digest is the digest; it is not hashed again.
         folded = F.sha2(joined, 256)
-        if step:
-            folded = F.when(F.size("_hs") == 1, F.col("_hs")[0]["_h"]).otherwise(folded)
         level = (
             level.withColumn("_span", span)
             .groupBy(*item, "frames", "_span")

@@ -19,12 +19,12 @@ from slimlake.schemas import LEDGER, evolve
 
 
 def latest_per_path(listing: DataFrame) -> DataFrame:
-    """One row per path; of repeats, the one with the newest mod_time."""
-    data = [c for c in ("size", "mod_time", "blake3") if c in listing.columns]
+    """One row per path; of repeats, the largest by mod_time, size and digest."""
+    rank = [c for c in ("mod_time", "size", "blake3") if c in listing.columns]
     return (
         listing.groupBy("path")
-        .agg(F.max_by(F.struct(*data), F.struct(*[d for d in ("mod_time", "size") if d in data])).alias("_row"))
-        .select("path", *[F.col(f"_row.{c}").alias(c) for c in data])
+        .agg(F.max(F.struct(*rank)).alias("_row"))
+        .select("path", *[F.col(f"_row.{c}").alias(c) for c in rank])
     )
 
 
@@ -35,7 +35,6 @@ def reconcile(
     seen_at: Column | None = None,
     compare_hash: bool = False,
     keep_known_hash: bool = False,
-    unique: bool = True,
     sweep: bool = True,
 ) -> DataFrame:
     """Fold a complete listing of ``scope`` into the ledger.
@@ -46,10 +45,15 @@ def reconcile(
     row that was rewritten in place is compared with the size it was given.
 
     Only rows in scope are joined; the rest of the ledger passes by without a
-    shuffle. A listing row outside ``scope`` is therefore an error.
+    shuffle. A listing row outside ``scope`` is therefore an error. A repeated path
+    counts once (``latest_per_path``), in the shuffle that the join needs anyway.
     """
     seen_at = F.lit(None).cast("timestamp") if seen_at is None else seen_at
-    fresh = listing if unique else latest_per_path(listing)
+    if scope.prefixes:
+        stray = F.raise_error(F.concat(F.lit("listed outside the scope: "), F.col("path")))
+        in_scope = F.when(scope.contains("path"), F.col("path")).otherwise(stray.cast("string"))
+        listing = listing.withColumn("path", in_scope)
+    fresh = latest_per_path(listing)
     for name in ("mod_time", "blake3"):
         if name not in fresh.columns:
             fresh = fresh.withColumn(name, F.lit(None).cast("string"))
@@ -58,9 +62,6 @@ def reconcile(
     inside = whole
     if scope.prefixes:
         inside = whole.where(scope.contains("path"))
-        stray = F.raise_error(F.concat(F.lit("listed outside the scope: "), F.col("path")))
-        in_scope = F.when(scope.contains("path"), F.col("path")).otherwise(stray.cast("string"))
-        fresh = fresh.withColumn("path", in_scope)
     old, new = inside.alias("o"), fresh.withColumn("_listed", F.lit(True)).alias("n")
     both = old.join(new, F.col("o.path") == F.col("n.path"), "full_outer")
 
@@ -130,13 +131,13 @@ def unknown_updates(ledger: DataFrame, updates: DataFrame) -> DataFrame:
     return updates.select("path").join(ledger.select("path"), "path", "left_anti")
 
 
-def _all_known(ledger: DataFrame, updates: DataFrame) -> DataFrame:
-    """The updates, failing on a path the ledger lacks.
+def _all_known(ledger: DataFrame, updates: DataFrame, paths: DataFrame) -> DataFrame:
+    """The updates, one per path, failing on one of ``paths`` that the ledger lacks.
 
     The ledger is always the left side here and in the update itself, so that a
     small set of updates can be broadcast and the ledger stays where it is.
     """
-    known = ledger.select("path").join(updates.select("path"), "path", "left_semi")
+    known = ledger.select("path").join(paths, "path", "left_semi")
     marked = updates.join(known.withColumn("_known", F.lit(True)), "path", "left")
     refused = F.raise_error(F.concat(F.lit("no ledger row for "), F.col("path"))).cast("string")
     checked = F.when(F.col("_known").isNotNull(), F.col("path")).otherwise(refused)
@@ -146,13 +147,21 @@ def _all_known(ledger: DataFrame, updates: DataFrame) -> DataFrame:
 def update_by_path(
     ledger: DataFrame, updates: DataFrame, columns: list[str], unknown: str = "error"
 ) -> DataFrame:
-    """Set ``columns`` from ``updates`` (one row per path), nulls included.
+    """Set ``columns`` from ``updates``, nulls included.
 
+    Repeated updates of a path count once; differing ones are an error.
     ``unknown="error"`` fails on a path the ledger lacks; ``"ignore"`` drops it.
     """
-    fresh = updates.select("path", *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
+    new = F.struct(*columns)
+    once = updates.groupBy("path").agg(F.min(new).alias("_new"), F.max(new).alias("_max"))
+    differ = F.raise_error(F.concat(F.lit("differing updates for "), F.col("path"))).cast("string")
+    fresh = once.select(
+        F.when(F.col("_new").eqNullSafe(F.col("_max")), F.col("path")).otherwise(differ).alias("path"),
+        *[F.col(f"_new.{c}").alias(f"_new_{c}") for c in columns],
+        F.lit(True).alias("_hit"),
+    )
     if unknown == "error":
-        fresh = _all_known(ledger, fresh)
+        fresh = _all_known(ledger, fresh, updates.select("path"))
     joined = ledger.join(fresh, "path", "left")
     hit = F.col("_hit").isNotNull()
     return joined.select(

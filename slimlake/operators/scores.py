@@ -9,6 +9,10 @@ from slimlake import constants as K
 from slimlake.operators.ordered import running
 
 
+#: Scores are summed as whole numbers of this part of a point, as score logs print them.
+SCORE_UNITS = 1_000_000
+
+
 def nearest_rank(count, percent: float) -> Column:
     """1-based rank of a percentile that some row actually has."""
     return F.greatest(F.ceil(F.lit(percent) / 100.0 * count), F.lit(1)).cast("long")
@@ -19,14 +23,16 @@ def score_summary(
 ) -> DataFrame:
     """Mean, minimum, nearest-rank low percentile and frame count per item.
 
-    Equal scores are counted first; the ranks then run over slices, so an item
+    The mean is one division of whole numbers, so it does not depend on the order of
+    rows. Equal scores are counted first; the ranks then run over slices, so an item
     with a third of all frames is spread like any other rows.
     """
     counted = scores.groupBy(*item, score).agg(F.count("*").alias("_n"))
     placed = running(counted, [score], {"_upto": "_n"}, item, totals={"frames": "_n"})
+    units = F.round(F.col(score) * SCORE_UNITS).cast("long")
     reached = F.col("_upto") >= nearest_rank(F.col("frames"), percent)
     return placed.groupBy(*item).agg(
-        (F.sum(F.col(score) * F.col("_n")) / F.max("frames")).alias("mean"),
+        (F.sum(units * F.col("_n")) / (F.max("frames") * SCORE_UNITS)).alias("mean"),
         F.min(score).alias("min"),
         F.min(F.when(reached, F.col(score))).alias("low_percentile"),
         F.max("frames").alias("frames"),

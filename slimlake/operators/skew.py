@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slimlake.session import cut
-
-BROADCAST_ROWS = 100_000
 HOT_SHARE = 1000
 
 
@@ -24,13 +21,3 @@ def join_by_weight(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: s
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcast once its row count is known to be small.
-
-    The table is written first, so that checking it does not compute it twice. A
-    larger one is left to a shuffle join, whose skewed partitions Spark splits.
-    """
-    kept = cut(df)
-    is_small = kept.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(kept) if is_small else kept

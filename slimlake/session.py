@@ -58,18 +58,6 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores, before costly work on each, where files are few.
-
-    A store of any size has more files than the cluster has cores and is left
-    alone; a handful of files would keep most cores idle.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder, so later reads agree and recover."""
     shared_dir(df.sparkSession)

@@ -48,6 +48,9 @@ def read_listing_json(
 def list_files(spark: SparkSession, root: str, scope: str = "", with_hash: bool = False) -> DataFrame:
     """A recursive listing of ``root``; contents are read only when hashed.
 
+    Spark's file source passes over empty files, so they are not listed, and a hashed
+    object is one row, so it must be below 2 GiB.
+
     ``path`` is relative to ``root``, which must be absolute. Any store Spark can
     open will do.
     """

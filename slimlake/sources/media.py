@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from slimlake.functions.columns import col, once
 from slimlake.schemas import RAW_PROBE, RAW_SCORES
-from slimlake.session import spread_few_files
 
 
 def _unsigned(text: Column) -> Column:
@@ -62,7 +61,7 @@ def with_probe(df: DataFrame, json_col: str = "probe", out: str = "probe", stric
     else:
         schema = T.StructType([*RAW_PROBE.fields, T.StructField("_bad", T.StringType())])
         raw = F.from_json(F.col(json_col), schema, {"columnNameOfCorruptRecord": "_bad"})
-    parsed = once(spread_few_files(df), "_raw_probe", raw)
+    parsed = once(df, "_raw_probe", raw)
     probe = probe_struct("_raw_probe")
     if not strict:
         probe = F.when(F.col("_raw_probe._bad").isNull(), probe)
@@ -74,13 +73,27 @@ def is_finite(score) -> Column:
     return score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
 
 
-def scores_from_log(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
-    """Score-log JSON -> one row per frame with a usable score."""
+NO_SCORES = "no usable scores"
+
+
+def scores_from_log(df: DataFrame, json_col: str, keys: list[str], strict: bool = True) -> DataFrame:
+    """Score-log JSON -> one row per frame with a usable score.
+
+    An item without any is an error; with ``strict`` off it is one row without frame
+    and score, and ``problem`` says why. So no item passes a gate by being absent.
+    """
     log = F.from_json(F.col(json_col), RAW_SCORES, {"mode": "FAILFAST"})
-    frames = df.select(*keys, F.explode(log["frames"]).alias("_frame"))
+    usable = F.filter(
+        F.coalesce(log["frames"], F.array()), lambda f: is_finite(f["metrics"]["vmaf"])
+    )
+    if strict:
+        name = F.concat_ws(" ", F.lit(NO_SCORES), F.lit("for"), *[F.col(k).cast("string") for k in keys])
+        missing = F.raise_error(name).cast(df.select(usable).schema[0].dataType)
+        usable = F.when(F.size(usable) > 0, usable).otherwise(missing)
+    frames = df.select(*keys, F.explode_outer(usable).alias("_frame"))
     rows = frames.select(
         *keys,
         F.col("_frame")["frameNum"].alias("frame"),
         F.col("_frame")["metrics"]["vmaf"].alias("score"),
     )
-    return rows.where(is_finite("score"))
+    return rows if strict else rows.withColumn("problem", F.when(F.col("score").isNull(), F.lit(NO_SCORES)))

@@ -128,14 +128,31 @@ class SnapshotTable:
             path.getFileSystem(conf).delete(path, True)
 
 
+_FOLDER = "kept_by_"
+
+
 def keep_copy(df: DataFrame, archive: str, partition_by: list[str] | None = None) -> None:
-    """Keep a copy under ``archive`` before anything is replaced."""
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    """Keep a copy under ``archive`` before anything is replaced.
+
+    Folders are named after the values, but the columns themselves stay in the files:
+    a folder name has no type, and an empty text or a null none at all.
+    """
+    names = {
+        f"{_FOLDER}{c}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+        for c in partition_by or []
+    }
+    writer = df.withColumns(names).write.mode("errorifexists")
+    if names:
+        writer = writer.partitionBy(*names)
     writer.parquet(archive)
 
 
+def read_copy(spark: SparkSession, archive: str) -> DataFrame:
+    """A kept copy as it was."""
+    stored = spark.read.parquet(archive)
+    return stored.drop(*[c for c in stored.columns if c.startswith(_FOLDER)])
+
+
 def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
     """Save a catalog table bucketed on ``key``, so joins on it skip that shuffle."""
     df.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)

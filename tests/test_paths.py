@@ -29,9 +29,9 @@ def test_extension(spark):
 
 
 def test_swap_extension(spark):
-    names = ["d/a.jpg", "d.x/plain", ".hidden", "d/.hidden", "x.tar.gz", "end."]
+    names = ["d/a.jpg", "d.x/plain", ".hidden", "d/.hidden", "x.tar.gz", "end.", "a.b/"]
     assert evaluate(spark, names, paths.swap_extension("v", F.lit("jxl"))) == [
-        "d/a.jxl", "d.x/plain.jxl", ".hidden.jxl", "d/.hidden.jxl", "x.tar.jxl", "end.jxl",
+        "d/a.jxl", "d.x/plain.jxl", ".hidden.jxl", "d/.hidden.jxl", "x.tar.jxl", "end.jxl", "a.jxl",
     ]
 
 
@@ -45,10 +45,10 @@ def test_safe_relative(spark):
 
 
 def test_scope_stops_at_a_segment(spark):
-    scope = Scope(("/photos/", "music"))
-    names = ["photos/a", "photos", "photos-backup/a", "photosx", "music/d", "Photos/a"]
-    assert evaluate(spark, names, scope.contains("v")) == [True, True, False, False, True, False]
-    assert evaluate(spark, names, Scope(("/",)).contains("v")) == [True] * 6
+    scope = Scope(("/atlas/", "tapes"))
+    names = ["atlas/north", "atlas", "atlas.old/north", "atlases", "tapes/1/2", "Atlas/north", "x/atlas"]
+    assert evaluate(spark, names, scope.contains("v")) == [True, True, False, False, True, False, False]
+    assert evaluate(spark, names, Scope(("/",)).contains("v")) == [True] * 7
 
 
 def test_prefix_with_like_wildcards(spark):
@@ -60,14 +60,14 @@ def test_prefix_with_like_wildcards(spark):
 @pytest.mark.parametrize(
     "pattern, path, hit",
     [
-        ("**/.thumbnails/**", "Photos/.thumbnails/a.jpg", True),
-        ("**/.thumbnails/**", "Photos/2019/.thumbnails/deep/a.jpg", True),
-        ("**/.thumbnails/**", ".thumbnails/a", True),
-        ("**/.thumbnails/**", "Photos/thumbnails/a.jpg", False),
-        ("**/*.RAW", "Photos/a.RAW", True),
-        ("**/*.RAW", "a.RAW", True),
-        ("**/*.RAW", "a.raw", False),
-        ("*.jpg", "deep/down/a.jpg", True),
+        ("**/tmp-[0-9]/**", "lab/tmp-4/run.log", True),
+        ("**/tmp-[0-9]/**", "lab/old/tmp-4/x/y/run.log", True),
+        ("**/tmp-[0-9]/**", "tmp-4/run", True),
+        ("**/tmp-[0-9]/**", "lab/tmp-x/run.log", False),
+        ("**/*.Log", "lab/run.Log", True),
+        ("**/*.Log", "run.Log", True),
+        ("**/*.Log", "run.log", False),
+        ("*.csv", "one/two/three.csv", True),
         ("a?c", "a/c", True),
         ("a/**/b", "a/b", True),
         ("a/**/b", "a/x/y/b", True),
@@ -89,12 +89,12 @@ def test_globs(pattern, path, hit):
 
 
 def test_globs_in_spark(spark):
-    scope = Scope(("/Photos",), ("**/.thumbnails/**", "**/[a-c&&d]x"))
-    names = ["Photos/a", "Photos/.thumbnails/a", "Photos/ax", "Photos/&x", "Photos/dx", "Other/a"]
+    scope = Scope(("/lab",), ("**/tmp-?/**", "**/[p-r&&s]z"))
+    names = ["lab/m", "lab/tmp-1/m", "lab/pz", "lab/&z", "lab/sz", "desk/m"]
     assert evaluate(spark, names, scope.allows("v")) == [True, False, False, False, False, False]
 
 
-@pytest.mark.parametrize("pattern", ["[unclosed", "{a,b", "a}", "x\\", "[z-a]"])
+@pytest.mark.parametrize("pattern", ["logs/[0-9", "{x,{y,z}", "end}}", "tail\\", "[9-0]"])
 def test_malformed_globs_are_reported(pattern):
     with pytest.raises(globs.BadGlob):
         Scope(excludes=(pattern,))
@@ -126,17 +126,21 @@ def test_redaction(spark):
 
 def test_settings_of_reports(spark):
     reports = [
-        "[INFO] crf 37.5 VMAF 96\ncrf 34.25 VMAF 97.12 taking 12 seconds",
-        "crf 34.5 VMAF 96", "crf 34.75 VMAF 96", "crf 35.5 x", "crf 90 x", "crf -1 x", "crf NaN x",
-        "crf 45 VMAF 90\ncrf 30 VMAF 96\ncrf 28 VMAF 97", "nothing here", "  crf 27 V",
+        "note: crf 9.5 is only a guess\ncrf 17.25 settled after two rounds",
+        "crf 18.5 even", "crf 18.75 up", "crf 19.5 up", "crf 400 top", "crf -7 no", "crf NaN no",
+        "crf 11 first\ncrf 50 second\ncrf 13 third", "silence", "   crf 21 indented",
     ]
-    assert evaluate(spark, reports, text.last_setting("v")) == [34, 34, 35, 36, 63, None, None, 28, None, 27]
+    assert evaluate(spark, reports, text.last_setting("v")) == [17, 18, 19, 20, 63, None, None, 13, None, 21]
 
 
 def test_frame_hash_dump_ignores_the_header(spark):
     body = "0, 0, 0, 1, 9, aaa\r\n0, 1, 1, 1, 9,  bbb \n\n"
     dumps = ["#sar 0: 1/1\n" + body, "#sar 0: 0/1\n#x\n" + body]
     assert evaluate(spark, dumps, text.hash_lines("v")) == ["aaa\nbbb", "aaa\nbbb"]
+    empty = ["", "#only a header\n\n"]
+    assert evaluate(spark, empty, text.hash_lines("v", strict=False)) == [None, None]
+    with pytest.raises(PySparkException, match="without frames"):
+        evaluate(spark, empty, text.hash_lines("v"))
 
 
 def test_unknown_state_is_an_error(spark):

@@ -151,6 +151,10 @@ def test_two_writers_are_noticed(spark, place):
 
 def test_kept_copy_refuses_to_overwrite(spark, place):
     snapshots.keep_copy(spark.range(3), f"{place}/kept")
+    odd = spark.createDataFrame([("007", 1), ("", 2), (None, 3), ("a/b=c", 4)], "lot string, n int")
+    snapshots.keep_copy(odd, f"{place}/odd", ["lot", "n"])
+    assert rows(snapshots.read_copy(spark, f"{place}/odd")) == rows(odd)
+    assert snapshots.read_copy(spark, f"{place}/odd").schema == odd.schema
     with pytest.raises(PySparkException):
         snapshots.keep_copy(spark.range(3), f"{place}/kept")
 
@@ -201,14 +205,16 @@ def test_damaged_listing_is_an_error(spark, place, text):
 def test_direct_listing(spark, place):
     import os
 
-    os.makedirs(f"{place}/root/sub/empty")
-    for name, size in (("a.txt", 5), ("sub/b.txt", 7), ("sub/c.bin", 1024)):
+    tree = {"readme": 3, "q1/jan/day 1.csv": 11, "q1/jan/day 2.csv": 2_000, "q1/feb.csv": 1, "q2/ß.bin": 70}
+    os.makedirs(f"{place}/root/q3/nothing")
+    for name, size in tree.items():
+        os.makedirs(os.path.dirname(f"{place}/root/{name}"), exist_ok=True)
         with open(f"{place}/root/{name}", "wb") as out:
-            out.write(b"x" * size)
+            out.write(bytes(i % 251 for i in range(size)))
     got = listing.list_files(spark, f"{place}/root")
-    assert rows(got.select("path", "size")) == [("a.txt", 5), ("sub/b.txt", 7), ("sub/c.bin", 1024)]
-    part = listing.list_files(spark, f"{place}/root", "/sub/", with_hash=True)
-    assert rows(part.select("path", F.length("blake3"))) == [("sub/b.txt", 64), ("sub/c.bin", 64)]
+    assert rows(got.select("path", "size")) == sorted(tree.items())
+    part = listing.list_files(spark, f"{place}/root", "/q1/jan/", with_hash=True)
+    assert rows(part.select("path", F.length("blake3"))) == [("q1/jan/day 1.csv", 64), ("q1/jan/day 2.csv", 64)]
     assert "content" not in got._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
     with pytest.raises(PySparkException):
         listing.list_files(spark, f"{place}/absent").collect()
@@ -243,6 +249,13 @@ def test_score_log_drops_unusable_frames(spark):
     log = '{"frames":[{"frameNum":0,"metrics":{"vmaf":98.5}},{"frameNum":1,"metrics":{"vmaf":"NaN"}},{"frameNum":2,"metrics":{}},{"frameNum":3,"metrics":{"vmaf":"Infinity"}}]}'
     df = spark.createDataFrame([("a", log)], "item string, log string")
     assert rows(media.scores_from_log(df, "log", ["item"])) == [("a", 0, 98.5)]
+    bare = spark.createDataFrame([("b", '{"frames":[]}'), ("c", "{}"), ("d", '{"frames":[{"frameNum":0,"metrics":{}}]}')], "item string, log string")
+    lenient = media.scores_from_log(df.unionByName(bare), "log", ["item"], strict=False)
+    assert rows(lenient.select("item", "score", "problem")) == [
+        ("a", 98.5, None), *((i, None, "no usable scores") for i in "bcd")
+    ]
+    with pytest.raises(Exception, match="no usable scores for c"):
+        media.scores_from_log(bare.where("item = 'c'"), "log", ["item"]).collect()
 
 
 def test_quota_fields_are_optional(spark):
