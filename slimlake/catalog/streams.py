@@ -9,19 +9,28 @@ from slimlake.catalog.joins import SCOPE, SYNC_COLUMNS
 from slimlake.catalog.registry import query
 from slimlake.catalog.scalars import BLOCKS_SQL, progress_lines
 from slimlake.catalog.tables import VIEWS, Tables
+from slimlake.operators import progress
 from slimlake.schemas import evolve
 from slimlake.session import scratch
 from slimlake.sources.snapshots import SnapshotTable
 from slimlake.streaming import jobs
+from slimlake.streaming.log import BatchLog
 
 
-def _as_files(t: Tables, rows, key: str, files: int) -> str:
-    """Rows written in ``files`` steps of rising key, so that several triggers run."""
+PER_STEP = 4
+
+
+def _as_files(t: Tables, rows, key: str, steps: int) -> str:
+    """All rows, written in ``steps`` steps of rising key, each in ``PER_STEP`` files.
+
+    A trigger takes ``PER_STEP`` files, so several run, each on one step.
+    """
     place = scratch(t.spark, "stream")
-    width = rows.agg((F.max(key) / files + 1).cast("long")).first()[0]
-    for step in range(files):
-        part = rows.where(F.floor(F.col(key) / width) == step)
-        part.coalesce(1).write.mode("append").parquet(place)
+    first, last = rows.agg(F.min(key), F.max(key)).first()
+    width = (last - first) // steps + 1
+    step = F.coalesce(F.floor((F.col(key) - first) / width), F.lit(0))
+    for number in range(steps):
+        rows.where(step == number).repartition(PER_STEP).write.mode("append").parquet(place)
     return place
 
 
@@ -33,13 +42,15 @@ def _job_stream(t: Tables):
 
 @query("M1_streaming_ingest", "SELECT * FROM o_sync")
 def streaming_ingest(t: Tables):
+    """A listing in four files, one per trigger; then again on a new checkpoint."""
     listing = t.f_listing
+    listing = listing.withColumns({"listing": F.lit("monthly"), "listing_rows": F.lit(listing.count())})
     place = scratch(t.spark, "stream")
-    listing.coalesce(1).write.parquet(place)
+    listing.repartition(4).write.parquet(place)
     table = SnapshotTable(t.spark, scratch(t.spark, "ledger"))
     table.write(evolve(t.f_ledger.drop("doc_id")), "start")
-    for _ in range(2):  # the same listing again changes nothing
-        stream = jobs.read_stream(t.spark, place, listing.schema)
+    for _ in range(2):
+        stream = jobs.read_stream(t.spark, place, listing.schema, per_trigger=1)
         jobs.ingest_listings(stream, table, scratch(t.spark, "progress"), SCOPE).awaitTermination()
     return table.read().select(*SYNC_COLUMNS)
 
@@ -54,14 +65,14 @@ def running_counts(t: Tables):
 @query(
     "M3_throttled_progress",
     """SELECT time_bucket(INTERVAL 15 SECOND, ts, TIMESTAMP '2000-01-01') AS window_start, arg_max(path, (ts, seq)) AS path,
- arg_max(state, (ts, seq)) AS state, count(*) AS updates FROM f_jobs GROUP BY 1
-HAVING time_bucket(INTERVAL 15 SECOND, any_value(ts), TIMESTAMP '2000-01-01') + INTERVAL 15 SECOND <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 MINUTE FROM f_jobs)""",
+ arg_max(state, (ts, seq)) AS state, count(*) AS updates FROM f_jobs GROUP BY 1""",
 )
 def throttled_progress(t: Tables):
-    out = scratch(t.spark, "windows")
+    log = BatchLog(t.spark, scratch(t.spark, "windows"), jobs.WINDOWS)
     rows = jobs.throttled_progress(_job_stream(t), "1 minute")
-    jobs.append_rows(rows, out, scratch(t.spark, "progress")).awaitTermination()
-    return t.spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    jobs.keep_windows(rows, log, scratch(t.spark, "progress")).awaitTermination()
+    final = jobs.final_windows(log.read())
+    return final.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(
@@ -69,12 +80,12 @@ def throttled_progress(t: Tables):
     "SELECT path, max(seq) AS seq, arg_max(state, seq) AS state, arg_max(bytes, seq) AS bytes FROM f_jobs GROUP BY path",
 )
 def latest_counters(t: Tables):
-    place = _as_files(t, t.f_jobs.drop("ts"), "seq", 4)
-    schema = t.f_jobs.drop("ts").schema
-    stream = jobs.read_stream(t.spark, place, schema, per_trigger=1)
-    table = SnapshotTable(t.spark, scratch(t.spark, "counters"))
-    jobs.latest_counters(stream, table, scratch(t.spark, "progress")).awaitTermination()
-    return table.read().select("path", "seq", "state", "bytes")
+    rows = t.f_jobs.drop("ts")
+    place = _as_files(t, rows, "seq", 4)
+    stream = jobs.read_stream(t.spark, place, rows.schema, per_trigger=PER_STEP)
+    log = BatchLog(t.spark, scratch(t.spark, "counters"), rows.schema)
+    jobs.latest_counters(stream, log, scratch(t.spark, "progress")).awaitTermination()
+    return jobs.newest_per_path(log.read()).select("path", "seq", "state", "bytes")
 
 
 @query("M5_hand_out_once", "SELECT DISTINCT path FROM f_jobs WHERE state = 'claimed'")
@@ -89,8 +100,8 @@ def hand_out_once(t: Tables):
 @query("M6_progress_blocks", BLOCKS_SQL)
 def progress_blocks(t: Tables):
     place = _as_files(t, progress_lines(t), "seq", 3)
-    stream = jobs.read_stream(t.spark, place, progress_lines(t).schema, per_trigger=1)
-    table = SnapshotTable(t.spark, scratch(t.spark, "state"))
+    stream = jobs.read_stream(t.spark, place, progress_lines(t).schema, per_trigger=PER_STEP)
+    state = BatchLog(t.spark, scratch(t.spark, "state"), progress.REACHED)
     out = scratch(t.spark, "blocks")
-    jobs.assemble_progress(stream, table, out, scratch(t.spark, "progress")).awaitTermination()
+    jobs.assemble_progress(stream, state, out, scratch(t.spark, "progress")).awaitTermination()
     return t.spark.read.parquet(out).select("job", "seq", "out_time_us", "speed")

@@ -9,9 +9,10 @@ from pyspark.sql import types as T
 from slimlake.functions.columns import col
 from slimlake.operators.ordered import carry_last
 
-STATE = T.StructType(
+REACHED = T.StructType(
     [
         T.StructField("job", T.StringType()),
+        T.StructField("upto", T.LongType()),
         T.StructField("out_time_us", T.LongType()),
         T.StructField("speed", T.DoubleType()),
     ]
@@ -61,9 +62,18 @@ def finished_blocks(running: DataFrame) -> DataFrame:
     return running.where(col("ends_block")).drop("ends_block")
 
 
-def latest_values(running: DataFrame) -> DataFrame:
+def reached(running: DataFrame) -> DataFrame:
+    """The values each job has reached, and after which line."""
     return running.groupBy("job").agg(
-        F.max_by("out_time_us", "seq").alias("out_time_us"), F.max_by("speed", "seq").alias("speed")
+        F.max("seq").alias("upto"),
+        F.max_by("out_time_us", "seq").alias("out_time_us"), F.max_by("speed", "seq").alias("speed"),
+    )
+
+
+def latest_reached(rows: DataFrame) -> DataFrame:
+    """Of several records per job the last."""
+    return rows.groupBy("job").agg(
+        F.max_by("out_time_us", "upto").alias("out_time_us"), F.max_by("speed", "upto").alias("speed")
     )
 
 

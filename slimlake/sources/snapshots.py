@@ -1,15 +1,22 @@
 """A table kept as immutable Parquet versions with a commit list.
 
-A version is published by appending one commit row after its data is complete,
-so a job that dies part-way leaves the last version current. One writer at a
-time is assumed; two commits with the same number are reported, not merged.
+A version is published by creating its commit file, named after its number, once its
+data is complete: a job that dies part-way leaves the last version current. Creating
+a file that exists fails, so of two writers with the same number one wins, and the
+other raises ``WriteConflict`` (``update`` reads again and retries). The store must
+refuse to create an existing file, as HDFS and local disks do. Data folders are never
+shared. Every ``FOLD`` commits are folded into one file, so reading the list takes a
+handful of files.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +31,17 @@ _COMMIT = T.StructType(
 )
 
 
+FOLD = 20
+
+
 class NothingCommitted(LookupError):
     """The table has no version yet."""
 
 
+class WriteConflict(RuntimeError):
+    """Another writer has committed this version."""
+
+
 @dataclass(frozen=True)
 class Commit:
     version: int
@@ -43,35 +57,63 @@ class SnapshotTable:
 
     # -- commits -----------------------------------------------------------
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _numbers(self, folder: str) -> list[int]:
+        """The versions that a folder of the commit list has names for."""
+        path, fs = self._path(folder)
+        if not fs.exists(path):
+            return []
+        names = [str(status.getPath().getName()) for status in fs.listStatus(path)]
+        return sorted(int(n.split(".")[0][2:]) for n in names if n.startswith("v="))
+
+    def _folded(self) -> int:
+        for number in reversed(self._numbers("folded")):
+            done, fs = self._path(f"folded/v={number:08d}/_SUCCESS")
+            if fs.exists(done):
+                return number
+        return 0
+
     def commits(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_COMMIT).json(f"{self.root}/commits")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        folded = self._folded()
+        paths = [f"{self.root}/commits/v={n:08d}.json" for n in self._numbers("commits") if n > folded]
+        if folded:
+            paths.append(f"{self.root}/folded/v={folded:08d}")
+        if not paths:
             return self.spark.createDataFrame([], _COMMIT)
+        # A writer that died while creating its file leaves an empty one.
+        return self.spark.read.schema(_COMMIT).json(paths).where("version IS NOT NULL")
 
     def current(self) -> Commit | None:
-        """The newest commit; at most two rows reach the driver."""
-        newest = self.commits().orderBy(F.desc("version")).limit(2).collect()
-        if len(newest) == 2 and newest[0].version == newest[1].version:
-            raise RuntimeError(f"two writers committed version {newest[0].version}")
+        """The newest commit; one row reaches the driver."""
+        newest = self.commits().orderBy(F.desc("version")).limit(1).collect()
         return Commit(**newest[0].asDict()) if newest else None
 
     def has_tag(self, tag: str) -> bool:
         return not self.commits().where(F.col("tag") == tag).isEmpty()
 
     def _next(self) -> int:
-        last = self.current()
-        return last.version + 1 if last else 1
+        return max(self._numbers("commits"), default=0) + 1
 
     @staticmethod
     def _place(version: int) -> str:
-        return f"data/v={version:08d}"
+        return f"data/v={version:08d}-{uuid.uuid4().hex}"
 
     def _publish(self, version: int, data: str, action: str, tag: str | None) -> int:
-        row = self.spark.createDataFrame([(version, data, action, tag)], _COMMIT)
-        row.coalesce(1).write.mode("append").json(f"{self.root}/commits")
+        row = json.dumps({"version": version, "data": data, "action": action, "tag": tag})
+        path, fs = self._path(f"commits/v={version:08d}.json")
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as error:
+            if not fs.exists(path):
+                raise
+            raise WriteConflict(f"version {version} of {self.root} is taken") from error
+        out.write(bytearray((row + "\n").encode()))
+        out.close()
+        if version % FOLD == 0:
+            self.commits().coalesce(1).write.mode("overwrite").json(f"{self.root}/folded/v={version:08d}")
         return version
 
     # -- data --------------------------------------------------------------
@@ -90,16 +132,36 @@ class SnapshotTable:
         """Write a new version and make it current.
 
         A ``tag`` that is already committed is not written again, so a replayed
-        streaming batch has no second effect.
+        streaming batch has no second effect. A commit by another writer since then
+        is a ``WriteConflict``.
         """
         if tag is not None and self.has_tag(tag):
             return self.current().version
         version = self._next()
         data = self._place(version)
-        # A leftover of a job that died before publishing is replaced.
-        df.write.mode("overwrite").options(**options).parquet(f"{self.root}/{data}")
+        df.write.options(**options).parquet(f"{self.root}/{data}")
         return self._publish(version, data, action, tag)
 
+    def update(
+        self, change: Callable[[DataFrame | None], DataFrame], action: str = "update",
+        tag: str | None = None, attempts: int = 10, **options,
+    ) -> int:
+        """Write ``change`` of the current version (None at first), again if it has moved on."""
+        for left in reversed(range(attempts)):
+            try:
+                number = self._next()
+                commit = self.current()
+                old = None if commit is None else self.spark.read.parquet(f"{self.root}/{commit.data}")
+                if tag is not None and self.has_tag(tag):
+                    return commit.version
+                data = self._place(number)
+                change(old).write.options(**options).parquet(f"{self.root}/{data}")
+                return self._publish(number, data, action, tag)
+            except WriteConflict:
+                if not left:
+                    raise
+        raise AssertionError("at least one attempt is needed")
+
     def staging_place(self) -> str:
         """Where the next version's data belongs, relative to the table."""
         return self._place(self._next())

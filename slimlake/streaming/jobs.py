@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from slimlake import constants as K
@@ -13,7 +14,8 @@ from slimlake.operators import progress
 from slimlake.operators.ledger import reconcile
 from slimlake.operators.scope import EVERYTHING, Scope
 from slimlake.schemas import LEDGER
-from slimlake.sources.snapshots import NothingCommitted, SnapshotTable
+from slimlake.sources.snapshots import SnapshotTable
+from slimlake.streaming.log import BatchLog, stream_id
 
 
 def _start(stream: DataFrame, checkpoint: str, mode: str, work: Callable, every: str | None) -> StreamingQuery:
@@ -22,36 +24,48 @@ def _start(stream: DataFrame, checkpoint: str, mode: str, work: Callable, every:
     return writer.foreachBatch(work).trigger(**trigger).start()
 
 
-def _tag(batch_id: int) -> str:
-    return f"batch-{batch_id}"
-
-
-def _read_or_empty(table: SnapshotTable, schema) -> DataFrame:
-    try:
-        return table.read()
-    except NothingCommitted:
-        return table.spark.createDataFrame([], schema)
+def _tag(batch: DataFrame, batch_id: int) -> str:
+    return f"{stream_id(batch)}/batch-{batch_id}"
 
 
 def ingest_listings(
     listings: DataFrame, table: SnapshotTable, checkpoint: str, scope: Scope = EVERYTHING,
     complete: bool = True, every: str | None = None,
 ) -> StreamingQuery:
-    """Fold each micro-batch of listing rows into the ledger table.
+    """Fold arriving listing rows into the ledger table.
 
-    A batch is committed under its number, so a replay changes nothing. With
-    ``complete`` a batch is a whole listing of ``scope`` and sweeps what it lacks;
-    otherwise it only adds and refreshes.
+    With ``complete``, rows carry the ``listing`` they belong to and its row count,
+    ``listing_rows``. They are set aside until all are in, however the listing is split
+    over micro-batches; then it is folded in once and sweeps what it lacks. Otherwise a
+    micro-batch only adds and refreshes. Either is committed under the stream's identity,
+    so a replay changes nothing.
     """
+    arriving = BatchLog(table.spark, f"{table.root}/arriving", listings.schema)
 
-    def work(batch: DataFrame, batch_id: int) -> None:
-        if table.has_tag(_tag(batch_id)):
-            return
-        old = _read_or_empty(table, LEDGER)
-        merged = reconcile(old, batch, scope, unique=False, sweep=complete)
-        table.write(merged, "ingest", _tag(batch_id))
+    def fold(rows: DataFrame, sweep: bool):
+        def change(old: DataFrame | None) -> DataFrame:
+            old = table.spark.createDataFrame([], LEDGER) if old is None else old
+            return reconcile(old, rows, scope, sweep=sweep)
+
+        return change
 
-    return _start(listings, checkpoint, "append", work, every)
+    def add(batch: DataFrame, batch_id: int) -> None:
+        table.update(fold(batch, sweep=False), "ingest", _tag(batch, batch_id))
+
+    def gather(batch: DataFrame, batch_id: int) -> None:
+        arriving.write(batch, batch_id)
+        stream = stream_id(batch)
+        own = arriving.read().where(F.col("stream") == stream)
+        # One row per listing that has rows in this batch.
+        for name, whole in batch.select("listing", "listing_rows").distinct().collect():
+            rows = own.where(F.col("listing") == name)
+            n = rows.count()
+            if n > whole:
+                raise ValueError(f"listing {name} has {n} rows instead of {whole}")
+            if n == whole:
+                table.update(fold(rows, sweep=True), "ingest", f"{stream}/listing-{name}")
+
+    return _start(listings, checkpoint, "append", gather if complete else add, every)
 
 
 def running_counts(
@@ -61,7 +75,7 @@ def running_counts(
     counts = transitions.groupBy("state").agg(F.count("*").alias("n"))
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        table.write(batch, "counts", _tag(batch_id))
+        table.write(batch, "counts", _tag(batch, batch_id))
 
     return _start(counts, checkpoint, "complete", work, every)
 
@@ -69,8 +83,9 @@ def running_counts(
 def throttled_progress(updates: DataFrame, delay: str, seconds: int = K.PROGRESS_SECONDS) -> DataFrame:
     """At most one line per window: the last value seen in it.
 
-    ``updates`` needs a ``ts`` of type TIMESTAMP; a window is final once the
-    watermark passes its end, which also bounds the state.
+    ``updates`` needs a ``ts`` of type TIMESTAMP. The watermark bounds the state: a
+    window is dropped from it once final. Windows are given whenever they change, see
+    ``keep_windows``.
     """
     return (
         updates.withWatermark("ts", delay)
@@ -88,6 +103,27 @@ def throttled_progress(updates: DataFrame, delay: str, seconds: int = K.PROGRESS
     )
 
 
+WINDOWS = T.StructType(
+    [
+        T.StructField("window_start", T.TimestampType()),
+        T.StructField("path", T.StringType()),
+        T.StructField("state", T.StringType()),
+        T.StructField("updates", T.LongType()),
+    ]
+)
+
+
+def keep_windows(windows: DataFrame, log: BatchLog, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Log every change of a window, so those still open at the end are there too."""
+    return _start(windows, checkpoint, "update", log.write, every)
+
+
+def final_windows(rows: DataFrame) -> DataFrame:
+    """The last state of each window: a window only gains updates."""
+    last = F.max_by(F.struct("path", "state", "updates"), "updates").alias("_last")
+    return rows.groupBy("window_start").agg(last).select("window_start", "_last.*")
+
+
 def append_rows(rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append final rows to Parquet, once each."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
@@ -101,21 +137,19 @@ def append_rows(rows: DataFrame, path: str, checkpoint: str, every: str | None =
 
 
 def latest_counters(
-    updates: DataFrame, table: SnapshotTable, checkpoint: str, every: str | None = None
+    updates: DataFrame, log: BatchLog, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Keep the newest counters of each job; a batch touches only its own jobs."""
+    """Append each batch's counters; ``newest_per_path`` folds them when they are read."""
+    return _start(updates, checkpoint, "append", log.write, every)
 
-    def work(batch: DataFrame, batch_id: int) -> None:
-        if table.has_tag(_tag(batch_id)):
-            return
-        data = [c for c in batch.columns if c not in ("path", "seq")]
-        both = batch.unionByName(_read_or_empty(table, batch.schema))
-        newest = both.groupBy("path").agg(
-            F.max("seq").alias("seq"), F.max_by(F.struct(*data), "seq").alias("_row")
-        )
-        table.write(newest.select("path", "seq", "_row.*"), "counters", _tag(batch_id))
 
-    return _start(updates, checkpoint, "append", work, every)
+def newest_per_path(rows: DataFrame) -> DataFrame:
+    """The newest counters of each job; also what ``BatchLog.compact`` keeps."""
+    data = [c for c in rows.columns if c not in ("path", "seq", "stream", "batch")]
+    newest = rows.groupBy("path").agg(
+        F.max("seq").alias("seq"), F.max_by(F.struct(*data), "seq").alias("_row")
+    )
+    return newest.select("path", "seq", "_row.*")
 
 
 def hand_out_once(claims: DataFrame, delay: str, salts: int = 64) -> DataFrame:
@@ -132,25 +166,27 @@ def hand_out_once(claims: DataFrame, delay: str, salts: int = 64) -> DataFrame:
 
 
 def assemble_progress(
-    lines: DataFrame, table: SnapshotTable, out: str, checkpoint: str, every: str | None = None
+    lines: DataFrame, state: BatchLog, out: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """Turn ``(job, seq, line)`` rows into one row per finished progress block.
 
-    Batches must arrive in ``seq`` order. A block may span batches: the values
-    each job had reached are kept in
-    ``table`` and put before the next batch's lines. Blocks of a batch go to their
-    own folder, which a replay replaces.
+    Batches must arrive in ``seq`` order. A block may span batches: a batch appends the
+    values its own jobs have reached to ``state`` (schema ``progress.REACHED``), and
+    reads those that earlier batches of the same stream left for these jobs. Blocks of a
+    batch go to their own folder, which a replay replaces.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        if table.has_tag(_tag(batch_id)):
-            return
-        carried = _read_or_empty(table, progress.STATE)
+        stream = stream_id(batch)
+        earlier = state.read().where((F.col("stream") == stream) & (F.col("batch") < batch_id))
+        mine = earlier.join(batch.select("job").distinct(), "job", "left_semi")
         values = progress.line_values(batch)
-        joined = progress.with_running_values(values.unionByName(progress.as_lines(carried)))
+        joined = progress.with_running_values(
+            values.unionByName(progress.as_lines(progress.latest_reached(mine)))
+        )
         blocks = progress.finished_blocks(joined)
-        blocks.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
-        table.write(progress.latest_values(joined), "progress", _tag(batch_id))
+        blocks.write.mode("overwrite").parquet(f"{out.rstrip('/')}/stream={stream}/batch={batch_id}")
+        state.write(progress.reached(joined), batch_id)
 
     return _start(lines, checkpoint, "append", work, every)
 

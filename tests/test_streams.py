@@ -8,6 +8,7 @@ from slimlake.operators import progress
 from slimlake.operators.scope import Scope
 from slimlake.sources.snapshots import SnapshotTable
 from slimlake.streaming import jobs
+from slimlake.streaming.log import BatchLog
 from tests.conftest import rows
 
 LISTING = "path string, size long, mod_time string, blake3 string"
@@ -17,26 +18,59 @@ def append(spark, place, data, schema):
     spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(place)
 
 
-def test_ingest_is_idempotent_and_swept(spark, place):
+LISTED = f"{LISTING}, listing string, listing_rows long"
+
+
+def test_a_listing_over_triggers_is_swept_once_it_is_whole(spark, place):
     source, table = f"{place}/in", SnapshotTable(spark, f"{place}/ledger")
-    append(spark, source, [("p/a", 1, "t", None), ("p/b", 2, "t", None)], LISTING)
 
-    def run(checkpoint, **options):
-        stream = jobs.read_stream(spark, source, spark.read.parquet(source).schema, per_trigger=1)
-        jobs.ingest_listings(stream, table, f"{place}/{checkpoint}", Scope(("p",)), **options).awaitTermination()
+    def run(checkpoint, per_trigger=1, folder=source):
+        stream = jobs.read_stream(spark, folder, spark.read.parquet(folder).schema, per_trigger=per_trigger)
+        jobs.ingest_listings(stream, table, f"{place}/{checkpoint}", Scope(("p",))).awaitTermination()
 
+    append(spark, source, [("p/a", 1, "t", None, "one", 2)], LISTED)
+    run("one")
+    assert table.current() is None  # half a listing says nothing about what is gone
+    append(spark, source, [("p/b", 2, "t", None, "one", 2)], LISTED)
     run("one")
+    assert rows(table.read().select("path")) == [("p/a",), ("p/b",)]
     done = table.read().withColumn("state", F.when(F.col("path") == "p/a", "done").otherwise(F.col("state")))
     table.write(done, "run")
-    append(spark, source, [("p/a", 1, "t2", None), ("p/c", 3, "t2", None)], LISTING)
+    append(spark, source, [("p/a", 1, "t2", None, "two", 2), ("p/c", 3, "t2", None, "two", 2)], LISTED)
     run("one")
-    assert rows(table.read().select("path", "state")) == [("p/a", "done"), ("p/c", "pending")]
+    want = [("p/a", "done"), ("p/c", "pending")]
+    assert rows(table.read().select("path", "state")) == want
     version = table.current().version
     run("one")  # nothing new
     assert table.current().version == version
-    append(spark, source, [("p/d", 4, "t3", None)], LISTING)
-    run("one", complete=False)
-    assert rows(table.read().select("path")) == [("p/a",), ("p/c",), ("p/d",)]
+    other = f"{place}/other"
+    append(spark, other, [("p/a", 1, "t3", None, "three", 2), ("p/z", 9, "t3", None, "three", 2)], LISTED)
+    run("two", folder=other)  # another stream starts at batch 0 as well
+    assert rows(table.read().select("path", "state")) == [("p/a", "done"), ("p/z", "pending")]
+    before, version = rows(table.read()), table.current().version
+    run("three", folder=other)  # the same listing on a new checkpoint
+    assert table.current().version == version + 1 and rows(table.read()) == before
+
+
+def test_partial_listings_only_add(spark, place):
+    source, table = f"{place}/in", SnapshotTable(spark, f"{place}/ledger")
+    append(spark, source, [("p/a", 1, "t", None)], LISTING)
+    append(spark, source, [("p/d", 4, "t3", None), ("p/d", 5, "t4", None)], LISTING)
+    stream = jobs.read_stream(spark, source, spark.read.parquet(source).schema, per_trigger=1)
+    jobs.ingest_listings(stream, table, f"{place}/one", Scope(("p",)), complete=False).awaitTermination()
+    assert rows(table.read().select("path", "size")) == [("p/a", 1), ("p/d", 5)]
+
+
+def test_open_windows_are_given_at_the_end(spark, place):
+    source = f"{place}/in"
+    data = [("a", 1, "2024-01-01 00:00:01"), ("b", 2, "2024-01-01 00:00:14"), ("c", 3, "2024-01-01 00:09:00")]
+    for path, seq, ts in data:
+        row = spark.createDataFrame([(path, "s", seq, ts)], "path string, state string, seq long, t string")
+        row.select("path", "state", "seq", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.read_stream(spark, source, spark.read.parquet(source).schema, per_trigger=1)
+    log = BatchLog(spark, f"{place}/windows", jobs.WINDOWS)
+    jobs.keep_windows(jobs.throttled_progress(stream, "1 minute"), log, f"{place}/cp").awaitTermination()
+    assert rows(jobs.final_windows(log.read()).select("path", "updates")) == [("b", 2), ("c", 1)]
 
 
 def test_progress_blocks_span_batches(spark, place):
@@ -47,11 +81,11 @@ def test_progress_blocks_span_batches(spark, place):
         [("a", 3, "progress=continue"), ("b", 4, "out_time_us=9")],
         [("b", 5, "progress=end"), ("a", 6, "speed=3.5x"), ("a", 7, "progress=end")],
     ]
-    table = SnapshotTable(spark, f"{place}/state")
+    state = BatchLog(spark, f"{place}/state", progress.REACHED)
     for data in batches:
         append(spark, source, data, schema)
         stream = jobs.read_stream(spark, source, spark.read.parquet(source).schema)
-        jobs.assemble_progress(stream, table, f"{place}/out", f"{place}/cp").awaitTermination()
+        jobs.assemble_progress(stream, state, f"{place}/out", f"{place}/cp").awaitTermination()
     got = rows(spark.read.parquet(f"{place}/out").select("job", "seq", "out_time_us", "speed"))
     assert got == [("a", 3, 5, 0.0), ("a", 7, 5, 3.5), ("b", 5, 9, 2.0)]
     whole = spark.createDataFrame([r for b in batches for r in b], schema)
@@ -70,11 +104,20 @@ def test_hot_path_is_handed_out_once(spark, place):
     assert sorted(got) == sorted({p for p, _ in data})
 
 
-def test_latest_counters_over_triggers(spark, place):
-    source, table = f"{place}/in", SnapshotTable(spark, f"{place}/t")
+def test_latest_counters_over_triggers_and_streams(spark, place):
+    source = f"{place}/in"
     schema = "path string, seq long, bytes long"
-    for data in ([("a", 1, 10), ("b", 2, 20)], [("a", 5, 50), ("a", 4, 40)], [("b", 1, 1)]):
+    for data in ([("a", 1, 10), ("b", 2, 20)], [("a", 5, 50), ("a", 4, 40), (None, 3, 7)], [("b", 1, 1)]):
         append(spark, source, data, schema)
     stream = jobs.read_stream(spark, source, spark.read.parquet(source).schema, per_trigger=1)
-    jobs.latest_counters(stream, table, f"{place}/cp").awaitTermination()
-    assert rows(table.read().select("path", "seq", "bytes")) == [("a", 5, 50), ("b", 2, 20)]
+    log = BatchLog(spark, f"{place}/t", stream.schema)
+    assert log.read().isEmpty()
+    jobs.latest_counters(stream, log, f"{place}/cp").awaitTermination()
+    want = sorted([("a", 5, 50), ("b", 2, 20), (None, 3, 7)], key=repr)
+    assert rows(jobs.newest_per_path(log.read()).select("path", "seq", "bytes")) == want
+    append(spark, f"{place}/more", [("a", 9, 90)], schema)
+    more = jobs.read_stream(spark, f"{place}/more", stream.schema)
+    jobs.latest_counters(more, log, f"{place}/cp2").awaitTermination()
+    log.compact(jobs.newest_per_path)
+    want = sorted([("a", 9, 90), ("b", 2, 20), (None, 3, 7)], key=repr)
+    assert rows(log.read().select("path", "seq", "bytes")) == want
