@@ -96,13 +96,15 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _answers(tables: np.ndarray, bias: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Answer of each filter at each symbol."""
+    """Answer of each filter at each symbol; none where a text has ended."""
     answer = np.take(tables[0], text, axis=0, mode="clip")
     answer += bias
     more = np.empty_like(answer)
     for step in range(1, WIDTH):
         np.take(tables[step], text[step:], axis=0, out=more[:-step], mode="clip")
         answer[:-step] += more[:-step]
+    # Only a filter that starts beyond a text's end could reach into the next one.
+    answer[text == NOTHING] = -np.inf
     return answer
 
 
@@ -235,6 +237,8 @@ def score_texts(documents: DataFrame, net: ByteNet, columns: list[str]) -> DataF
     """``columns`` of each row and the score of its whole text, without a shuffle."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    chosen = documents.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("__text"))
+    chosen = documents.select(
+        *[F.col(f"`{c}`") for c in columns if c != "score"], F.col("text").alias("__text")
+    )
     schema = chosen.drop("__text").schema.add("score", "double")
     return chosen.mapInArrow(_scorer(spark.sparkContext.broadcast(net)), schema)

@@ -70,7 +70,9 @@ def token_lengths(
     bounded_batches(spark)
     with open(vocabulary, "rb") as file:
         ranks = spark.sparkContext.broadcast(file.read())
-    chosen = documents.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("__text"))
+    chosen = documents.select(
+        *[F.col(f"`{c}`") for c in columns if c != "n_tokens"], F.col("text").alias("__text")
+    )
     schema = chosen.drop("__text").schema.add("n_tokens", "long")
     return chosen.mapInArrow(_lengths(ranks, pattern), schema)
 

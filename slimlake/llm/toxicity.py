@@ -21,7 +21,7 @@ Words: A-Z lower-cased, then ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``. Defined cases:
 and empty texts have no words and get the score that the net gives to no answer at
 all. A language without labels, or null, has the common threshold. Without labels of
 both kinds every score is the share of label 1 (0 without labels). Repeated rows each
-give a row.
+give a row. A column asked for under the name ``score`` gives way to the score.
 """
 
 from __future__ import annotations
@@ -314,7 +314,9 @@ def score_texts(documents: DataFrame, net: WordNet, columns: list[str]) -> DataF
     """``columns`` of each row and the score of its whole text, without a shuffle."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    chosen = documents.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("__text"))
+    chosen = documents.select(
+        *[F.col(f"`{c}`") for c in columns if c != "score"], F.col("text").alias("__text")
+    )
     schema = chosen.drop("__text").schema.add("score", "double")
     return chosen.mapInArrow(_scorer(spark.sparkContext.broadcast(net)), schema)
 
