@@ -7,10 +7,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from slimlake import catalog
 from tests.compare import compare, duck
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +32,7 @@ def test_only_inexpressible_queries_lack_an_oracle():
     assert sorted(set(QUERIES) - set(ORACLES)) == [
         "S2_direct_listing", "V10_measured_ratios",
     ]
+
+
+def test_the_entry_lists_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
