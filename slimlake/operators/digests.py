@@ -92,6 +92,41 @@ def _keys(df: DataFrame) -> list[Column]:
     return [*[_comparable(f) for f in df.schema.fields], *signs]
 
 
+def _encoded(field: T.StructField) -> Column:
+    """Text of a value that no other value of its type has; null for null."""
+    value = _comparable(field)
+    if isinstance(field.dataType, T.StringType):
+        return F.col(field.name)
+    if isinstance(field.dataType, T.BinaryType):
+        return F.hex(value)
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(
+            F.struct(value.alias("v")),
+            {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
+        )
+    return value.cast("string")
+
+
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of the whole row: each value's text behind its length, or a mark for null."""
+    texts = [_encoded(f) for f in df.schema.fields]
+    parts = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("n")) for x in texts]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def same_rows(left: DataFrame, right: DataFrame) -> bool:
+    """Whether both sides have the same rows, equally often.
+
+    A digest and a count per distinct row are all that is shuffled.
+    """
+    if left.columns != right.columns:
+        raise ValueError(f"columns differ: {left.columns} and {right.columns}")
+    one = left.select(row_digest(left).alias("_d"), F.lit(1).cast("long").alias("_n"))
+    other = right.select(row_digest(right).alias("_d"), F.lit(-1).cast("long").alias("_n"))
+    counted = one.union(other).groupBy("_d").agg(F.sum("_n").alias("surplus"))
+    return counted.where("surplus <> 0").isEmpty()
+
+
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows whose multiplicity differs, with ``surplus`` = left minus right count.
 

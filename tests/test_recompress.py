@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -66,6 +68,25 @@ def test_symmetric_difference_keeps_multiplicity(spark):
     assert rows(got) == [(1, "left", 2), (2, "left", 1), (3, "right", 2)]
 
 
+def test_same_rows_tells_values_apart(spark):
+    def table(*data):
+        return spark.createDataFrame(list(data), "s string, d double, b binary, m map<string,int>, t timestamp_ntz, a array<string>")
+
+    at = datetime(2024, 5, 6, 7, 8, 9, 123456)
+    row = ("x", 0.5, b"\x00", {"p": 1, "q": None}, at, ["u", None])
+    assert digests.same_rows(table(row, row), table(row, row))
+    assert digests.same_rows(table(row), table(("x", 0.5, b"\x00", {"q": None, "p": 1}, at, ["u", None])))
+    for place, value in enumerate(["", -0.5, b"", {"p": 1}, at.replace(microsecond=123457), ["u"]]):
+        for other in (value, None):
+            changed = (*row[:place], other, *row[place + 1 :])
+            assert not digests.same_rows(table(row), table(changed))
+    assert not digests.same_rows(table(row, row), table(row))
+    zero, minus = ("x", 0.0, None, None, None, None), ("x", -0.0, None, None, None, None)
+    assert not digests.same_rows(table(zero), table(minus))
+    text = spark.createDataFrame([("1:a", "b")], "x string, y string")
+    assert not digests.same_rows(text, spark.createDataFrame([("1", "a1:b")], "x string, y string"))
+
+
 def make(spark, place, df):
     out = SnapshotTable(spark, f"{place}/t")
     out.write(df, "import", compression="uncompressed")
