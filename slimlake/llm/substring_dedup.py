@@ -47,13 +47,13 @@ COPY_BITS = 26
 _SPARSE = "block int, once binary, twice binary"
 _FOUND = (
     "row bigint, id bigint, digest string, n_words bigint, body string, clear string, "
-    "h1 bigint, h2 int, at array<int>"
+    "h1 bigint, h2 int, at int, rest array<int>"
 )
 _FOUND_TYPES = [
     pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(),
-    pa.list_(pa.int32()),
+    pa.int32(), pa.list_(pa.int32()),
 ]
-_FOUND_NAMES = ["row", "id", "digest", "n_words", "body", "clear", "h1", "h2", "at"]
+_FOUND_NAMES = ["row", "id", "digest", "n_words", "body", "clear", "h1", "h2", "at", "rest"]
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -227,14 +227,18 @@ def _candidates(window: int, gram: int, rows: int, width: int, sketch, form: str
                 new = np.ones(len(starts), dtype=bool)
                 new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (text[1:] != text[:-1])
                 first = np.flatnonzero(new)
-                at = pa.ListArray.from_arrays(
-                    pa.array(np.append(first, len(starts)).astype(np.int32)),
-                    pa.array((starts - words.bounds[text]).astype(np.int32)),
+                at = (starts - words.bounds[text]).astype(np.int32)
+                # Mostly a window occurs once in its text; only the others need a list.
+                others = np.diff(np.append(first, len(starts))) - 1
+                rest = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(others)]).astype(np.int32)),
+                    pa.array(at[~new]),
+                    mask=pa.array(others == 0),
                 )
                 of = pa.array(text[first])
                 yield _rows(
                     row=piece.column("row").take(of), id=piece.column("id").take(of),
-                    h1=signed(h1[first]), h2=h2[first].view(np.int32), at=at,
+                    h1=signed(h1[first]), h2=h2[first].view(np.int32), at=at[first], rest=rest,
                 )
 
     return find
@@ -308,11 +312,13 @@ def remove_repeats(
     )
 
     both = found.where("digest IS NULL").unionByName(more)
-    windows = both.where("h1 IS NOT NULL").select("row", "id", "h1", "h2", "at")
+    windows = both.where("h1 IS NOT NULL").select("row", "id", "h1", "h2", "at", "rest")
     firsts = windows.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     firsts = kept(firsts.where("first_id < last_id").drop("last_id"), "repeated-windows")
     later = windows.join(firsts, ["h1", "h2"]).where("id > first_id")
-    starts = later.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("starts"))
+    starts = later.groupBy("row").agg(
+        F.concat(F.collect_list("at"), F.flatten(F.collect_list("rest"))).alias("starts")
+    )
     texts = both.where("h1 IS NULL")
     clear = texts.where("clear IS NOT NULL").select(
         F.col("id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("clear").alias("kept")
