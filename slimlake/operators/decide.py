@@ -156,13 +156,16 @@ def decide_in_two_steps(files: DataFrame, limits: Limits, heads: DataFrame, prob
     cheap = with_decision(files, limits)
     open_rows = F.col("skip_reason").isNull() | (F.col("skip_reason") == "needs_probe")
     settled = cheap.where(~open_rows)
-    name_is_media = is_video(kind_of("path")) | F.lower("path").endswith(".m4a")
+    kind, is_m4a = kind_of("path"), F.lower("path").endswith(".m4a")
+    name_is_media = is_video(kind) | is_m4a
+    # The heads and probes of other names say nothing; they stay where they are.
+    heads = heads.where(is_image(kind) | (kind == "mpeg_ts") | is_m4a)
+    probes = probes.where(name_is_media)
     facts = (
         cheap.where(open_rows)
         .select(*data)
         .join(heads.select("path", "head"), "path", "left")
         .join(probes.select("path", "probe"), "path", "left")
-        .withColumn("probe", F.when(name_is_media, F.col("probe")))
     )
     again = with_decision(facts, limits, head="head", probe="probe").drop("head", "probe")
     return settled.unionByName(again)

@@ -298,14 +298,12 @@ def newer_than(days: int, as_of) -> Column:
 def completed_for(ledger: DataFrame, wanted: DataFrame) -> DataFrame:
     """Completed rows by original or by output path, for a set of paths.
 
-    Two equality joins rather than one join on an OR, which would compare every
-    pair of rows.
+    Each row stands beside both of its paths, so one equality join serves; a join on
+    an OR would compare every pair of rows.
     """
-    done = ledger.where(is_completed())
-    keys = wanted.select(F.col("path").alias("wanted")).distinct()
-    by_source = done.join(keys, F.col("path") == F.col("wanted"))
-    by_output = done.join(keys, F.col("output_path") == F.col("wanted"))
-    return by_source.unionByName(by_output).dropDuplicates(["wanted", "path"])
+    both = F.array_distinct(F.array_compact(F.array("path", "output_path")))
+    done = ledger.where(is_completed()).withColumn("wanted", F.explode(both))
+    return done.join(wanted.select(F.col("path").alias("wanted")).distinct(), "wanted")
 
 
 def tuned_settings(files: DataFrame, ledger: DataFrame) -> DataFrame:
