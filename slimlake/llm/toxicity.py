@@ -8,7 +8,9 @@ the text alone.
 
 The model is fitted on the driver from at most ``per_class`` labelled texts of either
 label, taken in the order of a digest of their ids; a sampled text longer than
-``sample_bytes`` gives that many bytes in pieces spread over it. The weights, some
+``sample_bytes`` gives that many bytes in pieces spread over it. Where one label is
+sampled more thinly than the other, the last bias is moved back by the log ratio, so
+that a score means the same whatever the sample's size. The weights, some
 megabytes whatever the input, are broadcast. Scoring reads every whole text, each
 text's answer is independent of the others, and nothing is shuffled.
 
@@ -212,14 +214,18 @@ def train(
     return net
 
 
-def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
-    """The middle of the widest stretch of cuts with the best F1."""
-    order = np.argsort(score, kind="stable")
-    score, label = score[order], label[order]
-    positives = label.sum()
-    kept_positives = positives - np.concatenate([[0], np.cumsum(label)])
-    chosen = len(label) - np.arange(len(label) + 1)
-    f1 = 2 * kept_positives / np.maximum(chosen + positives, 1)
+def best_threshold(score: np.ndarray, label: np.ndarray, stands_for: np.ndarray) -> float:
+    """The middle of the widest stretch of cuts with the best F1.
+
+    Each score counts as often as it stands for; equal scores are never cut apart.
+    """
+    score, place = np.unique(score, return_inverse=True)
+    rows = np.bincount(place, weights=stands_for)
+    positive = np.bincount(place, weights=stands_for * label)
+    positives = positive.sum()
+    kept_positives = positives - np.concatenate([[0], np.cumsum(positive)])
+    chosen = rows.sum() - np.concatenate([[0], np.cumsum(rows)])
+    f1 = 2 * kept_positives / np.maximum(chosen + positives, 1e-9)
     edges = np.concatenate([[0.0], score, [1.0]])
     good = np.flatnonzero(f1 >= f1.max() - 1e-12)
     widest = good[np.argmax(edges[good + 1] - edges[good])]
@@ -227,18 +233,23 @@ def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
 
 
 def calibrate(
-    score: np.ndarray, label: np.ndarray, language: np.ndarray, weight: int = 20
+    score: np.ndarray,
+    label: np.ndarray,
+    language: np.ndarray,
+    weight: int = 20,
+    stands_for: np.ndarray | None = None,
 ) -> tuple[float, dict[str, float]]:
     """The common threshold and each language's, the latter shrunk to the former."""
     if not 0 < label.sum() < len(label):
         return 0.7, {}
-    common = best_threshold(score, label)
+    stands_for = np.ones(len(label)) if stands_for is None else stands_for
+    common = best_threshold(score, label, stands_for)
     by = {}
     for name in sorted({x for x in language if x is not None}):
         mine = language == name
         positives = int(label[mine].sum())
         if 0 < positives < mine.sum():
-            own = best_threshold(score[mine], label[mine])
+            own = best_threshold(score[mine], label[mine], stands_for[mine])
             by[name] = (positives * own + weight * common) / (positives + weight)
     return common, by
 
@@ -257,11 +268,13 @@ def sample_labelled(
 ) -> pd.DataFrame:
     """At most ``per_class`` texts of either label, in the order of a digest of their ids.
 
-    ``learn`` says, from the labels' doc_id, which may be used.
+    ``learn`` says, from the labels' doc_id, which may be used. ``stands_for`` is how many
+    labelled rows of its label each text stands for.
     """
     marks = labels.where(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     marks = marks.withColumn("_order", F.md5(F.col("doc_id").cast("string")))
+    found = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     parts = [
         marks.where(F.col("label") == value).orderBy("_order", "doc_id").limit(per_class) for value in (0, 1)
     ]
@@ -271,7 +284,16 @@ def sample_labelled(
     joined = named.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         *[F.min(F.struct("text", "label", *columns)).alias("_row")]
     )
-    return joined.select("doc_id", "_row.*").orderBy(F.md5(F.col("doc_id").cast("string"))).toPandas()
+    sample = joined.select("doc_id", "_row.*").orderBy(F.md5(F.col("doc_id").cast("string"))).toPandas()
+    stands_for = {value: max(1.0, count / per_class) for value, count in found.items()}
+    return sample.assign(stands_for=sample["label"].map(stands_for).astype(float))
+
+
+def unsampled_bias(label: np.ndarray, stands_for: np.ndarray) -> float:
+    """What a logit learned from the sample lacks to hold for all labelled rows."""
+    if not 0 < label.sum() < len(label):
+        return 0.0
+    return float(np.log(stands_for[label == 1][0] / stands_for[label == 0][0]))
 
 
 def fit(
@@ -286,12 +308,14 @@ def fit(
     sample = sample_labelled(documents, labels, label, learn, per_class, ["lang"])
     rows, bounds = sample_words([spread_bytes(t.encode(), sample_bytes) for t in sample["text"]])
     marks = sample["label"].to_numpy(dtype=np.int64)
+    stands_for = sample["stands_for"].to_numpy()
     aside = np.arange(len(marks)) % 6 == 5
     own, used = select_texts(rows, bounds, ~aside)
     net = train(own, used, marks[~aside])
+    net.last_bias += unsampled_bias(marks[~aside], stands_for[~aside])
     own, used = select_texts(rows, bounds, aside)
     language = sample["lang"].to_numpy(dtype=object)[aside]
-    return net, *calibrate(scores(net, own, used), marks[aside], language)
+    return net, *calibrate(scores(net, own, used), marks[aside], language, stands_for=stands_for[aside])
 
 
 def _scorer(model):

@@ -105,3 +105,21 @@ def test_keep_clean_drops_rejected_rows_only(spark):
     assert stay.columns == docs.columns
     ids = {r["doc_id"] for r in stay.collect()}
     assert ids == {*range(0, 200, 2), 500, 501}
+
+
+@pytest.mark.parametrize("per_class", [60, 1000])
+def test_scores_keep_the_labels_shares_however_few_are_sampled(spark, per_class):
+    # Nothing in the texts tells the labels apart: the score is the share of label 1.
+    docs = shared.documents(spark, [(i, "all the same words", "en", "a") for i in range(600)])
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600)], "doc_id bigint, mark int")
+    net = quality_net.fit(docs, labels, F.lit(True), label="mark", per_class=per_class)
+    words, _, _ = toxicity.fit(docs, labels, F.lit(True), label="mark", per_class=per_class)
+    for scored in quality_net.score_texts(docs, net, []), toxicity.score_texts(docs, words, []):
+        assert scored.first()["score"] == pytest.approx(1 / 6, abs=0.1)
+
+
+def test_thresholds_count_what_a_text_stands_for():
+    score, label = np.array([0.2, 0.4, 0.6, 0.6, 0.8]), np.array([0, 1, 0, 1, 1])
+    even = toxicity.best_threshold(score, label, np.ones(5))
+    thin = toxicity.best_threshold(score, label, np.where(label == 0, 9.0, 1.0))
+    assert even == pytest.approx(0.3) and thin == pytest.approx(0.7)
