@@ -14,10 +14,12 @@ that a score means the same whatever the sample's size. The weights, some
 megabytes whatever the input, are broadcast. Scoring reads every whole text, each
 text's answer is independent of the others, and nothing is shuffled.
 
-Thresholds are calibrated by language on a sixth of the sample that the net has not
-seen: for each language the score that separates its labels best, drawn towards the
-common one where labels are few. They decide what is rejected and are no input of the
-score.
+Thresholds are calibrated by language on every labelled text that the net has not seen:
+a sixth of the sample and all that was not sampled. They are scored whole, like any
+other, and counted in ``BINS`` bins of the score. For each language the cut that
+separates its labels best is taken, drawn towards the common one where labels are few.
+They decide what is rejected and are no input of the score. Texts without a label are
+passed over by a bit table of ids, so only labelled ones are scored twice.
 
 Words: A-Z lower-cased, then ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``. Defined cases: null
 and empty texts have no words and get the score that the net gives to no answer at
@@ -45,6 +47,8 @@ DIMENSION = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 6)
+#: A power of two, so that borders of bins are exact.
+BINS = 4096
 
 
 @dataclass
@@ -214,10 +218,11 @@ def train(
     return net
 
 
-def best_threshold(score: np.ndarray, label: np.ndarray, stands_for: np.ndarray) -> float:
+def best_threshold(score: np.ndarray, label: np.ndarray, stands_for: np.ndarray, width: float = 0.0) -> float:
     """The middle of the widest stretch of cuts with the best F1.
 
-    Each score counts as often as it stands for; equal scores are never cut apart.
+    Each score counts as often as it stands for; equal scores are never cut apart. A
+    score may be the lower border of a bin of some ``width``.
     """
     score, place = np.unique(score, return_inverse=True)
     rows = np.bincount(place, weights=stands_for)
@@ -226,10 +231,10 @@ def best_threshold(score: np.ndarray, label: np.ndarray, stands_for: np.ndarray)
     kept_positives = positives - np.concatenate([[0], np.cumsum(positive)])
     chosen = rows.sum() - np.concatenate([[0], np.cumsum(rows)])
     f1 = 2 * kept_positives / np.maximum(chosen + positives, 1e-9)
-    edges = np.concatenate([[0.0], score, [1.0]])
+    below, above = np.concatenate([[0.0], score + width]), np.concatenate([score, [1.0]])
     good = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    widest = good[np.argmax(edges[good + 1] - edges[good])]
-    return float((edges[widest] + edges[widest + 1]) / 2)
+    widest = good[np.argmax((above - below)[good])]
+    return float((below[widest] + above[widest]) / 2)
 
 
 def calibrate(
@@ -237,19 +242,25 @@ def calibrate(
     label: np.ndarray,
     language: np.ndarray,
     weight: int = 20,
+    texts: np.ndarray | None = None,
     stands_for: np.ndarray | None = None,
+    width: float = 0.0,
 ) -> tuple[float, dict[str, float]]:
-    """The common threshold and each language's, the latter shrunk to the former."""
+    """The common threshold and each language's, the latter shrunk to the former.
+
+    Each row is so many ``texts``, which stand for so many labelled ones.
+    """
     if not 0 < label.sum() < len(label):
         return 0.7, {}
-    stands_for = np.ones(len(label)) if stands_for is None else stands_for
-    common = best_threshold(score, label, stands_for)
+    texts = np.ones(len(label), dtype=np.int64) if texts is None else texts
+    stands_for = texts if stands_for is None else stands_for
+    common = best_threshold(score, label, stands_for, width)
     by = {}
     for name in sorted({x for x in language if x is not None}):
         mine = language == name
-        positives = int(label[mine].sum())
-        if 0 < positives < mine.sum():
-            own = best_threshold(score[mine], label[mine], stands_for[mine])
+        positives = int(texts[mine] @ label[mine])
+        if 0 < positives < texts[mine].sum():
+            own = best_threshold(score[mine], label[mine], stands_for[mine], width)
             by[name] = (positives * own + weight * common) / (positives + weight)
     return common, by
 
@@ -263,17 +274,23 @@ def spread_bytes(data: bytes, limit: int, parts: int = 16) -> bytes:
     return b" ".join(data[s : s + size] for s in starts)
 
 
+def labelled(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """doc_id and label of what may be used, one row per id.
+
+    ``learn`` says, from the labels' doc_id, which may be used.
+    """
+    marks = labels.where(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    return marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
 def sample_labelled(
     documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, columns: list[str]
 ) -> pd.DataFrame:
     """At most ``per_class`` texts of either label, in the order of a digest of their ids.
 
-    ``learn`` says, from the labels' doc_id, which may be used. ``stands_for`` is how many
-    labelled rows of its label each text stands for.
+    ``stands_for`` is how many labelled rows of its label each text stands for.
     """
-    marks = labels.where(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-    marks = marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    marks = marks.withColumn("_order", F.md5(F.col("doc_id").cast("string")))
+    marks = labelled(labels, label, learn).withColumn("_order", F.md5(F.col("doc_id").cast("string")))
     found = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     parts = [
         marks.where(F.col("label") == value).orderBy("_order", "doc_id").limit(per_class) for value in (0, 1)
@@ -313,9 +330,43 @@ def fit(
     own, used = select_texts(rows, bounds, ~aside)
     net = train(own, used, marks[~aside])
     net.last_bias += unsampled_bias(marks[~aside], stands_for[~aside])
-    own, used = select_texts(rows, bounds, aside)
-    language = sample["lang"].to_numpy(dtype=object)[aside]
-    return net, *calibrate(scores(net, own, used), marks[aside], language, stands_for=stands_for[aside])
+    known = labelled(labels, label, learn)
+    seen = documents.sparkSession.createDataFrame(
+        [(i,) for i in sample["doc_id"][~aside].tolist()], known.select("doc_id").schema
+    )
+    # 2 * per_class ids at most.
+    unseen = known.join(F.broadcast(seen), "doc_id", "left_anti")
+    bins = score_bins(documents, unseen, net)
+    mark, texts = bins["label"].to_numpy(dtype=np.int64), bins["texts"].to_numpy(dtype=np.int64)
+    # The net has taken more of one label than of the other.
+    left = np.bincount(mark, weights=texts, minlength=2)
+    all_ = left + np.bincount(marks[~aside], minlength=2)
+    each = all_ / np.maximum(left, 1)
+    return net, *calibrate(
+        bins["bin"].to_numpy() / BINS, mark, bins["lang"].to_numpy(dtype=object),
+        texts=texts, stands_for=texts * each[mark], width=1 / BINS,
+    )
+
+
+def maybe_among(documents: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """The rows whose doc_id is in ``ids``, and few others, without a shuffle of texts."""
+    hashed = F.xxhash64(F.col("doc_id").cast("string"))
+    word = F.shiftright(hashed.bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    place = hashed.bitwiseAND(F.lit(63)).cast("int")
+    table = ids.select(word.alias("__word"), place.alias("__place")).groupBy("__word").agg(
+        F.bit_or(F.expr("shiftleft(1L, __place)")).alias("__bits")
+    )
+    # 2 ** (bits - 6) rows at most.
+    hit = (word == F.col("__word")) & (F.getbit("__bits", place) == 1)
+    return documents.join(F.broadcast(table), hit, "left_semi")
+
+
+def score_bins(documents: DataFrame, marks: DataFrame, net: WordNet) -> pd.DataFrame:
+    """lang, label, bin of the score, and the labelled whole texts there: ``BINS`` bins at most."""
+    some = maybe_among(documents.where("doc_id IS NOT NULL AND text IS NOT NULL"), marks)
+    place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin")
+    scored = score_texts(some, net, ["doc_id", "lang"]).groupBy("doc_id", "lang", place).count()
+    return scored.join(marks, "doc_id").groupBy("lang", "label", "bin").agg(F.sum("count").alias("texts")).toPandas()
 
 
 def _scorer(model):

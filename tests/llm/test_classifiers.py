@@ -123,3 +123,37 @@ def test_thresholds_count_what_a_text_stands_for():
     even = toxicity.best_threshold(score, label, np.ones(5))
     thin = toxicity.best_threshold(score, label, np.where(label == 0, 9.0, 1.0))
     assert even == pytest.approx(0.3) and thin == pytest.approx(0.7)
+
+
+def test_thresholds_come_from_every_text_the_net_has_not_seen(spark, monkeypatch):
+    def text(i):
+        return " ".join(shared.prose(i, 40, 200)) + (" awful" if i % 2 else "")
+
+    docs = shared.documents(spark, [(i, text(i), "en" if i < 400 else "de", "a") for i in range(440)]).cache()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(440)], "doc_id bigint, toxic int")
+    asked = []
+    calibrate = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda *a, **b: asked.append((a, b)) or calibrate(*a, **b))
+    net, common, by = toxicity.fit(docs, labels, F.lit(True), per_class=60)
+    (_, label, language), more = asked[0]
+    # 120 are sampled, 100 of which the net learns from.
+    assert more["texts"].sum() == 340 and {"en", "de"} == set(language) == set(by)
+    # Every label counts as often as it is given.
+    assert np.bincount(label, weights=more["stands_for"]) == pytest.approx([220, 220])
+
+
+def test_long_texts_are_calibrated_whole(spark):
+    # 200 KB without a bad word but near the end, which an excerpt of the text leaves out.
+    net = toxicity.WordNet.fresh(1, 0.5)
+    body = " ".join(shared.prose(3, 30_000, 200))
+    docs = shared.documents(spark, [(1, body, "en", "a"), (2, body + " awful", None, "a"), (3, "no label", "en", "a")])
+    marks = spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, label int")
+    bins = toxicity.score_bins(docs, marks, net)
+    whole = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs, net, ["doc_id"]).collect()}
+    found = {label: low for label, low in zip(bins["label"], bins["bin"])}
+    assert bins["texts"].sum() == 2 and found == {k: int(whole[i] * toxicity.BINS) for k, i in ((0, 1), (1, 2))}
+
+
+def test_bins_are_never_cut():
+    score, label, texts = np.array([0.0, 0.25, 0.25, 0.75]), np.array([0, 0, 1, 1]), np.array([9, 5, 1, 7])
+    assert toxicity.best_threshold(score, label, texts, 0.25) == pytest.approx(0.625)
