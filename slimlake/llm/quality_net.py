@@ -9,7 +9,8 @@ score depends on the text alone.
 
 The net is fitted on the driver from at most ``per_class`` labelled texts of either
 label, taken in the order of a digest of their ids; a sampled text longer than
-``sample_bytes`` gives that many bytes in pieces spread over it. Where one label is
+``sample_bytes`` gives that many bytes in pieces spread over it, cut out by the tasks
+before they reach the driver. Where one label is
 sampled more thinly than the other, the last bias is moved back by the log ratio, so
 that a score means the same whatever the sample's size. The weights are a few
 hundred kilobytes and are broadcast. Scoring reads every whole text in bounded pieces
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from slimlake.llm.common import bounded_batches
 from slimlake.llm.lanes import SPACED, Words, pieces, spread, text_bytes
-from slimlake.llm.toxicity import _Adagrad, sample_labelled, spread_bytes, unsampled_bias
+from slimlake.llm.toxicity import _Adagrad, sample_labelled, unsampled_bias
 
 SYMBOLS = 512
 NOTHING = SYMBOLS
@@ -213,8 +214,8 @@ def fit(
     sample_bytes: int = 1 << 14,
 ) -> ByteNet:
     """Fit on the labelled rows that ``learn`` allows."""
-    sample = sample_labelled(documents, labels, label, learn, per_class, [])
-    texts = [spread_bytes(t.encode(), sample_bytes) for t in sample["text"]]
+    sample = sample_labelled(documents, labels, label, learn, per_class, [], sample_bytes)
+    texts = [bytes(t) for t in sample["text"]]
     marks = sample["label"].to_numpy(dtype=np.int64)
     net = train(texts, marks)
     net.last_bias += unsampled_bias(marks, sample["stands_for"].to_numpy())

@@ -8,7 +8,8 @@ the text alone.
 
 The model is fitted on the driver from at most ``per_class`` labelled texts of either
 label, taken in the order of a digest of their ids; a sampled text longer than
-``sample_bytes`` gives that many bytes in pieces spread over it. Where one label is
+``sample_bytes`` gives that many bytes in pieces spread over it, cut out by the tasks
+before they reach the driver. Where one label is
 sampled more thinly than the other, the last bias is moved back by the log ratio, so
 that a score means the same whatever the sample's size. The weights, some
 megabytes whatever the input, are broadcast. Scoring reads every whole text, each
@@ -283,11 +284,29 @@ def labelled(labels: DataFrame, label: str, learn: Column) -> DataFrame:
     return marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
 
 
+def _excerpts(limit: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("text")
+            texts = pa.array([spread_bytes(t.as_py().encode(), limit) for t in batch.column(place)], pa.binary())
+            columns = [texts if k == place else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return cut
+
+
 def sample_labelled(
-    documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, columns: list[str]
+    documents: DataFrame,
+    labels: DataFrame,
+    label: str,
+    learn: Column,
+    per_class: int,
+    columns: list[str],
+    sample_bytes: int,
 ) -> pd.DataFrame:
     """At most ``per_class`` texts of either label, in the order of a digest of their ids.
 
+    ``text`` is the text's bytes, or ``sample_bytes`` of them and the seams in between.
     ``stands_for`` is how many labelled rows of its label each text stands for.
     """
     marks = labelled(labels, label, learn).withColumn("_order", F.md5(F.col("doc_id").cast("string")))
@@ -301,7 +320,11 @@ def sample_labelled(
     joined = named.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         *[F.min(F.struct("text", "label", *columns)).alias("_row")]
     )
-    sample = joined.select("doc_id", "_row.*").orderBy(F.md5(F.col("doc_id").cast("string"))).toPandas()
+    bounded_batches(documents.sparkSession)
+    chosen = joined.select("doc_id", "_row.*")
+    fields = [f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in chosen.schema]
+    cut = chosen.mapInArrow(_excerpts(sample_bytes), ", ".join(fields))
+    sample = cut.orderBy(F.md5(F.col("doc_id").cast("string"))).toPandas()
     stands_for = {value: max(1.0, count / per_class) for value, count in found.items()}
     return sample.assign(stands_for=sample["label"].map(stands_for).astype(float))
 
@@ -322,8 +345,8 @@ def fit(
     sample_bytes: int = 1 << 15,
 ) -> tuple[WordNet, float, dict[str, float]]:
     """The net, the common threshold and those by language."""
-    sample = sample_labelled(documents, labels, label, learn, per_class, ["lang"])
-    rows, bounds = sample_words([spread_bytes(t.encode(), sample_bytes) for t in sample["text"]])
+    sample = sample_labelled(documents, labels, label, learn, per_class, ["lang"], sample_bytes)
+    rows, bounds = sample_words([bytes(t) for t in sample["text"]])
     marks = sample["label"].to_numpy(dtype=np.int64)
     stands_for = sample["stands_for"].to_numpy()
     aside = np.arange(len(marks)) % 6 == 5

@@ -157,3 +157,13 @@ def test_long_texts_are_calibrated_whole(spark):
 def test_bins_are_never_cut():
     score, label, texts = np.array([0.0, 0.25, 0.25, 0.75]), np.array([0, 0, 1, 1]), np.array([9, 5, 1, 7])
     assert toxicity.best_threshold(score, label, texts, 0.25) == pytest.approx(0.625)
+
+
+def test_the_driver_gets_excerpts_of_long_texts(spark):
+    texts = ["é" + " ".join(shared.prose(i, 20_000)) for i in range(4)] + ["short été", ""]
+    docs = shared.documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id bigint, mark int")
+    sample = toxicity.sample_labelled(docs, labels, "mark", F.lit(True), 10, ["lang"], 1 << 12)
+    found = {i: bytes(t) for i, t in zip(sample["doc_id"], sample["text"])}
+    assert found == {i: toxicity.spread_bytes(t.encode(), 1 << 12) for i, t in enumerate(texts)}
+    assert max(map(len, found.values())) < (1 << 12) + 16
