@@ -1,15 +1,17 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes pairs, word sets decide.
+"""N-gram Jaccard join: MinHash LSH of one depth proposes pairs, word sets decide.
 
 Texts are compared by their sets of ``shingle`` consecutive words (A-Z lower-cased,
 split at white space; a shorter text is one shingle). Rows with equal sets are one
 class, so copies cost one row each and never meet as pairs.
 
-Every class has ``trees`` signatures of min-hashes. A tree is the trie of one
-signature's prefixes: classes that share a prefix are in one node. Long prefixes give
-few and similar pairs but miss many; ``forest_depth`` starts at the deepest level and
-shortens the prefix until the forest meets pairs at the threshold with the target
-recall, ``1 - (1 - similarity ** depth) ** trees``. With 24 trees and a recall of
-0.99999 that is depth 4.
+Every class has ``trees`` signatures of ``depth`` min-hashes each. Classes with an equal
+signature in a tree are in one node. The method's forest, in which prefixes are tries
+and shortened from the data, is reduced to one fixed depth: ``forest_depth`` takes the
+longest that meets pairs at the threshold with the target recall,
+``1 - (1 - similarity ** depth) ** trees``, from the parameters alone. With 24 trees and
+a recall of 0.99999 that is depth 4. Deeper levels would only be met earlier by pairs
+that depth 4 finds as well, so no link depends on them; they could make large nodes
+smaller.
 
 Nodes are sorted runs of equal prefixes. A node is verified exactly, by intersecting
 the word sets of its members with one matrix product; a pair counts only in the first
