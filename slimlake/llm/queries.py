@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from slimlake.llm import (
     decontaminate, line_rules, mixing, near_duplicates, quality_net, sharding, substring_dedup,
-    token_counts, toxicity, url_filters,
+    token_counts, token_files, toxicity, url_filters,
 )
-from slimlake.session import prepare
+from slimlake.session import prepare, scratch
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -265,6 +265,12 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    documents, place = _read(spark, folder, "documents"), scratch(spark, "token-ids")
+    token_files.write_ids(documents, place)
+    return token_files.read_ids(spark, place, form="crc32").withColumnRenamed("crc32", "ids_crc32")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -276,6 +282,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_token_files": op11_token_files,
 }
 
 ORACLES = {"op1_quality_rules": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_url_filters": OP8_SQL}
