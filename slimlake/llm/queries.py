@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slimlake.llm import (
     decontaminate, line_rules, mixing, near_duplicates, quality_net, sharding, substring_dedup,
-    token_counts, token_files, toxicity, url_filters,
+    token_counts, token_files, toxicity, url_filters, whitening,
 )
 from slimlake.session import prepare, scratch
 
@@ -271,6 +271,12 @@ def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_ids(spark, place, form="crc32").withColumnRenamed("crc32", "ids_crc32")
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whole_vectors(_read(spark, folder, "embeddings"))
+    whitened = whitening.whiten(rows, whitening.fit(rows), ["vec_id"])
+    return whitened.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -283,6 +289,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_token_files": op11_token_files,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES = {"op1_quality_rules": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_url_filters": OP8_SQL}

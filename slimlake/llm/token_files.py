@@ -16,9 +16,9 @@ words, the escaped ids. A chunk knows its task and how many ids of the task prec
 it; where a task's ids begin follows from one total for each task.
 
 Encoding: a byte-level tokenizer splits a text before it merges: always between words,
-marks and single spaces or line ends. So the texts are cut there and every distinct
-piece is encoded once by the tokenizer and remembered, up to ``MEMORY`` pieces in a
-worker. Where a piece begins or ends in other white space, where the text spells one of
+marks and single spaces or line ends. So the texts are cut at spaces, and there within
+what stands between; every distinct part is encoded once by the tokenizer and remembered,
+up to ``MEMORY`` of them in a worker. Where a piece begins or ends in other white space, where the text spells one of
 the tokenizer's added tokens, and for other kinds of tokenizers, the whole text goes to
 the tokenizer. The ids are the same.
 
@@ -57,7 +57,9 @@ CHUNK = 1 << 16
 CHUNKS_IN_FILE = 128
 #: Ids packed at a time, so that a long document needs no more memory than its ids.
 STEP = 256 * BLOCK
-MEMORY = 1 << 19
+MEMORY = 1 << 18
+#: Texts looked up together.
+AT_ONCE = 100
 #: New words given to the tokenizer as one text.
 TOGETHER = 64
 #: No word takes more ids.
@@ -263,51 +265,74 @@ class TextEncoder:
         parsed = json.loads(spec)
         self.by_piece = _cuts_at_spaces(parsed)
         self.added = [token["content"] for token in parsed.get("added_tokens", [])]
+        #: Ids of pieces, and of what stands behind a single space; None: not on its own.
+        self.pieces: dict[str, bytes | None] = {}
+        self.units: dict[str, bytes | None] = {}
         if self.by_piece:
             (self.line_end,) = self.whole("\n").tolist()
-        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of each piece, remembered or encoded; None where its text must stay whole."""
-        found = {piece: self.known.get(piece) for piece in pieces}
-        new = [piece for piece, ids in found.items() if ids is None]
+    def _learn_pieces(self, new: list[str]) -> None:
         words = [p for p in new if p[0] == " " and p.isprintable()]
         # Line ends come between these words and nowhere else, so they mark where one ends.
         lines = ["\n".join(words[k : k + TOGETHER]) + "\n" for k in range(0, len(words), TOGETHER)]
         encoded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
         ids = np.array([i for line in encoded for i in line.ids], dtype=np.uint32)
         ends = np.flatnonzero(ids == self.line_end)
-        if words and len(ends) != len(words):
+        if len(ends) != len(words):
             raise ValueError("the tokenizer does not keep line ends apart")
         content, begin = ids.tobytes(), 0
-        for piece, end in zip(words, (4 * ends).tolist(), strict=False):
-            found[piece] = content[begin:end]
+        for piece, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.pieces[piece] = content[begin:end]
             begin = end + 4
         others = [p for p in new if p[0] != " " or not p.isprintable()]
         for piece, one in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
             bare = piece.strip(" \t\n\r\v\f")
-            if not (bare and (bare[0].isspace() or bare[-1].isspace())):
-                found[piece] = np.array(one.ids, dtype=np.uint32).tobytes()
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-        self.known.update((p, found[p]) for p in new if len(p) <= 64 and found[p] is not None)
-        return found
+            alone = not (bare and (bare[0].isspace() or bare[-1].isspace()))
+            self.pieces[piece] = np.array(one.ids, dtype=np.uint32).tobytes() if alone else None
+
+    def _ids(self, cut: list[list[str]]) -> list[bytes | None]:
+        """The ids of texts that are cut into pieces; None where one cannot stand alone."""
+        if len(self.pieces) > MEMORY:
+            self.pieces.clear()
+        new = set().union(*cut).difference(self.pieces)
+        if new:
+            self._learn_pieces(list(new))
+        found = [list(map(self.pieces.__getitem__, pieces)) for pieces in cut]
+        return [None if None in parts else b"".join(parts) for parts in found]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
             return [self.whole(text) for text in texts]
-        cut = [_PIECES.findall(text) for text in texts]
-        found = self._learn(set().union(*cut)) if cut else {}
         out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            parts = list(map(found.__getitem__, pieces))
-            if None in parts or any(token in text for token in self.added):
+        for at in range(0, len(texts), AT_ONCE):
+            out += self._some(texts[at : at + AT_ONCE])
+        return out
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.units) > MEMORY:
+            self.units.clear()
+        cut = [text.split(" ") for text in texts]
+        starts = self._ids([_PIECES.findall(units[0]) for units in cut])
+        new = list(set().union(*(units[1:] for units in cut)).difference(self.units))
+        # Between two spaces, or beside other white space, a space is not single.
+        alone = [unit for unit in new if unit and not (unit[0].isspace() or unit[-1].isspace())]
+        self.units.update(dict.fromkeys(new))
+        self.units.update(zip(alone, self._ids([_PIECES.findall(" " + unit) for unit in alone]), strict=True))
+        out = []
+        for text, units, start in zip(texts, cut, starts, strict=True):
+            parts = list(map(self.units.__getitem__, units[1:]))
+            if start is None or None in parts or units[0][-1:].isspace():
+                # Cut at what the tokenizer's own split ends at, whatever the white space.
+                (joined,) = self._ids([_PIECES.findall(text)])
+            else:
+                joined = start + b"".join(parts)
+            if joined is None or any(token in text for token in self.added):
                 out.append(self.whole(text))
             else:
-                out.append(np.frombuffer(b"".join(parts), dtype=np.uint32))
+                out.append(np.frombuffer(joined, dtype=np.uint32))
         return out
 
 

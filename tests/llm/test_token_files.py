@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import glob
 import random
 import zlib
@@ -58,11 +59,15 @@ def test_texts_cut_into_pieces_have_the_ids_of_the_whole():
             assert np.array_equal(ids, encode.whole(text)), text
 
 
-def encoded(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    ids = Tokenizer.from_file(token_files.TOKENIZER).encode(text or "", add_special_tokens=False).ids
-    return [*ids, 0]
+    return Tokenizer.from_file(token_files.TOKENIZER)
+
+
+def encoded(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_files_hold_all_documents_in_order(spark, place, monkeypatch):
