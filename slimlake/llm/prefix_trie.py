@@ -80,7 +80,7 @@ def rebuild(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.col("conv_id") - F.col("conv_id") % FAMILY).alias("base"),
     )
     there = each.select(F.col("conv_id").alias("base"), F.col("n").alias("_there"))
-    shared = F.coalesce(F.least("h", "_there"), F.lit(0).cast("long"))
+    shared = F.least("h", F.coalesce("_there", F.lit(0)))
     plan = each.join(there, "base", "left").withColumn("shared", shared)
     length = F.col("shared") + F.greatest(F.col("n") - F.col("h"), F.lit(0))
     plan = kept(plan.select("conv_id", "base", "h", "shared", "n", length.alias("length")), "trie-plan")
@@ -107,11 +107,11 @@ def _next_root(band: int, key: bytes) -> bytes:
     return b"".join(x.to_bytes(4, "big") for x in added)
 
 
-def sorted_bands(turns: DataFrame) -> DataFrame:
+def sorted_bands(turns: DataFrame, width: int = BAND) -> DataFrame:
     """The bands of all conversations in sorted order, numbered by ``at``; written once."""
-    band = F.floor((F.col("position") - 1) / BAND).cast("int")
+    band = F.floor((F.col("position") - 1) / width).cast("int")
     held = F.sort_array(F.collect_list(F.struct("position", "digest", "n_bytes")))
-    # At most BAND rows meet in a group.
+    # At most ``width`` rows meet in a group.
     bands = turns.groupBy("conv_id", band.alias("band")).agg(
         held.alias("held"), F.max("length").alias("length")
     )
@@ -120,7 +120,7 @@ def sorted_bands(turns: DataFrame) -> DataFrame:
         F.col("held.n_bytes").alias("sizes"),
     )
     bands = kept(bands, "trie-bands")
-    several = bands.where(F.col("length") > BAND)
+    several = bands.where(F.col("length") > width)
     name = F.md5(F.concat(F.col("band").cast("string"), F.lit(":"), "turns"))
     parts = {
         f"_p{k}": F.conv(F.substring(name, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(4)
@@ -130,7 +130,7 @@ def sorted_bands(turns: DataFrame) -> DataFrame:
         *[F.lpad(F.hex((F.col(f"_s{p}") - F.col(p)) % (1 << 32)), 8, "0") for p in parts]
     )
     rooted = summed.withColumn("root", root).select(*bands.columns, "root")
-    single = bands.where(F.col("length") <= BAND).withColumn("root", F.lit("0" * 2 * UNIT))
+    single = bands.where(F.col("length") <= width).withColumn("root", F.lit("0" * 2 * UNIT))
     order = ["band", "key", "conv_id"]
     rows = single.unionByName(rooted).select(
         "conv_id", "band", F.unhex(F.concat("root", "turns")).alias("key"), "sizes", "length"
@@ -208,7 +208,7 @@ def common_units(keys: list[bytes], bands: np.ndarray) -> tuple[np.ndarray, np.n
     return units, np.where(bands[1:] == bands[:-1], common, 0)
 
 
-def _piece(rows: pa.RecordBatch) -> pa.RecordBatch:
+def _piece(rows: pa.RecordBatch, width: int) -> pa.RecordBatch:
     """The nodes of a piece, each where its smallest member of the piece stands."""
     at, bands, convs, length, leaves, saved = (
         rows.column(_INPUT.index(c)).to_numpy(zero_copy_only=False)
@@ -225,22 +225,22 @@ def _piece(rows: pa.RecordBatch) -> pa.RecordBatch:
     low, high = prefixes.left_end(row, inner + 1), prefixes.right_end(row, inner + 1)
     leader = members.least(low, high)
     is_open = (low == 0) | (high == n - 1)
-    depth = bands[row].astype(np.int64) * BAND + inner
+    depth = bands[row].astype(np.int64) * width + inner
     # Rows that end a conversation, and how far rows with an equal key reach.
-    ending = length == bands.astype(np.int64) * BAND + turns
+    ending = length == bands.astype(np.int64) * width + turns
     follows = np.append((common == units[:-1]) & (units[:-1] == units[1:]), False)
     last_equal = np.minimum.accumulate(np.where(follows, n, np.arange(n))[::-1])[::-1]
 
     def name(place: int) -> bytes:
         """What a node is known by in other pieces."""
         key, inside = keys[row[place]], int(inner[place])
-        if inside == BAND:
+        if inside == width:
             return _next_root(int(bands[row[place]]), key)
         return hashlib.md5(b"%d:" % depth[place] + key[: UNIT * (inside + 1)]).digest()
 
     chosen = np.flatnonzero(convs[row] == leader)
     ids, parents, parent_ids, ends, shas = [], [], [], [], []
-    named = is_open | (inner == BAND)
+    named = is_open | (inner == width)
     for place, shown, begins, inside in zip(
         chosen.tolist(), named[chosen].tolist(), low[chosen].tolist(), inner[chosen].tolist(), strict=True
     ):
@@ -271,30 +271,30 @@ def _piece(rows: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows that follow one another, of at most ``PIECE`` rows."""
-    held, count, expected = [], 0, None
+def _pieces(width: int, most: int):
+    """For runs of rows that follow one another, of at most ``most`` rows: their nodes."""
 
-    def close():
-        table = pa.Table.from_batches(held).combine_chunks()
-        return _piece(table.to_batches()[0])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, expected = [], 0, None
 
-    for batch in batches:
-        begin, numbers = 0, batch.column(0).to_numpy()
-        while begin < batch.num_rows:
-            if held and numbers[begin] != expected:
-                yield close()
-                held, count = [], 0
-            room = numbers[begin : begin + PIECE - count]
-            gaps = np.flatnonzero(np.diff(room) != 1)
-            size = int(gaps[0]) + 1 if len(gaps) else len(room)
-            held.append(batch.slice(begin, size))
-            begin, count, expected = begin + size, count + size, int(room[size - 1]) + 1
-            if count == PIECE:
-                yield close()
-                held, count = [], 0
-    if held:
-        yield close()
+        def close():
+            return _piece(pa.Table.from_batches(held).combine_chunks().to_batches()[0], width)
+
+        for batch in batches:
+            begin, numbers = 0, batch.column(0).to_numpy()
+            while begin < batch.num_rows:
+                if held and (count == most or numbers[begin] != expected):
+                    yield close()
+                    held, count = [], 0
+                room = numbers[begin : begin + most - count]
+                gaps = np.flatnonzero(np.diff(room) != 1)
+                size = int(gaps[0]) + 1 if len(gaps) else len(room)
+                held.append(batch.slice(begin, size))
+                begin, count, expected = begin + size, count + size, int(room[size - 1]) + 1
+        if held:
+            yield close()
+
+    return work
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,19 +369,20 @@ def _with_parents(nodes: DataFrame, smallest) -> DataFrame:
     return rest.select(*columns).unionByName(found.withColumn("parent_conv_id", F.col("_leader")).select(*columns))
 
 
-def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
+def trie(turns: DataFrame, conversations: DataFrame, width: int = BAND, piece: int = PIECE) -> DataFrame:
     """One row per node of the trie: conv_id, depth, parent_conv_id, n_convs, n_children,
     n_leaves, saved_tokens and ends_sha256.
 
     ``turns`` has conv_id, position, digest, n_bytes and length, ``conversations``
-    conv_id and length, those without turns too.
+    conv_id and length, those without turns too. ``width`` is the number of turns of a
+    band, ``piece`` the number of rows of a piece; neither changes the result.
     """
     spark = turns.sparkSession
     bounded_batches(spark)
-    bands = sorted_bands(turns)
+    bands, find = sorted_bands(turns, width), _pieces(width, piece)
     nothing = F.lit(0).cast("long")
     first = bands.withColumns({"leaves": nothing, "saved": nothing}).select(*_INPUT)
-    rows = kept(first.mapInArrow(_pieces, _NODES_DDL), "trie-pieces")
+    rows = kept(first.mapInArrow(find, _NODES_DDL), "trie-pieces")
     merged = kept(_merged(rows).drop("leaves", "saved"), "trie-merged")
     smallest = conversations.agg(F.min("conv_id")).scalar()
     nodes = kept(_with_parents(merged, smallest), "trie-parents")
@@ -397,7 +398,7 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
         F.sum("value").alias("saved"), F.count_if(F.col("n_children") == 0).alias("leaves")
     )
     weighed = bands.join(led, "conv_id", "left").na.fill(0, ["saved", "leaves"]).select(*_INPUT)
-    second = weighed.repartitionByRange("at").sortWithinPartitions("at").mapInArrow(_pieces, _NODES_DDL)
+    second = weighed.repartitionByRange("at").sortWithinPartitions("at").mapInArrow(find, _NODES_DDL)
     second = second.select("depth", "conv_id", "leaves", "saved", "is_open", "id")
     several = second.where("is_open").groupBy("id", "depth").agg(
         F.min("conv_id").alias("conv_id"), F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("_members")

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slimlake.llm import (
-    decontaminate, line_rules, mixing, near_duplicates, quality_net, sharding, substring_dedup,
+    decontaminate, line_rules, mixing, near_duplicates, prefix_trie, quality_net, sharding, substring_dedup,
     token_counts, token_files, toxicity, url_filters, whitening,
 )
+from slimlake.llm.common import kept
 from slimlake.session import prepare, scratch
 
 URL_RULES = [
@@ -277,6 +278,51 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitened.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = kept(prefix_trie.rank_turns(_read(spark, folder, "conversations")), "trie-turns")
+    return prefix_trie.trie(*prefix_trie.rebuild(turns))
+
+
+OP13_SQL = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))
+), turns AS (
+  SELECT conv_id AS c, md5(concat(len(coalesce(role, '')), ':', role, text)) AS digest, strlen(coalesce(text, '')) AS bytes,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(len(coalesce(role, '')), ':', role, text))) AS r
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, n, c - c % 5 AS base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                         lambda a, b: xor(a >> 8, t[1 + xor(a, b) % 256])), 4294967295) % 9 AS h
+  FROM (SELECT c, count(*) AS n FROM turns GROUP BY c), crc_table
+), plan AS (
+  SELECT a.c, a.base, a.h, coalesce(least(a.h, b.n), 0) AS shared FROM convs a LEFT JOIN convs b ON b.c = a.base
+), rebuilt AS (
+  SELECT p.c, r AS pos, digest, bytes FROM plan p JOIN turns t ON t.c = p.base WHERE r <= shared
+  UNION ALL SELECT p.c, r - h + shared, digest, bytes FROM plan p JOIN turns t ON t.c = p.c WHERE r > h
+), prefixes AS (
+  SELECT c, pos, bytes, string_agg(digest, '') OVER (PARTITION BY c ORDER BY pos) AS prefix FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM plan
+), ended AS (
+  SELECT prefix, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, max_by(prefix, pos) AS prefix FROM prefixes GROUP BY c) GROUP BY prefix
+), nodes AS (
+  SELECT prefix, pos AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM prefixes GROUP BY prefix, pos
+), below AS (
+  SELECT left(prefix, 32 * (depth - 1)::INT) AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), marked AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN below USING (prefix)
+), subtrees AS (
+  SELECT a.prefix, count(*) FILTER (d.n_children = 0) AS n_leaves, sum((d.n_convs - 1) * d.bytes)::BIGINT AS saved_tokens
+  FROM marked a JOIN marked d ON starts_with(d.prefix, a.prefix) GROUP BY a.prefix
+)
+SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM marked m JOIN subtrees USING (prefix) LEFT JOIN ended USING (prefix)
+LEFT JOIN nodes up ON m.depth > 0 AND up.prefix = left(m.prefix, 32 * (m.depth - 1)::INT)
+"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -290,6 +336,10 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_token_files": op11_token_files,
     "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLES = {"op1_quality_rules": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_url_filters": OP8_SQL}
+ORACLES = {
+    "op1_quality_rules": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL,
+    "op8_url_filters": OP8_SQL, "op13_prefix_trie": OP13_SQL,
+}
