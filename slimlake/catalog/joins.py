@@ -10,7 +10,8 @@ from slimlake.catalog.shared import parsed
 from slimlake.catalog.tables import Tables, literal_view
 from slimlake.operators import checks, digests, ledger
 from slimlake.operators.scope import Scope
-from slimlake.session import cut
+from slimlake.session import cut, scratch
+from slimlake.sources.folders import FolderLedger
 from slimlake.sources.media import with_probe
 
 SCOPE = Scope(("src1", "src2"))
@@ -52,6 +53,34 @@ def sync_reconcile(t: Tables):
     return ledger.reconcile(t.f_ledger, listing.unionByName(older), SCOPE).select(*SYNC_COLUMNS)
 
 
+def _by_folder(t: Tables) -> FolderLedger:
+    table = FolderLedger(t.spark, scratch(t.spark, "folders"))
+    table.write(t.f_ledger.drop("doc_id"))
+    return table
+
+
+@query("J1_folder_reconcile", "SELECT * FROM o_sync")
+def folder_reconcile(t: Tables):
+    """The ledger by folder: the scope's two partitions are read and written."""
+    table = _by_folder(t)
+    table.reconcile(t.f_listing, SCOPE)
+    return table.read().select(*SYNC_COLUMNS)
+
+
+@query(
+    "J1_folders_rewritten",
+    """SELECT split_part(path, '/', 1) AS folder, split_part(path, '/', 1) IN ('src1', 'src2') AS rewritten
+FROM (SELECT path FROM f_ledger UNION ALL SELECT path FROM f_listing) GROUP BY 1""",
+)
+def folders_rewritten(t: Tables):
+    """Per folder, whether a rescan of the scope has left any of its files."""
+    table = _by_folder(t)
+    before = cut(table.files())
+    table.reconcile(t.f_listing, SCOPE)
+    both = table.files().join(before.withColumn("was", F.lit(True)), ["folder", "file"], "left")
+    return both.groupBy("folder").agg(F.max("was").isNull().alias("rewritten"))
+
+
 @query(
     "J2_stale_sweep",
     f"SELECT path, state FROM f_ledger WHERE {_IN_SCOPE} AND state <> 'done' AND path NOT IN (SELECT path FROM f_listing)",
@@ -145,6 +174,20 @@ def keyed_update(t: Tables):
     return done.select("path", "state", "skip_reason", "crf_hint")
 
 
+@query(
+    "J6_folder_update",
+    """SELECT path, CASE WHEN size % 9 = 0 AND path LIKE 'src1/%' THEN 'failed' ELSE state END AS state,
+ CASE WHEN size % 9 = 0 AND path LIKE 'src1/%' THEN 'late' ELSE skip_reason END AS skip_reason FROM f_ledger""",
+)
+def folder_update(t: Tables):
+    """Keyed updates that name one folder of a ledger by folder."""
+    table = _by_folder(t)
+    named = t.f_ledger.where((F.col("size") % 9 == 0) & F.col("path").startswith("src1/"))
+    updates = named.select("path", F.lit("failed").alias("state"), F.lit("late").alias("skip_reason"))
+    table.update(updates, ledger.set_state)
+    return table.read().select("path", "state", "skip_reason")
+
+
 @query(
     "J7_resume_match",
     """SELECT d.path, n.path IS NOT NULL AS reusable FROM f_docs d LEFT JOIN
