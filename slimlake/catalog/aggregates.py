@@ -10,7 +10,7 @@ from slimlake.catalog.shared import as_of, plan_limits
 from slimlake.catalog.tables import Tables, literal_view
 from slimlake.functions import paths
 from slimlake.operators import checks, decide, digests, duplicates, ledger, reports, scores
-from slimlake.operators.scope import scope_totals
+from slimlake.operators.scope import scope_totals, totals_by_scope
 from slimlake.plans import commands
 
 
@@ -227,6 +227,22 @@ def totals_of_scopes(t: Tables):
     return scope_totals(rows, ["/en/", "fr", "de", "en/825", "fr/825"])
 
 
+@query(
+    "A16_many_scopes",
+    """WITH p AS (SELECT trim(path, '/') AS path, size FROM f_pages), s AS (
+ SELECT split_part(path, '/', 1) AS scope FROM p UNION SELECT concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) FROM p
+ UNION SELECT path FROM p WHERE size % 2 = 0)
+SELECT scope, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM s JOIN p ON path = scope OR starts_with(path, scope || '/') GROUP BY scope""",
+)
+def totals_of_many_scopes(t: Tables):
+    """Every folder of the first two levels and many single paths, in one join."""
+    rows = t.f_pages.select(paths.normalize("path").alias("path"), "size")
+    parts = F.split("path", "/")
+    scopes = rows.select(parts[0].alias("scope"))
+    scopes = scopes.union(rows.select(F.concat(parts[0], F.lit("/"), F.get(parts, 1), F.lit("/"))))
+    return totals_by_scope(rows, scopes.union(rows.where("size % 2 = 0").select("path")))
+
+
 @query(
     "A17_accounting",
     f"""SELECT CAST((SELECT greatest(sum(size) - sum(output_size), 0) FROM f_lines WHERE state = 'done') AS BIGINT) AS logical_bytes,

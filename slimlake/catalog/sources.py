@@ -19,17 +19,68 @@ from slimlake.sources import listing, media, snapshots
  mod_time, blake3 FROM f_ledger WHERE doc_id % 13 <> 0""",
 )
 def listing_json(t: Tables):
+    place = scratch(t.spark, "listing")
+    _raw_listing(t).write.json(place)
+    return listing.read_listing_json(t.spark, place, scope="/drive/", json_lines=True)
+
+
+def _raw_listing(t: Tables):
     key = F.when(F.col("doc_id") % 2 == 0, "BLAKE3").otherwise("blake3")
-    raw = t.f_ledger.select(
+    return t.f_ledger.select(
         F.concat(F.lit("/"), "path").alias("Path"),
         F.when(F.col("doc_id") % 11 == 0, -1).otherwise(F.col("size")).alias("Size"),
         F.col("mod_time").alias("ModTime"),
         (F.col("doc_id") % 13 == 0).alias("IsDir"),
         F.when(F.col("blake3").isNotNull(), F.create_map(F.lit("md5"), F.md5("path"), key, "blake3")).alias("Hashes"),
     )
+
+
+@query(
+    "S1_listing_lines",
+    """SELECT concat('drive/', path) AS path, CAST(CASE WHEN doc_id % 11 = 0 THEN 0 ELSE size END AS BIGINT) AS size,
+ mod_time, blake3 FROM f_ledger WHERE doc_id % 13 <> 0""",
+)
+def listing_lines(t: Tables):
+    """Printed arrays, one per task that wrote, read by their lines."""
     place = scratch(t.spark, "listing")
-    raw.write.json(place)
-    return listing.read_listing_json(t.spark, place, scope="/drive/", json_lines=True)
+    _raw_listing(t).select(F.to_json(F.struct("*")).alias("value")).mapInArrow(_print_array, "value string").write.text(place)
+    return listing.read_listing_lines(t.spark, place, scope="/drive/")
+
+
+def _print_array(batches):
+    """The rows as one JSON array, an entry to a line."""
+    import pyarrow as pa
+
+    before = None
+    yield pa.RecordBatch.from_pydict({"value": ["["]})
+    for batch in batches:
+        for entry in batch.column(0).to_pylist():
+            if before is not None:
+                yield pa.RecordBatch.from_pydict({"value": [before + ","]})
+            before = entry
+    yield pa.RecordBatch.from_pydict({"value": ([] if before is None else [before]) + ["]"]})
+
+
+@query(
+    "S2_tree_listing",
+    """SELECT concat(source, '/', lang) AS folder, count(*) AS texts, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes,
+ 2::BIGINT AS files, 1::BIGINT AS empty FROM documents GROUP BY ALL""",
+)
+def tree_listing(t: Tables):
+    """Texts written to one file in each folder, and an empty file beside it, listed again."""
+    place, by = scratch(t.spark, "tree"), ["source", "lang"]
+    named = t.documents.select(*by, "text")
+    named.repartition(*by).write.partitionBy(*by).text(place)
+    texts = named.groupBy(F.concat_ws("/", *by).alias("folder")).agg(F.count("*").alias("texts"))
+    store = t.spark._jvm.org.apache.hadoop.fs.Path
+    for source, lang in named.select(*by).distinct().collect():
+        empty = store(f"{place}/source={source}/lang={lang}/empty")
+        empty.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(empty)
+    folder = F.regexp_replace("path", "^source=([^/]*)/lang=([^/]*)/.*$", "$1/$2").alias("folder")
+    found = listing.list_tree(t.spark, place, depth=2).groupBy(folder).agg(
+        F.sum("size").alias("bytes"), F.count("*").alias("files"), F.count_if(F.col("size") == 0).alias("empty")
+    )
+    return texts.join(found, "folder")
 
 
 @query("S2_direct_listing")

@@ -9,15 +9,16 @@ from slimlake.catalog.joins import SCOPE, SYNC_COLUMNS
 from slimlake.catalog.registry import query
 from slimlake.catalog.scalars import BLOCKS_SQL, progress_lines
 from slimlake.catalog.tables import VIEWS, Tables
-from slimlake.operators import progress
 from slimlake.schemas import evolve
 from slimlake.session import scratch
 from slimlake.sources.snapshots import SnapshotTable
-from slimlake.streaming import jobs
+from slimlake.streaming import jobs, keyed
 from slimlake.streaming.log import BatchLog
 
 
 PER_STEP = 4
+#: State stores of a keyed stream; fixed when it first starts.
+STORES = 8
 
 
 def _as_files(t: Tables, rows, key: str, steps: int) -> str:
@@ -83,9 +84,9 @@ def latest_counters(t: Tables):
     rows = t.f_jobs.drop("ts")
     place = _as_files(t, rows, "seq", 4)
     stream = jobs.read_stream(t.spark, place, rows.schema, per_trigger=PER_STEP)
-    log = BatchLog(t.spark, scratch(t.spark, "counters"), rows.schema)
-    jobs.latest_counters(stream, log, scratch(t.spark, "progress")).awaitTermination()
-    return jobs.newest_per_path(log.read()).select("path", "seq", "state", "bytes")
+    checkpoint = scratch(t.spark, "progress")
+    keyed.latest_counters(stream, checkpoint, partitions=STORES).awaitTermination()
+    return keyed.read_state(t.spark, checkpoint).select("path", "seq", "state", "bytes")
 
 
 @query("M5_hand_out_once", "SELECT DISTINCT path FROM f_jobs WHERE state = 'claimed'")
@@ -101,7 +102,6 @@ def hand_out_once(t: Tables):
 def progress_blocks(t: Tables):
     place = _as_files(t, progress_lines(t), "seq", 3)
     stream = jobs.read_stream(t.spark, place, progress_lines(t).schema, per_trigger=PER_STEP)
-    state = BatchLog(t.spark, scratch(t.spark, "state"), progress.REACHED)
     out = scratch(t.spark, "blocks")
-    jobs.assemble_progress(stream, state, out, scratch(t.spark, "progress")).awaitTermination()
-    return t.spark.read.parquet(out).select("job", "seq", "out_time_us", "speed")
+    keyed.progress_blocks(stream, out, scratch(t.spark, "progress"), partitions=STORES).awaitTermination()
+    return t.spark.read.schema(keyed.BLOCKS).parquet(out)

@@ -156,6 +156,8 @@ def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 _WORD = 22
+_HALF = (1 << 32) - 1
+_SUMS = ["rows", *[f"sum{k}" for k in range(8)]]
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -180,24 +182,65 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def content_fingerprint(df: DataFrame) -> DataFrame:
-    """As ``fingerprint`` over sha256 of the rows as JSON, where proof is wanted."""
-    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    digest = df.select(F.sha2(text, 256).alias("_d"))
-    words = [F.conv(F.substring("_d", 1 + 5 * i, 5), 16, 10).cast("long") for i in range(12)]
-    last = F.conv(F.substring("_d", 61, 4), 16, 10).cast("long")
-    return digest.agg(
-        F.count("*").alias("rows"),
-        *[
-            F.coalesce(F.sum(w), F.lit(0)).alias(f"word{i}")
-            for i, w in enumerate([*words, last])
-        ],
+def proof_tree(df: DataFrame, by: list[str] = (), buckets: int = 256) -> DataFrame:
+    """Sums over the digests of all rows, per group of ``by`` and hash bucket.
+
+    The SHA-256 of a row is spread over four 64-bit hashes, whose halves are summed, so
+    trees are equal where both sides have the same rows, equally often. Sums add up:
+    those of a group, or of the table, are the sums of its buckets (``merged``). Partial
+    aggregation leaves ``buckets`` rows per group and task to shuffle.
+    """
+    hashes = [F.xxhash64(F.lit(k), "_d") for k in range(4)]
+    digests = df.select(*by, row_digest(df).alias("_d")).select(
+        *by, *[h.alias(f"_h{k}") for k, h in enumerate(hashes)]
+    )
+    halves = [half for k in range(4) for half in (F.shiftrightunsigned(f"_h{k}", 32), F.col(f"_h{k}").bitwiseAND(F.lit(_HALF)))]
+    bucket = F.pmod("_h0", F.lit(buckets)).cast("int").alias("bucket")
+    return digests.groupBy(*by, bucket).agg(
+        F.count("*").alias("rows"), *[F.sum(half).alias(f"sum{k}") for k, half in enumerate(halves)]
     )
 
 
-def take_fingerprint(df: DataFrame, strong: bool = False) -> dict[str, int]:
+def merged(tree: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The sums of a tree per group of ``by``; of the whole table without one."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS]
+    return tree.groupBy(*by).agg(*sums) if by else tree.agg(*sums)
+
+
+def take_proof(df: DataFrame) -> dict[str, int]:
+    """The sums over the whole table as values, to keep after the source is gone."""
+    return merged(proof_tree(df, buckets=1)).first().asDict()
+
+
+def differing_parts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The groups and buckets in which two trees differ."""
+    keys = [c for c in left.columns if c not in _SUMS]
+    sides = left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(2)))
+    spread = [F.min(c).alias(f"_l_{c}") for c in _SUMS], [F.max(c).alias(f"_m_{c}") for c in _SUMS]
+    met = sides.groupBy(*keys).agg(F.count("*").alias("_n"), *spread[0], *spread[1])
+    equal = reduce(lambda a, b: a & b, [F.col(f"_l_{c}") == F.col(f"_m_{c}") for c in _SUMS])
+    return met.where(~((F.col("_n") == 2) & equal)).select(*keys)
+
+
+def localised_difference(left: DataFrame, right: DataFrame, buckets: int = 256) -> DataFrame:
+    """``multiset_difference`` that compares only rows of buckets that differ.
+
+    Tables that agree are read once and no row of theirs is shuffled.
+    """
+    differ = differing_parts(proof_tree(left, buckets=buckets), proof_tree(right, buckets=buckets))
+    # At most one row per bucket.
+    wanted = F.broadcast(differ)
+
+    def part(df: DataFrame) -> DataFrame:
+        place = F.pmod(F.xxhash64(F.lit(0), row_digest(df)), F.lit(buckets)).cast("int")
+        return df.withColumn("bucket", place).join(wanted, "bucket", "left_semi").select(*df.columns)
+
+    return multiset_difference(part(left), part(right))
+
+
+def take_fingerprint(df: DataFrame) -> dict[str, int]:
     """The fingerprint as values, to keep after the source is gone."""
-    return (content_fingerprint(df) if strong else fingerprint(df)).first().asDict()
+    return fingerprint(df).first().asDict()
 
 
 def same_schema(a: DataFrame, b: DataFrame) -> bool:

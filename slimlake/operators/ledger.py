@@ -215,6 +215,36 @@ def record_outcomes(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
     return set_state(ledger, updates)
 
 
+def settle(ledger: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
+    """Apply everything a run found out, in one keyed update.
+
+    ``outcomes`` has path, outcome (``converted``, ``skipped``, ``failed`` or
+    ``cancelled``), reason, and for converted rows output_path, output_size, recipe,
+    fidelity and blake3. A cancelled row is pending again. Other rows stay as they are.
+    """
+    found = F.struct("outcome", "reason", "output_path", "output_size", "recipe", "fidelity", "blake3")
+    updates = outcomes.select("path", found.alias("_found"))
+    marked = ledger.withColumn("_found", F.lit(None).cast(updates.schema["_found"].dataType))
+    marked = update_by_path(marked, updates, ["_found"])
+    outcome = F.col("_found.outcome")
+    done = outcome == "converted"
+
+    def converted(name: str, value: Column) -> Column:
+        return F.when(done, value).otherwise(F.col(name)).cast(ledger.schema[name].dataType)
+
+    kept = ["output_path", "output_size", "recipe", "fidelity", "blake3"]
+    return marked.withColumns(
+        {
+            "state": F.when(outcome.isNull(), F.col("state"))
+            .when(done, "done").when(outcome == "cancelled", "pending").otherwise(outcome),
+            "skip_reason": F.when(outcome.isNull(), F.col("skip_reason")).otherwise(F.col("_found.reason")),
+            **{name: converted(name, F.col(f"_found.{name}")) for name in kept},
+            "trashed_at": converted("trashed_at", as_of),
+            "reclaimed": converted("reclaimed", F.lit(0)),
+        }
+    ).drop("_found")
+
+
 # -- whole-table transitions -------------------------------------------------
 
 

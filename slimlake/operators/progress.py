@@ -4,20 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from slimlake.functions.columns import col
 from slimlake.operators.ordered import carry_last
 
-REACHED = T.StructType(
-    [
-        T.StructField("job", T.StringType()),
-        T.StructField("upto", T.LongType()),
-        T.StructField("out_time_us", T.LongType()),
-        T.StructField("speed", T.DoubleType()),
-    ]
-)
-
 
 def line_values(lines: DataFrame) -> DataFrame:
     """``(job, seq, line)`` -> what each line sets; a bad value sets nothing."""
@@ -35,17 +25,6 @@ def line_values(lines: DataFrame) -> DataFrame:
     )
 
 
-def as_lines(state: DataFrame) -> DataFrame:
-    """Carried values as rows that come before any line of their job."""
-    return state.select(
-        "job",
-        F.lit(-1).cast("long").alias("seq"),
-        F.col("out_time_us").alias("_time"),
-        F.col("speed").alias("_speed"),
-        F.lit(False).alias("ends_block"),
-    )
-
-
 def with_running_values(values: DataFrame) -> DataFrame:
     """Each line with the values in force after it; they start at zero."""
     filled = carry_last(values, ["seq"], {"out_time_us": "_time", "speed": "_speed"}, ["job"])
@@ -62,21 +41,6 @@ def finished_blocks(running: DataFrame) -> DataFrame:
     return running.where(col("ends_block")).drop("ends_block")
 
 
-def reached(running: DataFrame) -> DataFrame:
-    """The values each job has reached, and after which line."""
-    return running.groupBy("job").agg(
-        F.max("seq").alias("upto"),
-        F.max_by("out_time_us", "seq").alias("out_time_us"), F.max_by("speed", "seq").alias("speed"),
-    )
-
-
-def latest_reached(rows: DataFrame) -> DataFrame:
-    """Of several records per job the last."""
-    return rows.groupBy("job").agg(
-        F.max_by("out_time_us", "upto").alias("out_time_us"), F.max_by("speed", "upto").alias("speed")
-    )
-
-
 def progress_blocks(lines: DataFrame) -> DataFrame:
     """Batch form: one row per finished block."""
     return finished_blocks(with_running_values(line_values(lines)))

@@ -62,32 +62,52 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
-def rewrite(df: DataFrame, path: str, setting: Setting) -> None:
-    """Write ``df`` densely. Sorting stays inside partitions, so nothing shuffles."""
-    rows = df.sortWithinPartitions(*setting.sort_by) if setting.sort_by else df
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The columns that a table's folders are named after, outermost first."""
+    file = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f")).first()
+    base = "/" + path.split(":", 1)[-1].strip("/") + "/"
+    folders = file.f.split(base, 1)[-1].split("/")[:-1] if file and base in file.f else []
+    return [name.split("=", 1)[0] for name in folders if "=" in name]
+
+
+def rewrite(df: DataFrame, path: str, setting: Setting, partition_by: list[str] = ()) -> None:
+    """Write ``df`` densely. Sorting stays inside partitions, so nothing shuffles.
+
+    ``partition_by`` are the columns that the table's folders are named after; each
+    task writes its rows of a folder to one file.
+    """
+    order = [*partition_by, *setting.sort_by]
+    rows = df.sortWithinPartitions(*order) if setting.sort_by else df
     writer = rows.write.mode("overwrite").option("compression", setting.codec)
     if setting.level is not None:
         writer = writer.option(f"parquet.compression.codec.{setting.codec}.level", setting.level)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
+def read_rewritten(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The rewritten table with the columns and types of ``like``."""
+    return spark.read.schema(like.schema).parquet(path).select(*like.columns)
+
+
 def verify(
     before: DataFrame, after: DataFrame, known: dict[str, int] | None = None, strict: bool = True
 ) -> str | None:
     """The guarantee that holds between two tables; None when neither does.
 
-    ``known`` is the fingerprint taken earlier. ``byte-exact`` means same schema
-    and same multiset of rows, by SHA-256 of each; ``content-exact`` rests on the
-    fingerprint.
+    ``known`` is what was taken of ``before`` earlier: its proof if ``strict``, else its
+    fingerprint. ``byte-exact`` means same schema and same multiset of rows, by sums over
+    the SHA-256 of each; ``content-exact`` rests on the fingerprint. Each side is read
+    once, and no row of it is shuffled.
     """
     if not digests.same_schema(before, after):
         return None
-    known = digests.take_fingerprint(before) if known is None else known
-    if known != digests.take_fingerprint(after):
+    take = digests.take_proof if strict else digests.take_fingerprint
+    known = take(before) if known is None else known
+    if known != take(after):
         return None
-    if not strict:
-        return K.CONTENT_EXACT
-    return K.BYTE_EXACT if digests.same_rows(before, after) else None
+    return K.BYTE_EXACT if strict else K.CONTENT_EXACT
 
 
 def is_gain(before: int, after: int, min_gain: float = K.MIN_GAIN) -> bool:
@@ -103,10 +123,10 @@ def recompress(
     spark, before = table.spark, table.read()
     current = table.current()
     held = stored_bytes(spark, f"{table.root}/{current.data}")
-    known = digests.take_fingerprint(before)
+    known = digests.take_proof(before) if strict else digests.take_fingerprint(before)
     staged = table.staging_place()
     target = f"{table.root}/{staged}"
-    rewrite(before, target, setting)
+    rewrite(before, target, setting, partition_columns(spark, f"{table.root}/{current.data}"))
     after = spark.read.parquet(target)
     fidelity = verify(before, after, known, strict)
     size = stored_bytes(spark, target)

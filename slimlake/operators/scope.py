@@ -64,6 +64,51 @@ def scope_totals(df: DataFrame, prefixes: list[str]) -> DataFrame:
     )
 
 
+def ancestors(path="path") -> Column:
+    """The path itself and every folder above it."""
+    parts = F.split(col(path), "/")
+    lengths = F.sequence(F.lit(1), F.size(parts))
+    return F.transform(lengths, lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
+def matching_scopes(df: DataFrame, scopes: DataFrame, path: str = "path") -> DataFrame:
+    """The rows of ``df`` beside each scope of ``scopes`` that covers them.
+
+    A scope covers a path if it is one of the path's ancestors, so any number of scopes
+    is one equality join, which Spark broadcasts while they are few. ``scopes`` has a
+    column ``scope``; repeated ones and slashes around them count for nothing, and an
+    empty one covers everything.
+    """
+    wanted = scopes.select(F.trim(F.col("scope"), F.lit("/")).alias("scope")).where("scope IS NOT NULL").distinct()
+    above = F.concat(F.array(F.lit("")), ancestors(path))
+    return df.withColumn("scope", F.explode(above)).join(wanted, "scope")
+
+
+def totals_by_scope(df: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Files and bytes per scope of a table of scopes; nested ones each count their rows.
+
+    Rows are first summed by the folder they lie in, which partial aggregation shrinks,
+    and only these sums are repeated for the folders above. A scope that is itself a
+    file's path counts that file. Scopes without rows are left out.
+    """
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    sums = [F.count("*").alias("files"), F.sum("size").alias("bytes")]
+    inside = matching_scopes(df.groupBy(folder.alias("path")).agg(*sums), scopes)
+    own = df.groupBy("path").agg(*sums).withColumnRenamed("path", "scope")
+    wanted = scopes.select(F.trim(F.col("scope"), F.lit("/")).alias("scope")).distinct()
+    files = own.join(wanted, "scope", "left_semi")
+    both = inside.select("scope", "files", "bytes").unionByName(files.select("scope", "files", "bytes"))
+    return both.groupBy("scope").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+def within_scopes(df: DataFrame, scopes: DataFrame) -> DataFrame:
+    """The rows of ``df`` that at least one scope covers, each once."""
+    wanted = scopes.select(F.trim(F.col("scope"), F.lit("/")).alias("scope")).where("scope IS NOT NULL").distinct()
+    above = F.concat(F.array(F.lit("")), ancestors("path"))
+    paths_in = df.select("path").distinct().withColumn("scope", F.explode(above)).join(wanted, "scope", "left_semi")
+    return df.join(paths_in.select("path").distinct(), "path", "left_semi")
+
+
 def union_of_scopes(listings: list[DataFrame]) -> DataFrame:
     """One row per path over overlapping listings; the later listing wins."""
     numbered = [df.withColumn("_at", F.lit(i)) for i, df in enumerate(listings)]

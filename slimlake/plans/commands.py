@@ -11,6 +11,7 @@ from slimlake.operators import (
 )
 from slimlake.operators.decide import Limits
 from slimlake.operators.scope import EVERYTHING, Scope
+from slimlake.session import cut
 from slimlake.sources.snapshots import NothingCommitted, SnapshotTable
 from slimlake.schemas import LEDGER
 
@@ -72,6 +73,65 @@ def measured_outcomes(attempts: DataFrame) -> DataFrame:
     ).withColumn("skip_reason", F.when(F.col("outcome") == "skipped", "no_gain"))
 
 
+def run_outcomes(
+    ready: DataFrame, attempts: DataFrame, limits: Limits, budget_mib: int, batch: int,
+    order: str = "savings", scope: Scope = EVERYTHING, keep_source: bool = False,
+) -> DataFrame:
+    """What becomes of the next batch: path, outcome, reason, input and output.
+
+    ``attempts`` has one row per path that was worked on: recipe, output_path,
+    output_size, fidelity, blake3, error, interrupted. A row that was refused has its
+    reason; one that was admitted and not worked on, or interrupted, is cancelled; one
+    that waits for space has no outcome.
+    """
+    admitted = admit_run(ready, limits, budget_mib, batch, order, scope, keep_source)
+    tried = attempts.select(
+        "path", F.col("recipe").alias("_recipe"), "output_path", "output_size", "fidelity", "blake3", "error",
+        F.coalesce("interrupted", F.lit(False)).alias("interrupted"), F.lit(True).alias("_tried"),
+    )
+    both = admitted.where("admission <> 'waiting'").join(tried, "path", "left")
+    outcome = (
+        F.when(F.col("admission") != "admitted", "skipped")
+        .when(F.col("_tried").isNull() | F.col("interrupted"), "cancelled")
+        .when(F.col("error").isNotNull(), "failed")
+        .when(sizes.is_worthwhile("size", "output_size"), "converted")
+        .otherwise("skipped")
+    )
+    reason = (
+        F.when(F.col("admission") == "skipped", F.col("skip_reason"))
+        .when(F.col("admission") != "admitted", F.col("admission"))
+        .when(F.col("outcome") == "failed", F.col("error"))
+        .when(F.col("outcome") == "skipped", F.lit("no_gain"))
+    )
+    return both.withColumn("outcome", outcome).select(
+        "path", "outcome", reason.alias("reason"), F.coalesce("recipe", "_recipe").alias("recipe"),
+        "output_path", "output_size", "fidelity", "blake3",
+        F.col("size").alias("input_bytes"), F.col("output_size").alias("output_bytes"),
+    )
+
+
+def run(
+    table: SnapshotTable, attempts: DataFrame, limits: Limits, budget_mib: int, batch: int, as_of: Column,
+    order: str = "savings", scope: Scope = EVERYTHING, retry_failed: bool = False,
+    keep_source: bool = False, tag: str | None = None,
+) -> DataFrame:
+    """A whole run: admit, judge what was measured, record it in one version, sum up.
+
+    The outcomes are written once, so what the summary counts is what was recorded. A
+    run under a ``tag`` that is already committed records nothing and sums up nothing.
+    """
+    told = []
+
+    def change(old: DataFrame) -> DataFrame:
+        ready = prepare_run(old, limits, scope, retry_failed)
+        told[:] = [cut(run_outcomes(ready, attempts, limits, budget_mib, batch, order, scope, keep_source))]
+        return books.settle(ready, told[0], as_of)
+
+    table.update(change, "run", tag)
+    empty = "outcome string, input_bytes long, output_bytes long"
+    return reports.run_summary(told[0] if told else table.spark.createDataFrame([], empty))
+
+
 def dry_run(ledger: DataFrame, attempts: DataFrame, pure: bool = False) -> DataFrame:
     """The ledger after a dry run: skips are recorded, conversions return to pending.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from slimlake import constants as K
-from slimlake.operators import progress
 from slimlake.operators.ledger import reconcile
 from slimlake.operators.scope import EVERYTHING, Scope
 from slimlake.schemas import LEDGER
@@ -28,6 +28,54 @@ def _tag(batch: DataFrame, batch_id: int) -> str:
     return f"{stream_id(batch)}/batch-{batch_id}"
 
 
+class _Arrivals:
+    """Rows of listings that are not whole yet: a folder per stream, batch and listing."""
+
+    def __init__(self, table: SnapshotTable, schema: T.StructType):
+        self.spark, self.root = table.spark, f"{table.root}/arriving"
+        keys = [("stream", T.StringType()), ("batch", T.LongType()), ("key", T.StringType())]
+        self.schema = T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in keys)])
+        self.columns = schema.names
+
+    def _at(self, pattern: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        """A replay replaces what the batch wrote before."""
+        place = f"{self.root}/stream={stream_id(batch)}/batch={batch_id}"
+        batch.withColumn("key", F.md5("listing")).write.mode("overwrite").partitionBy("key").parquet(place)
+
+    def all(self) -> DataFrame:
+        path, fs = self._at("")
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.root)
+
+    def of(self, stream: str, listing: str) -> DataFrame:
+        """The rows of one listing; only its folders are read."""
+        own = (F.col("stream") == stream) & (F.col("key") == F.lit(_md5(listing)))
+        return self.all().where(own).select(*self.columns)
+
+    def drop(self, stream: str, listing: str) -> None:
+        path, fs = self._at(f"stream={stream}/batch=*/key={_md5(listing)}")
+        for found in fs.globStatus(path) or []:
+            fs.delete(found.getPath(), True)
+
+
+def _md5(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def waiting_listings(table: SnapshotTable, schema: T.StructType) -> DataFrame:
+    """Listings that have begun to arrive and are not whole: rows so far and in all."""
+    rows = _Arrivals(table, schema).all()
+    return rows.groupBy("stream", "listing").agg(
+        F.count("*").alias("n_rows"), F.max("listing_rows").alias("listing_rows"),
+        F.min("batch").alias("since_batch"),
+    )
+
+
 def ingest_listings(
     listings: DataFrame, table: SnapshotTable, checkpoint: str, scope: Scope = EVERYTHING,
     complete: bool = True, every: str | None = None,
@@ -35,12 +83,15 @@ def ingest_listings(
     """Fold arriving listing rows into the ledger table.
 
     With ``complete``, rows carry the ``listing`` they belong to and its row count,
-    ``listing_rows``. They are set aside until all are in, however the listing is split
-    over micro-batches; then it is folded in once and sweeps what it lacks. Otherwise a
-    micro-batch only adds and refreshes. Either is committed under the stream's identity,
-    so a replay changes nothing.
+    ``listing_rows`` (different rows); a row without either is an error. They are set aside, by listing,
+    until all are in, however the listing is split over micro-batches; then it is folded
+    in once, sweeps what it lacks, and what was set aside is removed. A delivery that
+    comes twice counts once, also when its listing has been folded. What never becomes
+    whole is shown by ``waiting_listings``. Otherwise a micro-batch only adds and
+    refreshes. Either is committed under the stream's identity, so a replay changes
+    nothing.
     """
-    arriving = BatchLog(table.spark, f"{table.root}/arriving", listings.schema)
+    arriving = _Arrivals(table, listings.schema)
 
     def fold(rows: DataFrame, sweep: bool):
         def change(old: DataFrame | None) -> DataFrame:
@@ -53,17 +104,31 @@ def ingest_listings(
         table.update(fold(batch, sweep=False), "ingest", _tag(batch, batch_id))
 
     def gather(batch: DataFrame, batch_id: int) -> None:
-        arriving.write(batch, batch_id)
         stream = stream_id(batch)
-        own = arriving.read().where(F.col("stream") == stream)
         # One row per listing that has rows in this batch.
-        for name, whole in batch.select("listing", "listing_rows").distinct().collect():
-            rows = own.where(F.col("listing") == name)
-            n = rows.count()
-            if n > whole:
-                raise ValueError(f"listing {name} has {n} rows instead of {whole}")
-            if n == whole:
+        found = batch.groupBy("listing").agg(
+            F.min("listing_rows").alias("least"), F.max("listing_rows").alias("most"),
+            F.count_if(F.col("listing_rows").isNull()).alias("unnumbered"),
+        ).collect()
+        for name, least, most, unnumbered in found:
+            if name is None or unnumbered or least != most:
+                raise ValueError(f"rows of listing {name} lack a name, or agree on no row count")
+        folded = [r.listing for r in found if table.has_tag(f"{stream}/listing-{r.listing}")]
+        arriving.add(batch.where(~F.col("listing").isin(folded)) if folded else batch, batch_id)
+        for name, whole in ((r.listing, r.most) for r in found):
+            if name not in folded:
+                rows = arriving.of(stream, name)
+                if rows.count() < whole:
+                    continue
+                # Some may have come twice.
+                rows = rows.distinct()
+                n = rows.count()
+                if n > whole:
+                    raise ValueError(f"listing {name} has {n} rows instead of {whole}")
+                if n < whole:
+                    continue
                 table.update(fold(rows, sweep=True), "ingest", f"{stream}/listing-{name}")
+            arriving.drop(stream, name)
 
     return _start(listings, checkpoint, "append", gather if complete else add, every)
 
@@ -136,15 +201,8 @@ def append_rows(rows: DataFrame, path: str, checkpoint: str, every: str | None =
     )
 
 
-def latest_counters(
-    updates: DataFrame, log: BatchLog, checkpoint: str, every: str | None = None
-) -> StreamingQuery:
-    """Append each batch's counters; ``newest_per_path`` folds them when they are read."""
-    return _start(updates, checkpoint, "append", log.write, every)
-
-
 def newest_per_path(rows: DataFrame) -> DataFrame:
-    """The newest counters of each job; also what ``BatchLog.compact`` keeps."""
+    """The newest counters of each job, from rows at rest; ``keyed`` has them for streams."""
     data = [c for c in rows.columns if c not in ("path", "seq", "stream", "batch")]
     newest = rows.groupBy("path").agg(
         F.max("seq").alias("seq"), F.max_by(F.struct(*data), "seq").alias("_row")
@@ -165,32 +223,6 @@ def hand_out_once(claims: DataFrame, delay: str, salts: int = 64) -> DataFrame:
     return thinned.dropDuplicatesWithinWatermark(["path"]).drop("_salt")
 
 
-def assemble_progress(
-    lines: DataFrame, state: BatchLog, out: str, checkpoint: str, every: str | None = None
-) -> StreamingQuery:
-    """Turn ``(job, seq, line)`` rows into one row per finished progress block.
-
-    Batches must arrive in ``seq`` order. A block may span batches: a batch appends the
-    values its own jobs have reached to ``state`` (schema ``progress.REACHED``), and
-    reads those that earlier batches of the same stream left for these jobs. Blocks of a
-    batch go to their own folder, which a replay replaces.
-    """
-
-    def work(batch: DataFrame, batch_id: int) -> None:
-        stream = stream_id(batch)
-        earlier = state.read().where((F.col("stream") == stream) & (F.col("batch") < batch_id))
-        mine = earlier.join(batch.select("job").distinct(), "job", "left_semi")
-        values = progress.line_values(batch)
-        joined = progress.with_running_values(
-            values.unionByName(progress.as_lines(progress.latest_reached(mine)))
-        )
-        blocks = progress.finished_blocks(joined)
-        blocks.write.mode("overwrite").parquet(f"{out.rstrip('/')}/stream={stream}/batch={batch_id}")
-        state.write(progress.reached(joined), batch_id)
-
-    return _start(lines, checkpoint, "append", work, every)
-
-
 def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None, per_trigger: int | None = None):
     """A Parquet folder as a stream."""
     reader = spark.readStream.schema(schema)

@@ -7,9 +7,6 @@ same job on a new checkpoint, has folders of its own.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -40,15 +37,3 @@ class BatchLog:
         if not self._streams()[1]:
             return self.spark.createDataFrame([], named)
         return self.spark.read.schema(named).parquet(self.root)
-
-    def compact(self, fold: Callable[[DataFrame], DataFrame]) -> None:
-        """Replace what is there by its fold, between runs of the streams that write it.
-
-        Folding the same rows twice must change nothing, as a reader may meet both.
-        """
-        fs, old = self._streams()
-        if old:
-            folded = fold(self.read()).select(*self.schema.names)
-            folded.write.parquet(f"{self.root}/stream=folded-{uuid.uuid4().hex}/batch=0")
-            for path in old:
-                fs.delete(path, True)

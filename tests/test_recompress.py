@@ -28,9 +28,9 @@ def table(spark):
 
 def test_fingerprint_ignores_order_only(spark, table):
     base = digests.take_fingerprint(table)
-    strong = digests.take_fingerprint(table, strong=True)
+    strong = digests.take_proof(table)
     assert digests.take_fingerprint(table.repartition(7, "x")) == base
-    assert digests.take_fingerprint(table.orderBy("x"), strong=True) == strong
+    assert digests.take_proof(table.orderBy("x")) == strong
     damaged = {
         "value": table.withColumn("x", F.when(F.col("id") == 77, 0.5).otherwise(F.col("x"))),
         "lost": table.where("id <> 77"),
@@ -41,7 +41,7 @@ def test_fingerprint_ignores_order_only(spark, table):
     }
     for name, other in damaged.items():
         assert digests.take_fingerprint(other) != base, name
-        assert digests.take_fingerprint(other, strong=True) != strong, name
+        assert digests.take_proof(other) != strong, name
         assert not digests.multiset_difference(table, other).isEmpty(), name
         assert recompress.verify(table, other) is None, name
 

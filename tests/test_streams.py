@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from slimlake.operators import progress
 from slimlake.operators.scope import Scope
 from slimlake.sources.snapshots import SnapshotTable
 from slimlake.streaming import jobs
@@ -52,6 +52,36 @@ def test_a_listing_over_triggers_is_swept_once_it_is_whole(spark, place):
     assert table.current().version == version + 1 and rows(table.read()) == before
 
 
+def test_deliveries_that_come_twice_count_once(spark, place):
+    source, table = f"{place}/in", SnapshotTable(spark, f"{place}/ledger")
+
+    def run():
+        schema = spark.read.parquet(source).schema
+        stream = jobs.read_stream(spark, source, schema, per_trigger=1)
+        jobs.ingest_listings(stream, table, f"{place}/cp", Scope(("p",))).awaitTermination()
+        return rows(jobs.waiting_listings(table, schema).select("listing", "n_rows", "listing_rows"))
+
+    append(spark, source, [("p/a", 1, "t", None, "one", 2), ("p/x", 1, "t", None, "other/=%", 3)], LISTED)
+    assert run() == [("one", 1, 2), ("other/=%", 1, 3)]
+    append(spark, source, [("p/a", 1, "t", None, "one", 2)], LISTED)
+    assert run() == [("one", 2, 2), ("other/=%", 1, 3)] and table.current() is None
+    append(spark, source, [("p/b", 2, "t", None, "one", 2)], LISTED)
+    assert run() == [("other/=%", 1, 3)]  # what was set aside is gone
+    assert rows(table.read().select("path")) == [("p/a",), ("p/b",)]
+    version = table.current().version
+    append(spark, source, [("p/b", 2, "t", None, "one", 2)], LISTED)  # late, after folding
+    assert run() == [("other/=%", 1, 3)] and table.current().version == version
+
+
+@pytest.mark.parametrize("row", [("p/a", 1, "t", None, None, 2), ("p/a", 1, "t", None, "one", None)])
+def test_rows_without_a_listing_are_an_error(spark, place, row):
+    append(spark, f"{place}/in", [row], LISTED)
+    stream = jobs.read_stream(spark, f"{place}/in", spark.read.parquet(f"{place}/in").schema)
+    table = SnapshotTable(spark, f"{place}/ledger")
+    with pytest.raises(Exception, match="lack a name"):
+        jobs.ingest_listings(stream, table, f"{place}/cp").awaitTermination()
+
+
 def test_partial_listings_only_add(spark, place):
     source, table = f"{place}/in", SnapshotTable(spark, f"{place}/ledger")
     append(spark, source, [("p/a", 1, "t", None)], LISTING)
@@ -73,25 +103,6 @@ def test_open_windows_are_given_at_the_end(spark, place):
     assert rows(jobs.final_windows(log.read()).select("path", "updates")) == [("b", 2), ("c", 1)]
 
 
-def test_progress_blocks_span_batches(spark, place):
-    schema = "job string, seq long, line string"
-    source = f"{place}/in"
-    batches = [
-        [("a", 0, "out_time_us=5"), ("b", 1, "speed=2x"), ("a", 2, "speed=N/A")],
-        [("a", 3, "progress=continue"), ("b", 4, "out_time_us=9")],
-        [("b", 5, "progress=end"), ("a", 6, "speed=3.5x"), ("a", 7, "progress=end")],
-    ]
-    state = BatchLog(spark, f"{place}/state", progress.REACHED)
-    for data in batches:
-        append(spark, source, data, schema)
-        stream = jobs.read_stream(spark, source, spark.read.parquet(source).schema)
-        jobs.assemble_progress(stream, state, f"{place}/out", f"{place}/cp").awaitTermination()
-    got = rows(spark.read.parquet(f"{place}/out").select("job", "seq", "out_time_us", "speed"))
-    assert got == [("a", 3, 5, 0.0), ("a", 7, 5, 3.5), ("b", 5, 9, 2.0)]
-    whole = spark.createDataFrame([r for b in batches for r in b], schema)
-    assert rows(progress.progress_blocks(whole)) == got
-
-
 def test_hot_path_is_handed_out_once(spark, place):
     source = f"{place}/in"
     data = [("hot" if i % 3 == 0 else f"p{i}", f"2024-01-01 00:00:{i % 60:02}") for i in range(300)]
@@ -102,22 +113,3 @@ def test_hot_path_is_handed_out_once(spark, place):
     jobs.append_rows(once, f"{place}/out", f"{place}/cp").awaitTermination()
     got = [r.path for r in spark.read.parquet(f"{place}/out").collect()]
     assert sorted(got) == sorted({p for p, _ in data})
-
-
-def test_latest_counters_over_triggers_and_streams(spark, place):
-    source = f"{place}/in"
-    schema = "path string, seq long, bytes long"
-    for data in ([("a", 1, 10), ("b", 2, 20)], [("a", 5, 50), ("a", 4, 40), (None, 3, 7)], [("b", 1, 1)]):
-        append(spark, source, data, schema)
-    stream = jobs.read_stream(spark, source, spark.read.parquet(source).schema, per_trigger=1)
-    log = BatchLog(spark, f"{place}/t", stream.schema)
-    assert log.read().isEmpty()
-    jobs.latest_counters(stream, log, f"{place}/cp").awaitTermination()
-    want = sorted([("a", 5, 50), ("b", 2, 20), (None, 3, 7)], key=repr)
-    assert rows(jobs.newest_per_path(log.read()).select("path", "seq", "bytes")) == want
-    append(spark, f"{place}/more", [("a", 9, 90)], schema)
-    more = jobs.read_stream(spark, f"{place}/more", stream.schema)
-    jobs.latest_counters(more, log, f"{place}/cp2").awaitTermination()
-    log.compact(jobs.newest_per_path)
-    want = sorted([("a", 9, 90), ("b", 2, 20), (None, 3, 7)], key=repr)
-    assert rows(log.read().select("path", "seq", "bytes")) == want
