@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slimlake.catalog.registry import query
-from slimlake.catalog.shared import as_of
-from slimlake.catalog.tables import Tables
+from slimlake.catalog.shared import as_of, pending_docs
+from slimlake.catalog.tables import Tables, literal_view
 from slimlake.operators import decide, ledger, reports
+from slimlake.operators.decide import UNBOUNDED
 from slimlake.operators.scope import Scope
 from slimlake.plans import commands
+from slimlake.schemas import evolve
+from slimlake.session import scratch
+from slimlake.sources.snapshots import SnapshotTable
 
 
 
@@ -109,6 +113,62 @@ def record_outcomes(t: Tables):
     return ledger.record_outcomes(rows, outcomes).select("path", "state", "skip_reason")
 
 
+_BUDGET, _BATCH = 12, 700
+literal_view(
+    "o_run",
+    f"""WITH b AS (SELECT s.path, s.size, s.projected_saving, s.recipe, s.skip_reason, s.recipe IS NOT NULL OR s.skip_reason = 'needs_probe' AS goes,
+  CAST(ceil(ceil(s.size*coalesce(r.peak, 1.65::DOUBLE))/1048576) AS BIGINT) AS need
+ FROM (SELECT * FROM o_saving ORDER BY projected_saving DESC, size DESC, path LIMIT {_BATCH}) s LEFT JOIN o_recipe r ON r.recipe = s.recipe),
+a AS (SELECT *, sum(CASE WHEN goes AND need <= {_BUDGET} THEN greatest(need, 1) ELSE 0 END)
+  OVER (ORDER BY projected_saving DESC, size DESC, path ROWS UNBOUNDED PRECEDING) AS reserved FROM b)
+SELECT path, size, coalesce(recipe, 'av1') AS recipe, CASE WHEN NOT goes OR need > {_BUDGET} THEN 'skipped' WHEN size % 5 IN (1, 2) THEN 'cancelled' WHEN size % 5 = 0 THEN 'failed'
+  WHEN size % 5 = 3 OR size // 2 > size * 0.97::DOUBLE OR size = 0 THEN 'skipped' ELSE 'converted' END AS outcome,
+ CASE WHEN NOT goes THEN skip_reason WHEN need > {_BUDGET} THEN 'too_large_for_budget' WHEN size % 5 = 0 THEN 'broken' WHEN size % 5 = 3 THEN 'no_gain' END AS reason
+FROM a WHERE NOT goes OR need > {_BUDGET} OR reserved <= {_BUDGET}""",
+)
+
+
+def _whole_run(t: Tables):
+    """A ledger of pending rows after one run, and the run's summary."""
+    table = SnapshotTable(t.spark, scratch(t.spark, "ledger"))
+    table.write(evolve(pending_docs(t)), "scan")
+    kind, size = F.col("size") % 5, F.col("size")
+    attempts = t.f_docs.where(kind != 2).select(
+        "path", F.lit("av1").alias("recipe"), F.concat("path", F.lit(".new")).alias("output_path"),
+        F.when(kind == 3, size - 1).otherwise(F.floor(size / 2).cast("long")).alias("output_size"),
+        F.lit("byte-exact").alias("fidelity"), F.sha2("path", 256).alias("blake3"),
+        F.when(kind == 0, "broken").alias("error"), (kind == 1).alias("interrupted"),
+    )
+    told = commands.run(table, attempts, UNBOUNDED, _BUDGET, _BATCH, as_of())
+    return table, told
+
+
+@query(
+    "U5_whole_run",
+    """SELECT d.path, CASE outcome WHEN 'converted' THEN 'done' WHEN 'skipped' THEN 'skipped' WHEN 'failed' THEN 'failed' ELSE 'pending' END AS state,
+ r.reason AS skip_reason, CASE WHEN outcome = 'converted' THEN r.recipe END AS recipe, CASE WHEN outcome = 'converted' THEN d.size // 2 END AS output_size,
+ CASE WHEN outcome = 'converted' THEN sha256(d.path) ELSE d.blake3 END AS blake3, outcome IS NOT DISTINCT FROM 'converted' AS trashed
+FROM f_docs d LEFT JOIN o_run r ON r.path = d.path""",
+)
+def whole_run(t: Tables):
+    after = _whole_run(t)[0].read()
+    return after.select(
+        "path", "state", "skip_reason", "recipe", "output_size", "blake3", F.col("trashed_at").isNotNull().alias("trashed")
+    )
+
+
+@query(
+    "A10_whole_run",
+    """SELECT count(*) FILTER (outcome = 'converted') AS converted, count(*) FILTER (outcome = 'skipped') AS skipped,
+ count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'cancelled') AS cancelled,
+ CAST(coalesce(sum(size) FILTER (outcome = 'converted'), 0) AS BIGINT) AS input_bytes,
+ CAST(coalesce(sum(size // 2) FILTER (outcome = 'converted'), 0) AS BIGINT) AS output_bytes,
+ CAST(coalesce(sum(size - size // 2) FILTER (outcome = 'converted'), 0) AS BIGINT) AS saved_bytes FROM o_run""",
+)
+def whole_run_summary(t: Tables):
+    return _whole_run(t)[1]
+
+
 _OUT = "state = 'pending' AND regexp_full_match(path, '(.*/)?[^\\n]*\\.wav|src1/.*')"
 
 

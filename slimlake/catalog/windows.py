@@ -64,7 +64,8 @@ WINDOW w AS (ORDER BY trashed_at, path ROWS UNBOUNDED PRECEDING)""",
 
 
 def line_headroom(t: Tables):
-    done = t.f_lines.where(F.col("state") == "done")
+    # What is ordered is written once, so only the columns that count are handed in.
+    done = t.f_lines.where(F.col("state") == "done").select("path", "trashed_at", "output_size", "size", "reclaimed")
     return claims.headroom(done, _FREE, _RESERVE, ["trashed_at", "path"])
 
 
@@ -88,7 +89,7 @@ def low_water_points(t: Tables):
     f"SELECT path, row_number() OVER (ORDER BY {_BY_SAVING}) AS row_no, CAST((row_number() OVER (ORDER BY {_BY_SAVING}) - 1) % 7 AS INTEGER) AS worker FROM o_saving",
 )
 def worker_assignment(t: Tables):
-    return claims.assign_workers(pending_docs(t), 7).select("path", "row_no", "worker")
+    return claims.assign_workers(pending_docs(t).select("path", "size", "projected_saving"), 7).select("path", "row_no", "worker")
 
 
 @query(

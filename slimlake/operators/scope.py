@@ -71,6 +71,11 @@ def ancestors(path="path") -> Column:
     return F.transform(lengths, lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
+def _above(path) -> Column:
+    """The ancestors, and the empty one that is above all."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), ancestors(path)))
+
+
 def matching_scopes(df: DataFrame, scopes: DataFrame, path: str = "path") -> DataFrame:
     """The rows of ``df`` beside each scope of ``scopes`` that covers them.
 
@@ -80,8 +85,7 @@ def matching_scopes(df: DataFrame, scopes: DataFrame, path: str = "path") -> Dat
     empty one covers everything.
     """
     wanted = scopes.select(F.trim(F.col("scope"), F.lit("/")).alias("scope")).where("scope IS NOT NULL").distinct()
-    above = F.concat(F.array(F.lit("")), ancestors(path))
-    return df.withColumn("scope", F.explode(above)).join(wanted, "scope")
+    return df.withColumn("scope", F.explode(_above(path))).join(wanted, "scope")
 
 
 def totals_by_scope(df: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -104,8 +108,7 @@ def totals_by_scope(df: DataFrame, scopes: DataFrame) -> DataFrame:
 def within_scopes(df: DataFrame, scopes: DataFrame) -> DataFrame:
     """The rows of ``df`` that at least one scope covers, each once."""
     wanted = scopes.select(F.trim(F.col("scope"), F.lit("/")).alias("scope")).where("scope IS NOT NULL").distinct()
-    above = F.concat(F.array(F.lit("")), ancestors("path"))
-    paths_in = df.select("path").distinct().withColumn("scope", F.explode(above)).join(wanted, "scope", "left_semi")
+    paths_in = df.select("path").distinct().withColumn("scope", F.explode(_above("path"))).join(wanted, "scope", "left_semi")
     return df.join(paths_in.select("path").distinct(), "path", "left_semi")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from slimlake.functions import globs, paths, text
 from slimlake.operators.scope import Scope, scope_totals, union_of_scopes
+from slimlake.operators import scope as scope_module
 from tests.conftest import rows
 
 
@@ -148,3 +149,27 @@ def test_unknown_state_is_an_error(spark):
     for bad in ("finished", None):
         with pytest.raises(PySparkException):
             evaluate(spark, [bad], text.valid_state("v"))
+
+
+def test_many_scopes_equal_one_predicate_each(spark):
+    paths = ["en/a/x", "en/a", "en", "en/ab/y", "fr/x", "top", "de/1/2/3/4", "de/1/2/3", "en/a/x"]
+    df = spark.createDataFrame([(p, i + 1) for i, p in enumerate(paths)], "path string, size long")
+    scopes = ["/en/", "en/a", "en", "fr", "de/1/2/3", "none", "top", None, "en/a/x"]
+    table = spark.createDataFrame([(s,) for s in scopes], "scope string")
+    named = sorted({s.strip("/") for s in scopes if s})
+    got = {r.scope: (r.files, r.bytes) for r in scope_module.totals_by_scope(df, table).collect()}
+    assert got == {r.scope: (r.files, r.bytes) for r in scope_module.scope_totals(df, named).collect()}
+    inside = rows(scope_module.within_scopes(df, table))
+    assert inside == rows(df.where(scope_module.Scope(tuple(named)).contains("path")))
+    pairs = rows(scope_module.matching_scopes(df, table).select("path", "scope").distinct())
+    assert ("de/1/2/3/4", "de/1/2/3") in pairs and ("en/ab/y", "en/a") not in pairs
+    everything = spark.createDataFrame([("/",)], "scope string")
+    assert scope_module.totals_by_scope(df, everything).first().files == len(paths)
+
+
+def test_ten_thousand_scopes_are_one_join(spark):
+    df = spark.range(2000).selectExpr("concat('d', id % 200, '/e', id, '/f') AS path", "id AS size")
+    table = spark.range(10_000).selectExpr("concat('d', id % 500, '/e', id) AS scope")
+    found = scope_module.totals_by_scope(df, table)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+    assert found.count() == sum(k % 200 == k % 500 for k in range(2000))

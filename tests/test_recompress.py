@@ -97,6 +97,61 @@ def wide(spark):
     return spark.range(20_000).select("id", F.repeat(F.lit("text "), 20).alias("t"))
 
 
+def damaged(df):
+    return {
+        "changed": df.withColumn("x", F.when(F.col("id") == 77, -1.0).otherwise(F.col("x"))),
+        "lost": df.where("id <> 500"),
+        "twice": df.union(df.where("id = 9")),
+        "swapped": df.where("id <> 3").union(df.where("id = 4")),
+    }
+
+
+@pytest.fixture
+def numbered(spark):
+    return spark.range(2000).selectExpr("id", "id % 4 AS k", "cast(id AS double) / 3 AS x", "if(id % 7 = 0, null, string(id)) AS s")
+
+
+def test_sums_of_buckets_add_up_and_show_where_tables_differ(spark, numbered):
+    tree = digests.proof_tree(numbered, ["k"], buckets=16)
+    assert rows(digests.merged(tree)) == [tuple(digests.take_proof(numbered).values())]
+    assert rows(digests.differing_parts(tree, digests.proof_tree(numbered.repartition(3), ["k"], buckets=16))) == []
+    for name, copy in damaged(numbered).items():
+        found = digests.differing_parts(tree, digests.proof_tree(copy, ["k"], buckets=16))
+        assert 1 <= found.count() <= 2, name
+        want = rows(digests.multiset_difference(numbered, copy))
+        assert rows(digests.localised_difference(numbered, copy, buckets=16)) == want and want, name
+    gone = digests.proof_tree(numbered.where("k <> 2"), ["k"], buckets=16)
+    assert {k for k, _ in rows(digests.differing_parts(tree, gone))} == {2}
+    nothing = numbered.limit(0)
+    assert digests.take_proof(nothing)["rows"] == 0
+    assert digests.localised_difference(nothing, nothing).count() == 0
+
+
+def test_tables_that_agree_shuffle_no_row(spark, numbered):
+    plan = digests.merged(digests.proof_tree(numbered, buckets=8))._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and plan.count("partial_sum") > 0
+
+
+def test_partition_folders_are_kept(spark, place, numbered):
+    table = SnapshotTable(spark, f"{place}/t")
+    staged = table.staging_place()
+    split = numbered.withColumn("day", F.concat(F.lit("2024-0"), (F.col("k") + 1).cast("string")))
+    split.write.option("compression", "uncompressed").partitionBy("day", "k").parquet(f"{table.root}/{staged}")
+    table.publish(staged, "import")
+    before = table.read()
+    done = recompress.recompress(table, Setting("zstd", ("id",)))
+    assert (done.outcome, done.fidelity) == ("converted", "byte-exact")
+    place = f"{table.root}/{table.current().data}"
+    assert recompress.partition_columns(spark, place) == ["day", "k"]
+    assert rows(table.read()) == rows(before) and table.read().schema == before.schema
+    assert recompress.partition_columns(spark, f"{place}/day=2024-01") == ["k"]
+    typed = recompress.read_rewritten(spark, place, split)
+    assert typed.schema["day"].dataType.simpleString() == "string" and typed.columns == split.columns
+    assert digests.take_proof(typed) == digests.take_proof(split)
+    table.write(numbered, "flat", compression="uncompressed")
+    assert recompress.partition_columns(spark, f"{table.root}/{table.current().data}") == []
+
+
 def test_recompress_keeps_a_gain(spark, place):
     table = make(spark, place, wide(spark).withColumn("u", F.sha2(F.col("id").cast("string"), 256)))
     before = table.read()
