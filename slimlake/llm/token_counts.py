@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -142,12 +143,23 @@ def at_limits(table: DataFrame, limits: list[int], by: list[str] = ()) -> DataFr
     )
 
 
-def quantiles(table: DataFrame, shares: list[float], by: list[str] = ()) -> DataFrame:
-    """Smallest length that at least each share of the documents does not exceed."""
-    share = F.explode(F.array(*[F.lit(float(x)) for x in shares])).alias("share")
-    reached = table.select(*by, "n_tokens", "docs_within", "total_docs", share)
+def _share(value: float | Decimal) -> Decimal:
+    """The share as written, to 17 places."""
+    return Decimal(str(value)).quantize(Decimal(1).scaleb(-17))
+
+
+def quantiles(table: DataFrame, shares: list[float | Decimal], by: list[str] = ()) -> DataFrame:
+    """Smallest length that at least each share of the documents does not exceed.
+
+    Shares count as the decimal numbers they are written as, and are compared exactly.
+    """
+    asked = [
+        F.struct(F.lit(float(x)).alias("share"), F.lit(_share(x)).cast("decimal(18,17)").alias("exact")) for x in shares
+    ]
+    reached = table.select(*by, "n_tokens", "docs_within", "total_docs", F.explode(F.array(*asked)).alias("_asked"))
+    needed = F.col("_asked.exact") * F.col("total_docs").cast("decimal(19,0)")
     return (
-        reached.where("docs_within >= share * total_docs")
-        .groupBy(*by, "share")
+        reached.where(F.col("docs_within").cast("decimal(19,0)") >= needed)
+        .groupBy(*by, F.col("_asked.share").alias("share"))
         .agg(F.min("n_tokens").alias("n_tokens"))
     )

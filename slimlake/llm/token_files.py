@@ -57,7 +57,7 @@ CHUNK = 1 << 16
 CHUNKS_IN_FILE = 128
 #: Ids packed at a time, so that a long document needs no more memory than its ids.
 STEP = 256 * BLOCK
-MEMORY = 3 << 17
+MEMORY = 1 << 19
 #: Texts looked up together.
 AT_ONCE = 300
 #: New words given to the tokenizer as one text.
@@ -268,14 +268,25 @@ class TextEncoder:
         if self.by_piece:
             (self.line_end,) = self.whole("\n").tolist()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of each piece, remembered or encoded; None where its text must stay whole."""
-        found = {piece: self.known.get(piece) for piece in pieces}
-        new = [piece for piece, ids in found.items() if ids is None]
+        # What has been asked for again since the last turnover stays for the next.
+        if len(self.known) > MEMORY // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        found = {piece: known.get(piece) for piece in pieces}
+        new = []
+        for piece in [piece for piece, ids in found.items() if ids is None]:
+            ids = before.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                found[piece] = known[piece] = ids
         words = [p for p in new if p[0] == " " and p.isprintable()]
         # Line ends come between these words and nowhere else, so they mark where one ends.
         lines = ["\n".join(words[k : k + TOGETHER]) + "\n" for k in range(0, len(words), TOGETHER)]
@@ -293,8 +304,6 @@ class TextEncoder:
             bare = piece.strip(" \t\n\r\v\f")
             if not (bare and (bare[0].isspace() or bare[-1].isspace())):
                 found[piece] = np.array(one.ids, dtype=np.uint32).tobytes()
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
         self.known.update((p, found[p]) for p in new if len(p) <= 64 and found[p] is not None)
         return found
 

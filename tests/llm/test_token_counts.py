@@ -55,3 +55,10 @@ def test_groups_and_null_group(spark):
     for lang, n in lengths(docs):
         totals[lang] += n
     assert longest == dict(totals)
+
+
+def test_every_hundredth_is_exact(spark):
+    histogram = spark.range(1, 101).selectExpr("id AS n_tokens", "cast(1 AS bigint) AS n_docs")
+    found = token_counts.quantiles(token_counts.context_table(histogram), [k / 100 for k in range(101)])
+    got = {round(100 * r.share): r.n_tokens for r in found.collect()}
+    assert got == {k: max(k, 1) for k in range(101)}
