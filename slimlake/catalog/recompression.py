@@ -193,6 +193,19 @@ def settings_bench(t: Tables):
     return measured.select("setting", "outcome", "fidelity")
 
 
+@query(
+    "V8_bench_inputs",
+    """SELECT input, setting, rows, 'byte-exact' AS fidelity, outcome FROM (SELECT concat(source, '/', lang) AS input, count(*) AS rows FROM documents
+ GROUP BY 1 ORDER BY sum(strlen(text)) DESC, 1 LIMIT 5), (VALUES ('uncompressed', 'no_gain'), ('zstd', 'kept'), ('gzip', 'kept')) v(setting, outcome)""",
+)
+def bench_inputs(t: Tables):
+    """The five largest inputs with three settings each, measured and proven."""
+    named = t.documents.select(F.concat_ws("/", "source", "lang").alias("input"), "text")
+    settings = [Setting("uncompressed"), Setting("zstd"), Setting("gzip")]
+    measured = recompress.bench_inputs(named, "input", scratch(t.spark, "bench"), settings, 5, F.octet_length("text"))
+    return measured.select("input", "setting", "rows", "fidelity", "outcome")
+
+
 def _trials(t: Tables, by, codecs):
     return recompress.payload_trial(t.documents, "text", by, codecs)
 

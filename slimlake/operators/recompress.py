@@ -14,6 +14,7 @@ import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,6 +182,63 @@ def compare_settings(df: DataFrame, root: str, settings: list[Setting]) -> DataF
     ).withColumn("saving_fraction", sizes.signed_saving_fraction("input_bytes", "output_bytes"))
 
 
+def _bytes_by(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """Bytes of the data files in each of a table's folders, from the listing alone."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.parquet")
+        .load(path)
+    )
+    # The listing's path is a URI of a folder name that is itself escaped.
+    value = F.url_decode(F.url_decode(F.regexp_extract("path", f"/{by}=([^/]*)/", 1)))
+    return files.select(value.alias(by), "length").groupBy(by).agg(F.sum("length").alias("bytes"))
+
+
+def largest_inputs(df: DataFrame, by: str, n: int, size: Column) -> DataFrame:
+    """The ``n`` inputs whose rows have the largest ``size`` in all, ties by name."""
+    summed = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.sum(size).alias("_size"))
+    return summed.orderBy(F.desc("_size"), by).limit(n).select(by)
+
+
+def bench_inputs(
+    df: DataFrame, by: str, root: str, settings: list[Setting], n: int, size: Column
+) -> DataFrame:
+    """Rewrite the ``n`` largest inputs with every setting: one row per input and setting.
+
+    ``by`` is a text column that names the input of a row, and ``size`` what makes an
+    input large. A setting is one distributed
+    write of all inputs, a folder each. Sizes come from the listings and proofs from sums
+    per input, and what is kept is judged where these are joined.
+    """
+    spark, root = df.sparkSession, root.rstrip("/")
+    chosen = df.join(F.broadcast(largest_inputs(df, by, n, size)), by).select(*df.columns)
+    base = f"{root}/source"
+    chosen.write.mode("errorifexists").partitionBy(by).parquet(base)
+    source = read_rewritten(spark, base, df)
+
+    def measured(path: str) -> DataFrame:
+        proof = digests.merged(digests.proof_tree(read_rewritten(spark, path, df), [by], buckets=1), [by])
+        sums = F.struct(*[c for c in proof.columns if c != by]).alias("proof")
+        return proof.select(by, "rows", sums).join(_bytes_by(spark, path, by), by)
+
+    before = measured(base).withColumnsRenamed({"bytes": "input_bytes", "proof": "_known"})
+    found = []
+    for i, setting in enumerate(settings):
+        target = f"{root}/setting-{i}"
+        rewrite(source, target, setting, [by])
+        after = measured(target).select(by, F.col("bytes").alias("output_bytes"), F.col("proof").alias("_proof"))
+        found.append(before.join(after, by, "left").withColumn("setting", F.lit(setting.label)))
+    proven = F.coalesce(F.col("_known") == F.col("_proof"), F.lit(False))
+    gain = sizes.is_worthwhile("input_bytes", "output_bytes")
+    return reduce(lambda a, b: a.unionByName(b), found).select(
+        by, "setting", "rows", F.when(proven, K.BYTE_EXACT).alias("fidelity"),
+        F.when(~proven, "failed").when(gain, "kept").otherwise("no_gain").alias("outcome"),
+        "input_bytes", "output_bytes",
+        sizes.signed_saving_fraction("input_bytes", "output_bytes").alias("saving_fraction"),
+    )
+
+
 # -- payload columns ---------------------------------------------------------
 
 _PACK = {
