@@ -190,8 +190,9 @@ def _bytes_by(spark: SparkSession, path: str, by: str) -> DataFrame:
         .option("pathGlobFilter", "*.parquet")
         .load(path)
     )
-    # The listing's path is a URI of a folder name that is itself escaped.
-    value = F.url_decode(F.url_decode(F.regexp_extract("path", f"/{by}=([^/]*)/", 1)))
+    # Folder names are escaped, but for the plus sign, which decoding would make a space.
+    name = F.regexp_extract("path", f"/{by}=([^/]*)/", 1)
+    value = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
     return files.select(value.alias(by), "length").groupBy(by).agg(F.sum("length").alias("bytes"))
 
 

@@ -155,14 +155,14 @@ def test_partition_folders_are_kept(spark, place, numbered):
 def test_largest_inputs_with_every_setting(spark, place):
     text = "concat('some text of row ', id, ' ', repeat('x', 40))"
     df = spark.range(3000).selectExpr(
-        "concat('in put=/%', CASE WHEN id < 2000 THEN 0 WHEN id < 2900 THEN 1 ELSE 2 END) AS name", f"{text} AS text", "id % 3 = 0 AS flag"
+        "concat('in+put =/%', CASE WHEN id < 2000 THEN 0 WHEN id < 2900 THEN 1 ELSE 2 END) AS name", f"{text} AS text", "id % 3 = 0 AS flag"
     ).union(spark.sql("SELECT cast(null AS string), 'no name', true"))
     found = recompress.bench_inputs(
         df, "name", place + "/b", [Setting("uncompressed"), Setting("zstd", ("text",))], 2, F.octet_length("text")
     ).collect()
     assert sorted((r.name, r.setting, r.rows, r.fidelity, r.outcome) for r in found) == [
-        ("in put=/%0", "uncompressed", 2000, "byte-exact", "no_gain"), ("in put=/%0", "zstd by text", 2000, "byte-exact", "kept"),
-        ("in put=/%1", "uncompressed", 900, "byte-exact", "no_gain"), ("in put=/%1", "zstd by text", 900, "byte-exact", "kept"),
+        ("in+put =/%0", "uncompressed", 2000, "byte-exact", "no_gain"), ("in+put =/%0", "zstd by text", 2000, "byte-exact", "kept"),
+        ("in+put =/%1", "uncompressed", 900, "byte-exact", "no_gain"), ("in+put =/%1", "zstd by text", 900, "byte-exact", "kept"),
     ]
     assert all(r.input_bytes > 0 and r.output_bytes > 0 for r in found)
 
