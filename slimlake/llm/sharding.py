@@ -1,13 +1,14 @@
 """Sharding by longest processing time: groups that stay together, largest first.
 
 Rows with equal texts are a group. Groups, sorted by size, go to the least loaded
-shard, which a heap gives. Groups are as many as distinct texts, too many for one
-heap, so only those above ``1 / grain`` of all bytes are scheduled one by one: there
-are fewer than ``grain``. The others are dealt by a digest into ``bins`` bins, and the
-bins are scheduled in the same heap, each as one group. The heap thus holds less than
-``grain + bins`` entries at every size of the input, and a shard's load is off by at
-most one bin or one large group. A group that is larger than a fair share has a shard
-to itself; it can't be split, as its rows must stay together.
+shard, which a heap gives. Groups of one size are interchangeable, so the heap is not
+asked once for each: a run of ``n`` groups of one size is dealt at once, by taking all
+shards within one size of the least loaded and letting them take turns until the next
+shard is level with them. The loads are those of the heap asked ``n`` times. A run is
+one row, and there are at most ``sqrt(2 * bytes)`` different sizes in all, so the driver
+never sees the groups; they take their place in the run by rank, which Spark finds. A
+group that is larger than a fair share has a shard to itself; it can't be split, as its
+rows must stay together.
 
 Defined cases: a null text has no bytes and is in one group with the empty text. A
 row's size is its text's UTF-8 bytes plus 1, so empty texts count too. Repeated rows
@@ -18,32 +19,38 @@ some shards stay empty.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slimlake.llm.common import kept, text_key
 from slimlake.operators.ordered import ranked
+from slimlake.operators.skew import join_by_weight
 
-GRAIN = 65_536
-BINS = 8_192
 
-
-def longest_first(items: Iterable[tuple[str, int]], shards: int) -> dict[str, int]:
-    """Shard of each named item: largest first, each to the least loaded shard."""
+def deal(runs: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
+    """Of each run (size, groups), longest first: the size and how many each shard takes."""
     heap = [(0, s) for s in range(shards)]
-    placed = {}
-    for name, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        load, shard = heap[0]
-        heapq.heapreplace(heap, (load + size, shard))
-        placed[name] = shard
-    return placed
+    for size, left in sorted(runs, reverse=True):
+        counts = [0] * shards
+        while left:
+            level = [heapq.heappop(heap)]
+            while heap and heap[0][0] < level[0][0] + size:
+                level.append(heapq.heappop(heap))
+            turns = left // len(level)
+            if heap:
+                turns = min(turns, -(-(heap[0][0] - level[-1][0]) // size))
+            for at, (load, shard) in enumerate(level):
+                n = turns or int(at < left)
+                counts[shard] += n
+                heapq.heappush(heap, (load + n * size, shard))
+            left -= turns * len(level) if turns else left
+        yield size, counts
 
 
-def shard_rows(
-    documents: DataFrame, shards: int = 16, grain: int = GRAIN, bins: int = BINS
-) -> DataFrame:
+def shard_rows(documents: DataFrame, shards: int = 16) -> DataFrame:
     """Shard and slot of each row: doc_id, size, text_crc32, digest, shard, slot."""
     spark = documents.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -53,25 +60,30 @@ def shard_rows(
         F.crc32(text).alias("text_crc32"),
         text_key(text).alias("digest"),
     )
-    rows = rows.withColumn("_bin", F.pmod(F.xxhash64("digest"), F.lit(bins)).cast("int"))
     rows = kept(rows, "shard-rows")
-    groups = kept(rows.groupBy("digest", "_bin").agg(F.sum("size").alias("bytes")), "shard-groups")
-    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).scalar()
-    is_large = F.col("bytes") * grain > total
-    # Fewer than ``grain`` rows, and one row per bin.
-    large = [(r[0], r[1]) for r in groups.where(is_large).select("digest", "bytes").collect()]
-    small = groups.where(~is_large).groupBy("_bin").agg(F.sum("bytes")).collect()
-    placed = longest_first([*large, *((f"bin {b}", n) for b, n in small)], shards)
-    by_group = spark.createDataFrame(
-        [(name, placed[name]) for name, _ in large], "digest string, _own int"
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
+    groups = kept(groups, "shard-groups")
+    # One row per size.
+    runs = groups.groupBy("_bytes").agg(F.count("*").alias("_groups")).toPandas()
+    number = dict(zip(runs["_bytes"].tolist(), runs["_groups"].tolist(), strict=True))
+    dealt = list(deal(number.items(), shards))
+    places = spark.createDataFrame(
+        pa.table(
+            {
+                "_bytes": pa.array([size for size, _ in dealt], pa.int64()),
+                "_counts": pa.array([counts for _, counts in dealt], pa.list_(pa.int64())),
+                "_groups": pa.array([number[size] for size, _ in dealt], pa.int64()),
+            }
+        )
     )
-    by_bin = spark.createDataFrame(
-        [(b, placed[f"bin {b}"]) for b, _ in small], "_bin int, _shared int"
+    in_run = ranked(groups, ["digest"], ["_bytes"], "_rank")
+    # A shard takes the next of the run's ranks; the first whose last rank is reached.
+    last = F.transform("_counts", lambda _, i: F.aggregate(F.slice("_counts", 1, i + 1), F.lit(0).cast("long"), lambda a, n: a + n))
+    placed = join_by_weight(in_run, places.withColumn("_last", last), ["_bytes"], "_groups").select(
+        "digest", "_rows", F.size(F.filter("_last", lambda n: n < F.col("_rank"))).alias("shard")
     )
-    dealt = (
-        rows.join(F.broadcast(by_group), "digest", "left")
-        .join(F.broadcast(by_bin), "_bin", "left")
-        .select("doc_id", "size", "text_crc32", "digest", F.coalesce("_own", "_shared").alias("shard"))
+    sharded = join_by_weight(rows, kept(placed, "shard-places"), ["digest"], "_rows").select(
+        "doc_id", "size", "text_crc32", "digest", "shard"
     )
-    numbered = ranked(dealt, ["digest", "doc_id"], ["shard"], "_at")
+    numbered = ranked(sharded, ["digest", "doc_id"], ["shard"], "_at")
     return numbered.withColumn("slot", F.col("_at") - 1).drop("_at")
