@@ -13,8 +13,10 @@ The running sum works on range partitions (``operators.ordered``), so one source
 hold most of the rows.
 
 Defined cases: a null text has size 0. A null source is a source of its own, last in
-order. Rows equal in id, text and source are one item and are taken together. A source
-or a corpus of size 0 gets the target 0. No input gives no rows.
+order. Rows equal in id, text and source are one item and have one key; the item at the
+cut gives one more copy to as many of its rows as come nearest the target, so a source of
+equal rows meets its target too. A source or a corpus of size 0 gets the target 0. No
+input gives no rows.
 """
 
 from __future__ import annotations
@@ -86,9 +88,10 @@ def mix(
 ) -> DataFrame:
     """How often the mix takes each item: one row per distinct (doc_id, source, text).
 
-    Columns doc_id, source, digest (of the text), rows (equal rows of the input), size,
-    source_size, target, copies, taken (size times copies). ``weight`` may use the
-    columns text and size.
+    The item at the cut has two, if only some of its equal rows are taken once more.
+    Columns doc_id, source, digest (of the text), rows (equal rows of the input that this
+    row stands for), size, source_size, target, copies, taken (size times copies).
+    ``weight`` may use the columns text and size.
     """
     items = draw(documents, weight, seed).withColumn("_mass", F.col("size") * F.col("rows"))
     # A group name that is never null, as it is joined on.
@@ -109,29 +112,44 @@ def mix(
     full = join_by_weight(summed, goal, ["_group"], "_items")
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0))
     rest = F.col("target") - F.col("_epochs") * F.col("source_size")
-    nearest = (2 * F.col("_sum") - F.col("_mass") <= 2 * rest) & (F.col("_mass") > 0)
-    return (
-        full.withColumn("_epochs", epochs.cast("long"))
-        .withColumn("copies", F.col("_epochs") + nearest.cast("long"))
-        .select(
-            "doc_id", "source", "digest", "rows", "size", "source_size", "target", "copies",
-            (F.col("size") * F.col("copies")).alias("taken"),
-        )
+    # Of an item's equal rows, as many are taken once more as come nearest the target.
+    room = 2 * (rest - (F.col("_sum") - F.col("_mass"))) + F.col("size")
+    more = F.least(F.greatest(F.floor(room / F.nullif(2 * F.col("size"), F.lit(0))), F.lit(0)), F.col("rows"))
+    planned = full.withColumn("_epochs", epochs.cast("long")).withColumn(
+        "_more", F.coalesce(more, F.lit(0)).cast("long")
+    )
+    parts = F.array(
+        F.struct(F.col("_more").alias("rows"), (F.col("_epochs") + 1).alias("copies")),
+        F.struct((F.col("rows") - F.col("_more")).alias("rows"), F.col("_epochs").alias("copies")),
+    )
+    return planned.withColumn("_part", F.explode(F.filter(parts, lambda p: p["rows"] > 0))).select(
+        "doc_id", "source", "digest", "_part.rows", "size", "source_size", "target", "_part.copies",
+        (F.col("size") * F.col("_part.copies")).alias("taken"),
     )
 
 
 def mixed_documents(documents: DataFrame, plan: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: each row as often as ``plan`` says."""
+    """The documents as the mix takes them: each row as often as ``plan`` says.
+
+    Which of the equal rows at a cut come once more is open where other columns differ.
+    """
     columns = documents.columns
-    chosen = plan.where("copies > 0").select(
-        F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"),
-        F.col("digest").alias("__digest"), F.col("copies").alias("__copies"),
+    chosen = plan.groupBy("doc_id", "source", "digest").agg(
+        F.min("copies").alias("__low"), F.max("copies").alias("__high"), F.max_by("rows", "copies").alias("__more")
     )
-    joined = documents.join(
-        chosen,
-        documents["doc_id"].eqNullSafe(F.col("__doc_id"))
-        & documents["source"].eqNullSafe(F.col("__source"))
-        & text_key(documents["text"]).eqNullSafe(F.col("__digest")),
+    chosen = chosen.withColumnsRenamed({"doc_id": "__doc_id", "source": "__source", "digest": "__digest"})
+    same_row = documents["doc_id"].eqNullSafe(F.col("__doc_id")) & documents["source"].eqNullSafe(F.col("__source"))
+    same_text = text_key(documents["text"]).eqNullSafe(F.col("__digest"))
+    # Every row of an item alike, but for the few items at a cut (at most one a source).
+    alike = documents.join(chosen.where("__low = __high AND __high > 0"), same_row & same_text)
+    split = documents.join(chosen.where("__low < __high"), same_row).where(same_text)
+    item = F.md5(F.to_json(F.struct("__doc_id", "__source", "__digest")))
+    split = split.withColumn("__item", item).withColumn("__tie", F.monotonically_increasing_id())
+    numbered = ranked(split, ["__tie"], ["__item"], "__at")
+    once_more = F.when(F.col("__at") <= F.col("__more"), F.col("__high")).otherwise(F.col("__low"))
+    whole = [F.col(f"`{c}`") for c in columns]
+    taken = alike.select(*whole, F.col("__high").alias("__copies")).unionByName(
+        numbered.select(*whole, once_more.alias("__copies")).where("__copies > 0")
     )
     times = F.sequence(F.lit(1).cast("long"), F.col("__copies"))
-    return joined.withColumn("__time", F.explode(times)).select(*[F.col(f"`{c}`") for c in columns])
+    return taken.withColumn("__time", F.explode(times)).select(*whole)

@@ -176,11 +176,14 @@ WITH docs AS (
          (sum(mass) OVER (PARTITION BY i.source ORDER BY key, doc_id, digest ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
   FROM items i JOIN goals g ON i.source IS NOT DISTINCT FROM g.source
 ), picked AS (
-  SELECT *, epochs + CASE WHEN mass > 0 AND 2 * upto - mass <= 2 * (target - epochs * s) THEN 1 ELSE 0 END AS copies
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE
+         least(greatest(floor((2 * (target - epochs * s - (upto - mass)) + size) / (2 * size)), 0), n) END AS more
   FROM summed
+), rows_taken AS (
+  SELECT *, epochs + CASE WHEN no.range < more THEN 1 ELSE 0 END AS copies FROM picked, range(picked.n) AS no
 )
 SELECT doc_id, size, s AS source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies
-FROM picked, range(picked.n)
+FROM rows_taken
 """
 
 

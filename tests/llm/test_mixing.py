@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -48,7 +48,6 @@ def test_targets_and_totals(spark, source):
         rows += r["rows"]
     assert rows == docs.count()
     for name, total in taken.items():
-        # Rows that are equal in every respect are taken together.
         assert abs(total - goal[name]) <= largest[name]
 
 
@@ -85,3 +84,20 @@ def test_documents_are_repeated_as_planned(spark):
     mixed = mixing.mixed_documents(docs, plan)
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r["rows"] * r["copies"] for r in plan.collect())
+
+
+def test_equal_rows_meet_the_target(spark):
+    rows = [(1, " ".join(["same"] * 10), "en", "a")] * 900 + [(2 + i, f"t{i} " * 10, "en", "a") for i in range(100)]
+    rows += [(5000 + i, "other " * 10, "en", "b") for i in range(20)]
+    docs = shared.documents(spark, rows).repartition(4)
+    plan = mixing.mix(docs, weights=[1, 1], share=0.6)
+    found = plan.collect()
+    goal = next(r["target"] for r in found if r["source"] == "a")
+    assert sum(r["rows"] for r in found if r["source"] == "a") == 1000
+    assert abs(sum(r["rows"] * r["taken"] for r in found if r["source"] == "a") - goal) <= 5
+    mixed = Counter((r["doc_id"], r["source"]) for r in mixing.mixed_documents(docs, plan).collect())
+    expected = Counter()
+    for r in found:
+        expected[r["doc_id"], r["source"]] += r["rows"] * r["copies"]
+    assert mixed == +expected
+    assert 0 < mixed[1, "a"] < 900
