@@ -244,6 +244,8 @@ def with_views(sql: str) -> str:
     bodies = {**{n: v.sql() for n, v in VIEWS.items()}, **_LITERAL_VIEWS}
     ctes = ",\n".join(f"{name} AS ({bodies[name]})" for name in wanted)
     rest = sql.strip()
+    if rest.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{rest[15:]}"
     if rest.upper().startswith("WITH "):
         return f"WITH {ctes},\n{rest[5:]}"
     return f"WITH {ctes}\n{rest}"

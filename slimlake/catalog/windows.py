@@ -84,6 +84,24 @@ def low_water_points(t: Tables):
     return points.select("path", "headroom_mib", "headroom_before_mib")
 
 
+@query(
+    "W4_reclaim_and_go_on",
+    f"""WITH RECURSIVE r AS (SELECT path, up, size, row_number() OVER w AS no, CAST(sum(up) OVER w AS BIGINT) AS spent, CAST(sum(size) OVER w AS BIGINT) AS replaced
+  FROM (SELECT path, trashed_at, greatest(CAST(ceil(output_size / 1048576) AS BIGINT), 1) AS up, size FROM f_lines WHERE state = 'done')
+  WINDOW w AS (ORDER BY trashed_at, path ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT 0::BIGINT AS no, 0::BIGINT AS back UNION ALL
+  SELECT min(r.no), arg_min(r.replaced - r.size, r.no) FROM p JOIN r ON r.no > p.no AND r.spent - r.up > {_CAPACITY - _FLOOR} + CAST(ceil(p.back / 1048576) AS BIGINT) GROUP BY p.no),
+h AS (SELECT r.*, p.no = r.no AS purged, p.back, CAST({_CAPACITY} - spent + ceil(p.back / 1048576) AS BIGINT) AS headroom FROM r ASOF JOIN p ON r.no >= p.no),
+s AS (SELECT *, coalesce(no >= (SELECT min(no) FROM h WHERE headroom < 0), false) AS waits FROM h)
+SELECT path, CASE WHEN waits THEN 'waiting' ELSE 'uploaded' END AS admission, CASE WHEN NOT waits THEN purged END AS purged,
+ CASE WHEN NOT waits THEN headroom END AS headroom_mib, CASE WHEN NOT waits THEN back END AS returned_bytes, CASE WHEN NOT waits THEN replaced - back END AS held_bytes FROM s""",
+)
+def reclaim_and_go_on(t: Tables):
+    done = t.f_lines.where(F.col("state") == "done").select("path", "trashed_at", "output_size", "size")
+    walked = claims.reclaim_when_low(done, _FREE, _RESERVE, _FLOOR, ["trashed_at", "path"])
+    return walked.drop("trashed_at", "output_size", "size")
+
+
 @query(
     "W5_worker_assignment",
     f"SELECT path, row_number() OVER (ORDER BY {_BY_SAVING}) AS row_no, CAST((row_number() OVER (ORDER BY {_BY_SAVING}) - 1) % 7 AS INTEGER) AS worker FROM o_saving",

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from slimlake.functions import sizes
 from slimlake.operators.decide import is_video, kind_of, reservation_mib
 from slimlake.operators.ledger import is_completed
-from slimlake.operators.ordered import ranked, running
+from slimlake.operators.ordered import carry_last, follow, ranked, running
 from slimlake.operators.scope import EVERYTHING, Scope
+from slimlake.session import cut
 
 # Every order ends in the path, so it is total and a limit repeats.
 ORDERS = {
@@ -92,6 +93,11 @@ def admit_within_budget(
     ).drop("_fits")
 
 
+def capacity_mib(free_bytes: int, reserve_bytes: int) -> int:
+    """What uploads may take: the free space less the reserve, in whole MiB."""
+    return max(-(-free_bytes // (1 << 20)) - -(-reserve_bytes // (1 << 20)), 0)
+
+
 def headroom(
     conversions: DataFrame, free_bytes: int, reserve_bytes: int, order: list[str]
 ) -> DataFrame:
@@ -100,7 +106,7 @@ def headroom(
     An upload takes its output's size and holds it; a replaced original gives its
     size back once it is reclaimed. ``headroom_before_mib`` is what an upload found.
     """
-    capacity = max(-(-free_bytes // (1 << 20)) - -(-reserve_bytes // (1 << 20)), 0)
+    capacity = capacity_mib(free_bytes, reserve_bytes)
     priced = conversions.withColumns(
         {
             "upload_mib": F.greatest(sizes.bytes_to_mib("output_size"), F.lit(1).cast("long")),
@@ -123,6 +129,78 @@ def low_water_points(with_headroom: DataFrame, floor_mib: int) -> DataFrame:
     )
 
 
+def reclaim_when_low(
+    conversions: DataFrame, free_bytes: int, reserve_bytes: int, floor_mib: int, order: list[str]
+) -> DataFrame:
+    """Uploads along ``order``, with a purge before each one that finds too little headroom.
+
+    A purge gives back all originals replaced since the last one, so the rows after it see
+    that space; what is given back is rounded up to MiB once, on its running total. An
+    upload that still does not fit waits, and so do all rows after it, as nothing will
+    free space any more.
+
+    Adds ``admission`` (``uploaded`` or ``waiting``), ``purged`` (a purge came just before),
+    ``headroom_mib`` left after the upload, ``returned_bytes`` of all purges so far and
+    ``held_bytes``, the originals kept since; the last four are null for waiting rows. A
+    null size is 0, an upload takes at least 1 MiB.
+
+    The headroom after a purge depends only on where it falls, and so does the place of
+    the next one. All these places are found at once, by meeting the running sum of
+    uploads with the sums at which it is too much; then the walk over them is followed.
+    """
+    capacity = capacity_mib(free_bytes, reserve_bytes)
+
+    def in_mib(size: Column) -> Column:
+        # Running totals may exceed what a single reservation is held at.
+        return F.shiftright(size + F.lit((1 << 20) - 1), 20)
+
+    priced = conversions.withColumns(
+        {
+            "_up": F.greatest(sizes.bytes_to_mib(F.coalesce("output_size", F.lit(0))), F.lit(1).cast("long")),
+            "_old": F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")),
+            "_one": F.lit(1).cast("long"),
+        }
+    )
+    placed = cut(running(priced, order, {"_spent": "_up", "_replaced": "_old", "_at": "_one"}).drop("_one"))
+    found = placed.select(
+        F.col("_at").alias("no"),
+        (F.col("_spent") - F.col("_up")).alias("spent"),
+        (F.col("_replaced") - F.col("_old")).alias("back"),
+    )
+    start = placed.sparkSession.createDataFrame([(0, 0, 0)], "no long, spent long, back long")
+    enough = (F.lit(capacity - floor_mib) + in_mib(F.col("back"))).cast("long")
+    # Backwards along the sums, the row last seen is the first one that has spent more.
+    asked = found.union(start).select((-enough).alias("key"), F.lit(0).alias("kind"), "no", F.lit(None).cast("long").alias("low"))
+    given = found.select((-F.col("spent")).alias("key"), F.lit(1).alias("kind"), "no", F.col("no").alias("low"))
+    met = carry_last(asked.union(given), ["key", "kind", "no"], {"first_low": "low"})
+    hops = met.where("kind = 0 AND first_low IS NOT NULL").select(
+        F.col("no").alias("place"), F.greatest("first_low", F.col("no") + 1).alias("next")
+    )
+    purges = follow(cut(hops), 0).select(F.col("at").alias("_at"), F.lit(True).alias("_purged"))
+    marked = placed.join(purges, "_at", "left").withColumn(
+        "_back", F.when(F.col("_purged"), F.col("_replaced") - F.col("_old"))
+    )
+    returned = F.coalesce("_returned", F.lit(0))
+    walked = cut(
+        carry_last(marked, ["_at"], {"_returned": "_back"}).withColumns(
+            {
+                "purged": F.coalesce("_purged", F.lit(False)),
+                "headroom_mib": F.lit(capacity) - F.col("_spent") + in_mib(returned),
+                "returned_bytes": returned,
+                "held_bytes": F.col("_replaced") - returned,
+            }
+        )
+    )
+    stop = walked.where("headroom_mib < 0").agg(F.min("_at")).scalar()
+    waits = F.coalesce(F.col("_at") >= stop, F.lit(False))
+    figures = ("purged", "headroom_mib", "returned_bytes", "held_bytes")
+    return walked.select(
+        *[F.col(f"`{c}`") for c in conversions.columns],
+        F.when(waits, "waiting").otherwise("uploaded").alias("admission"),
+        *[F.when(~waits, F.col(c)).alias(c) for c in figures],
+    )
+
+
 # -- samples -----------------------------------------------------------------
 
 

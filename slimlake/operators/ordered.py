@@ -135,3 +135,22 @@ def carry_last(
             for name, source in values.items()
         ],
     )
+
+
+def follow(hops: DataFrame, start: int) -> DataFrame:
+    """All places that a walk from ``start`` comes to: one row (at), ``start`` included.
+
+    ``hops`` (place, next) has at most one row per place and never goes back. Hops of twice
+    the length are joined from those before, so a walk of ``n`` steps takes ``log2(n)`` joins.
+    """
+    reached = hops.sparkSession.createDataFrame([(start,)], "at long")
+    known = 1
+    while True:
+        further = reached.join(hops, reached["at"] == hops["place"]).select(F.col("next").alias("at"))
+        reached = cut(reached.union(further))
+        now = reached.count()
+        if now == known:
+            return reached
+        known = now
+        second = hops.select(F.col("place").alias("next"), F.col("next").alias("_then"))
+        hops = cut(hops.join(second, "next").select("place", F.col("_then").alias("next")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import pytest
@@ -16,6 +17,7 @@ from slimlake.sources.snapshots import SnapshotTable
 from tests.conftest import rows
 
 NOW = datetime(2024, 3, 1)
+MIB = 1 << 20
 
 
 def book(spark, *entries):
@@ -240,6 +242,44 @@ def test_headroom_and_low_water(spark):
     assert rows(claims.low_water_points(got, 20).select("path")) == [("d",)]
 
 
+def purge_by_loop(done, capacity, floor):
+    """(path, admission, purged, headroom, returned, held) with one counter per figure."""
+    out, spent, replaced, returned, stopped = [], 0, 0, 0, False
+    for path, size, output in sorted(done):
+        size, up = size or 0, max(-(-(output or 0) // MIB), 1)
+        purged = capacity - spent + -(-returned // MIB) < floor
+        returned = replaced if purged else returned
+        spent, replaced = spent + up, replaced + size
+        left = capacity - spent + -(-returned // MIB)
+        stopped = stopped or left < 0
+        out.append((path, "waiting", None, None, None, None) if stopped else
+                   (path, "uploaded", purged, left, returned, replaced - returned))
+    return out
+
+
+@pytest.mark.parametrize("seed, n, free, floor, gain", [(1, 400, 120, 40, 1.2), (2, 300, 100, 30, 0.8), (3, 60, 5, 20, 1.0), (4, 200, 10**6, 5, 1.0)])
+def test_reclaim_goes_on_with_the_space_it_frees(spark, seed, n, free, floor, gain):
+    rng = random.Random(seed)
+    done = []
+    for i in range(n):
+        output = rng.choice([None, 0, rng.randrange(12 * MIB)])
+        size = rng.choice([None, 0, int((output or 0) * gain), int((output or 0) * gain) + 1])
+        done.append((f"f{i:04d}", size, output))
+    df = spark.createDataFrame(done, "path string, size long, output_size long").repartition(5)
+    got = claims.reclaim_when_low(df, (free + 10) * MIB, 10 * MIB, floor, ["path"])
+    expected = purge_by_loop(done, free, floor)
+    assert rows(got.drop("size", "output_size")) == expected
+    if seed == 1:
+        assert 3 < sum(bool(r[2]) for r in expected)
+    if seed == 2:
+        assert expected[-1][1] == "waiting"
+
+
+def test_reclaim_of_nothing(spark):
+    none = spark.createDataFrame([], "path string, size long, output_size long")
+    assert claims.reclaim_when_low(none, 100 * MIB, 0, 10, ["path"]).collect() == []
+
+
 def test_either_path_finds_a_conversion(spark):
     old = book(
         spark,
