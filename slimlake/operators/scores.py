@@ -2,41 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slimlake import constants as K
-from slimlake.operators.ordered import running
-
 
 #: Scores are summed as whole numbers of this part of a point, as score logs print them.
 SCORE_UNITS = 1_000_000
 
+#: Percentiles narrow down to cells of 2**-10 of a point, then 2**-28.
+CELL_BITS = (10, 28)
+
 
 def nearest_rank(count, percent: float) -> Column:
     """1-based rank of a percentile that some row actually has."""
     return F.greatest(F.ceil(F.lit(percent) / 100.0 * count), F.lit(1)).cast("long")
 
 
+def _cell(score: Column, bits: int) -> Column:
+    """Number of the cell of width ``2**-bits`` that holds a score; keeps Spark's order."""
+    return F.coalesce(F.floor(score.cast("double") * float(1 << bits)), F.lit(-(1 << 63)))
+
+
+def _picked(histogram: DataFrame, group: list[str], cell: str) -> DataFrame:
+    """The cell of each group that holds the row of rank ``_rank``, and its rank in there."""
+    upto = F.sum("_in").over(Window.partitionBy(*group).orderBy(cell))
+    before = F.col("_upto") - F.col("_in")
+    inside = (F.col("_upto") >= F.col("_rank")) & (before < F.col("_rank"))
+    found = histogram.withColumn("_upto", upto).where(inside)
+    return found.withColumn("_rank", F.col("_rank") - before).drop("_in", "_upto")
+
+
 def score_summary(
     scores: DataFrame, item: list[str], percent: float = K.LOW_PERCENTILE, score: str = "score"
 ) -> DataFrame:
     """Mean, minimum, nearest-rank low percentile and frame count per item.
 
     The mean is one division of whole numbers, so it does not depend on the order of
-    rows. Equal scores are counted first; the ranks then run over slices, so an item
-    with a third of all frames is spread like any other rows.
+    rows. The percentile is exact and nothing is sorted for it: a histogram finds the cell
+    that holds the rank, the scores of that cell are counted in finer cells, and so on
+    down to the scores themselves. Every step is a partial aggregation, and a window sees
+    the cells of one histogram only: 2**10 for each point of the scores' range, then at
+    most 2**18, and in the last cell at most 2**24 different scores of 1 or more. Null scores count as frames and stand first;
+    null items are an item. A score that is no number, or too large to be summed in
+    ``SCORE_UNITS``, is an error.
     """
-    counted = scores.groupBy(*item, score).agg(F.count("*").alias("_n"))
-    placed = running(counted, [score], {"_upto": "_n"}, item, totals={"frames": "_n"})
-    units = F.round(F.col(score) * SCORE_UNITS).cast("long")
-    reached = F.col("_upto") >= nearest_rank(F.col("frames"), percent)
-    return placed.groupBy(*item).agg(
-        (F.sum(units * F.col("_n")) / (F.max("frames") * SCORE_UNITS)).alias("mean"),
-        F.min(score).alias("min"),
-        F.min(F.when(reached, F.col(score))).alias("low_percentile"),
-        F.max("frames").alias("frames"),
+    # A structure equals another with nulls in the same places, in joins as well.
+    keyed = scores.select(F.struct(*item).alias("_item"), F.col(score).alias("_score"))
+    counted = keyed.groupBy("_item", "_score").agg(F.count("*").alias("_n")).withColumns(
+        {f"_cell{bits}": _cell(F.col("_score"), bits) for bits in CELL_BITS}
+    )
+    cells = [f"_cell{bits}" for bits in CELL_BITS]
+    units = F.round(F.col("_score") * SCORE_UNITS).cast("long")
+    whole = Window.partitionBy("_item")
+    figures = ["mean", "min", "frames"]
+    first = counted.groupBy("_item", cells[0]).agg(
+        F.sum("_n").alias("_in"), F.sum(units * F.col("_n")).alias("_units"), F.min("_score").alias("_min")
     )
+    frames = F.sum("_in").over(whole)
+    known = first.withColumns(
+        {
+            "mean": F.sum("_units").over(whole) / (frames * SCORE_UNITS),
+            "min": F.min("_min").over(whole),
+            "frames": frames,
+            "_rank": nearest_rank(frames, percent),
+        }
+    ).drop("_units", "_min")
+    picked = _picked(known, ["_item"], cells[0])
+    for at, finer in enumerate([*cells[1:], "_score"], start=1):
+        keys = ["_item", *cells[:at]]
+        inside = counted.join(picked, keys).groupBy(*keys, finer).agg(
+            F.sum("_n").alias("_in"), *[F.first(c).alias(c) for c in (*figures, "_rank")]
+        )
+        picked = _picked(inside, keys, finer)
+    low = F.coalesce("_score", "min").alias("low_percentile")
+    return picked.select(*[F.col("_item")[c].alias(c) for c in item], "mean", "min", low, "frames")
 
 
 def passes(min_mean: float = K.MIN_MEAN_SCORE, min_low: float = K.MIN_LOW_SCORE) -> Column:

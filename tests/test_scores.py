@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import math
+import random
+from collections import defaultdict
+
 import pytest
 
 from slimlake.functions import media, sizes
@@ -14,6 +18,42 @@ def test_nearest_rank(spark, n, rank):
     assert (row.low_percentile, row.min, row.frames) == (float(rank), 1.0, n)
 
 
+@pytest.mark.parametrize("percent", [0.0, 33.3, 100.0])
+def test_percentile_of_any_doubles(spark, percent):
+    rng = random.Random(7)
+    data = [("hot", 90 + rng.random() * 1e-5) for _ in range(700)] + [("hot", 97.25)] * 300
+    data += [("wide", rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 9)) for _ in range(200)]
+    data += [("tiny", rng.random() * 1e-12) for _ in range(99)] + [("one", 3.5)]
+    data += [(None, float(i)) for i in range(10)]
+    df = spark.createDataFrame(data, "item string, score double").repartition(4)
+    summary = scores.score_summary(df, ["item"], percent)
+    groups = defaultdict(list)
+    for name, score in data:
+        groups[name].append(score)
+    expected = {}
+    for name, found in groups.items():
+        rank = max(math.ceil(percent / 100.0 * len(found)), 1)
+        expected[name] = (min(found), sorted(found)[rank - 1], len(found))
+    assert {r["item"]: (r["min"], r["low_percentile"], r["frames"]) for r in summary.collect()} == expected
+
+
+def test_percentile_with_missing_scores(spark):
+    data = [("a", None), ("a", None), ("a", 2.0), ("a", 9.0), ("b", 7.0), ("b", 1.0), ("b", 4.0), ("c", None)]
+    df = spark.createDataFrame(data, "item string, score double")
+    got = scores.score_summary(df, ["item"], 50.0)
+    assert rows(got.select("item", "min", "low_percentile", "frames")) == [
+        ("a", 2.0, 2.0, 4), ("b", 1.0, 4.0, 3), ("c", None, None, 1)
+    ]
+
+
+def test_percentile_sorts_nothing(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "item string, score double")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    plan = scores.score_summary(df, ["item"])._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before
+
+
 def test_gate_needs_both_sides(spark):
     cases = [("good", 97.0, 95.0), ("mean", 96.99, 99.0), ("low", 99.0, 94.99)]
     df = spark.createDataFrame(cases, "item string, mean double, low_percentile double")
