@@ -10,7 +10,7 @@ from slimlake.operators.decide import is_video, kind_of, reservation_mib
 from slimlake.operators.ledger import is_completed
 from slimlake.operators.ordered import carry_last, follow, ranked, running
 from slimlake.operators.scope import EVERYTHING, Scope
-from slimlake.session import cut
+from slimlake.session import cut, written
 
 # Every order ends in the path, so it is total and a limit repeats.
 ORDERS = {
@@ -146,7 +146,9 @@ def reclaim_when_low(
 
     The headroom after a purge depends only on where it falls, and so does the place of
     the next one. All these places are found at once, by meeting the running sum of
-    uploads with the sums at which it is too much; then the walk over them is followed.
+    uploads with the sums at which it is too much; then the walk over them is followed. It
+    ends at the first row that would not fit even right after a purge: rows from there on
+    wait, wherever the last purge was.
     """
     capacity = capacity_mib(free_bytes, reserve_bytes)
 
@@ -167,6 +169,11 @@ def reclaim_when_low(
         (F.col("_spent") - F.col("_up")).alias("spent"),
         (F.col("_replaced") - F.col("_old")).alias("back"),
     )
+    # Without negative sizes no purge gives back more than one just before the row.
+    most = F.lit(capacity) - F.col("_spent") + in_mib(F.col("_replaced") - F.col("_old"))
+    full, least = placed.agg(F.min(F.when(most < 0, F.col("_at"))), F.min("_old")).first()
+    if full is not None and least >= 0:
+        found = found.where(F.col("no") <= full)
     start = placed.sparkSession.createDataFrame([(0, 0, 0)], "no long, spent long, back long")
     enough = (F.lit(capacity - floor_mib) + in_mib(F.col("back"))).cast("long")
     # Backwards along the sums, the row last seen is the first one that has spent more.
@@ -176,7 +183,7 @@ def reclaim_when_low(
     hops = met.where("kind = 0 AND first_low IS NOT NULL").select(
         F.col("no").alias("place"), F.greatest("first_low", F.col("no") + 1).alias("next")
     )
-    purges = follow(cut(hops), 0).select(F.col("at").alias("_at"), F.lit(True).alias("_purged"))
+    purges = follow(written(hops, "purge-hops"), 0).select(F.col("at").alias("_at"), F.lit(True).alias("_purged"))
     marked = placed.join(purges, "_at", "left").withColumn(
         "_back", F.when(F.col("_purged"), F.col("_replaced") - F.col("_old"))
     )
