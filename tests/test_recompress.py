@@ -374,3 +374,11 @@ def test_score_log_drops_unusable_frames(spark):
 def test_quota_fields_are_optional(spark):
     df = spark.createDataFrame([('{"total":5,"free":2,"x":1}',), ("{}",)], "q string")
     assert rows(df.select(listing.parse_quota("q").alias("q")).select("q.*")) == [(5, None, 2, None), (None,) * 4]
+
+
+def test_a_reshuffle_has_no_fixed_number_of_tasks(spark):
+    from slimlake import catalog
+
+    found = catalog.queries()["V1_fingerprint"](spark, "/root/testdata/sf0.001")
+    assert "RebalancePartitions" in found._jdf.queryExecution().toString()
+    assert [tuple(r)[1:] for r in found.collect()] == [(True, True, True)]
