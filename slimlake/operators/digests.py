@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slimlake.operators.ordered import ranked
+from slimlake.session import cut
 
 # Hashes joined into one digest at each level; three levels reach 6.8e10 positions.
 SPAN = 4_096
@@ -182,6 +183,26 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _has_map(kind.elementType))
+
+
+def _bucket(df: DataFrame, buckets: int) -> Column:
+    """The bucket of a row, from the plain hash of its values: no digest is needed to find it.
+
+    Values that hold maps have no plain hash; such tables take their digest's.
+    """
+    if buckets == 1:
+        return F.lit(0)
+    inner = [f.dataType.valueType if isinstance(f.dataType, T.MapType) else f.dataType for f in df.schema.fields]
+    mapped = any(_has_map(kind) for kind in inner)
+    hashed = F.xxhash64(F.lit(0), row_digest(df)) if mapped else row_hash(df)
+    # Never null, which a join would test by hashing again.
+    return F.coalesce(F.pmod(hashed, F.lit(buckets)).cast("int"), F.lit(0))
+
+
 def proof_tree(df: DataFrame, by: list[str] = (), buckets: int = 256) -> DataFrame:
     """Sums over the digests of all rows, per group of ``by`` and hash bucket.
 
@@ -191,12 +212,11 @@ def proof_tree(df: DataFrame, by: list[str] = (), buckets: int = 256) -> DataFra
     aggregation leaves ``buckets`` rows per group and task to shuffle.
     """
     hashes = [F.xxhash64(F.lit(k), "_d") for k in range(4)]
-    digests = df.select(*by, row_digest(df).alias("_d")).select(
-        *by, *[h.alias(f"_h{k}") for k, h in enumerate(hashes)]
+    digests = df.select(*by, _bucket(df, buckets).alias("bucket"), row_digest(df).alias("_d")).select(
+        *by, "bucket", *[h.alias(f"_h{k}") for k, h in enumerate(hashes)]
     )
     halves = [half for k in range(4) for half in (F.shiftrightunsigned(f"_h{k}", 32), F.col(f"_h{k}").bitwiseAND(F.lit(_HALF)))]
-    bucket = F.pmod("_h0", F.lit(buckets)).cast("int").alias("bucket")
-    return digests.groupBy(*by, bucket).agg(
+    return digests.groupBy(*by, "bucket").agg(
         F.count("*").alias("rows"), *[F.sum(half).alias(f"sum{k}") for k, half in enumerate(halves)]
     )
 
@@ -228,12 +248,11 @@ def localised_difference(left: DataFrame, right: DataFrame, buckets: int = 256)
     Tables that agree are read once and no row of theirs is shuffled.
     """
     differ = differing_parts(proof_tree(left, buckets=buckets), proof_tree(right, buckets=buckets))
-    # At most one row per bucket.
-    wanted = F.broadcast(differ)
+    # At most one row per bucket, written once: both sides ask for it.
+    wanted = F.broadcast(cut(differ))
 
     def part(df: DataFrame) -> DataFrame:
-        place = F.pmod(F.xxhash64(F.lit(0), row_digest(df)), F.lit(buckets)).cast("int")
-        return df.withColumn("bucket", place).join(wanted, "bucket", "left_semi").select(*df.columns)
+        return df.withColumn("bucket", _bucket(df, buckets)).join(wanted, "bucket", "left_semi").select(*df.columns)
 
     return multiset_difference(part(left), part(right))
 

@@ -376,6 +376,13 @@ def test_quota_fields_are_optional(spark):
     assert rows(df.select(listing.parse_quota("q").alias("q")).select("q.*")) == [(5, None, 2, None), (None,) * 4]
 
 
+def test_rows_of_differing_buckets_are_found_without_digests(spark, numbered):
+    found = digests.localised_difference(numbered, numbered.where("id <> 500"), buckets=16)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 0
+    nested = spark.sql("SELECT id, array(map('a', id)) AS m FROM range(50)")
+    assert digests.proof_tree(nested).agg({"rows": "sum"}).first()[0] == 50
+
+
 def test_a_reshuffle_has_no_fixed_number_of_tasks(spark):
     from slimlake import catalog
 
