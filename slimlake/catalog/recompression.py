@@ -150,7 +150,7 @@ def swapped_in_place(t: Tables):
     done = recompress.recompress(table, DENSE)
     if done.outcome != "converted":
         raise RuntimeError(f"expected a conversion, got {done}")
-    folder = F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)/[^/]+$", 1)
+    folder = recompress.folders_of("_metadata.file_path", 2)
     return table.read().withColumn("place", folder).select(*t.lineitem.columns, "place")
 
 

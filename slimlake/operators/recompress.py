@@ -71,6 +71,15 @@ def partition_columns(spark: SparkSession, path: str) -> list[str]:
     return [name.split("=", 1)[0] for name in folders if "=" in name]
 
 
+def folders_of(path: str, levels: int) -> Column:
+    """The ``levels`` innermost folders of a file's path.
+
+    Slashes are counted from the end. A pattern sought from the front would try the rest
+    of the path from each of its characters, for every row of the file.
+    """
+    return F.substring_index(F.substring_index(path, "/", -(levels + 1)), "/", levels)
+
+
 def rewrite(df: DataFrame, path: str, setting: Setting, partition_by: list[str] = ()) -> None:
     """Write ``df`` densely. Sorting stays inside partitions, so nothing shuffles.
 

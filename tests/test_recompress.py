@@ -389,3 +389,13 @@ def test_a_reshuffle_has_no_fixed_number_of_tasks(spark):
     found = catalog.queries()["V1_fingerprint"](spark, "/root/testdata/sf0.001")
     assert "RebalancePartitions" in found._jdf.queryExecution().toString()
     assert [tuple(r)[1:] for r in found.collect()] == [(True, True, True)]
+
+
+def test_folders_are_cut_without_a_pattern(spark):
+    from slimlake import catalog
+
+    paths = spark.createDataFrame([("file:/t/a=1/b=x%2Fy/part-0.c000.parquet",)], "p string")
+    assert rows(paths.select(recompress.folders_of("p", 2))) == [("a=1/b=x%2Fy",)]
+    found = catalog.queries()["V6_partitioned_swap"](spark, "/root/testdata/sf0.001")
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.where("place <> concat('l_linestatus=', l_linestatus, '/l_returnflag=', l_returnflag)").isEmpty()
