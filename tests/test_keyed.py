@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 
+import pandas as pd
 import pytest
 
 from slimlake.operators import progress
@@ -84,3 +85,27 @@ def test_nothing_to_tell(spark, place, lines):
     keyed.progress_blocks(stream, f"{place}/out", f"{place}/cp").awaitTermination()
     assert spark.read.schema(keyed.BLOCKS).parquet(f"{place}/out").count() == 0
 
+
+
+def test_one_call_takes_the_lines_of_many_jobs():
+    asked, kept = [], {("b",): (7, 2.0), ("other",): (1, 1.0)}
+
+    class Values:
+        def getValue(self, key):
+            asked.append(key)
+            return kept.get(key)
+
+        def updateValue(self, key, value):
+            kept[key] = value
+
+    lines = [("b", 4, False, False, 0, True, 3.0), ("a", 2, True, False, 0, False, 0.0), ("b", 3, True, False, 0, False, 0.0),
+             ("a", 1, False, True, 5, False, 0.0), ("b", 5, True, False, 0, False, 0.0), ("c", 1, True, False, 0, False, 0.0)]
+    columns = ["job", "seq", "ends_block", "sets_time", "time", "sets_speed", "speed"]
+    blocks = keyed.Blocks()
+    blocks.state = Values()
+    parts = iter([pd.DataFrame(lines[:4], columns=columns), pd.DataFrame(lines[4:], columns=columns)])
+    found = pd.concat(blocks.handleInputRows((0,), parts, None))
+    want = [("a", 2, 5, 0.0), ("b", 3, 7, 2.0), ("b", 5, 7, 3.0), ("c", 1, 0, 0.0)]
+    assert sorted(found.itertuples(index=False, name=None)) == want
+    assert sorted(asked) == [("a",), ("b",), ("c",)]
+    assert kept == {("a",): (5, 0.0), ("b",): (7, 3.0), ("other",): (1, 1.0)}
