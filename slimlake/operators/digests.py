@@ -108,11 +108,22 @@ def _encoded(field: T.StructField) -> Column:
     return value.cast("string")
 
 
+#: Types whose text never holds a comma, so it needs no length before it.
+_PLAIN = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def row_digest(df: DataFrame) -> Column:
-    """SHA-256 of the whole row: each value's text behind its length, or a mark for null."""
-    texts = [_encoded(f) for f in df.schema.fields]
-    parts = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("n")) for x in texts]
-    return F.unhex(F.sha2(F.concat(*parts), 256))
+    """SHA-256 of the whole row: the values' texts between commas, or a mark for null.
+
+    Texts that may hold a comma stand behind their length.
+    """
+    parts = []
+    for field in df.schema.fields:
+        text = _encoded(field)
+        if not isinstance(field.dataType, _PLAIN):
+            text = F.concat(F.length(text).cast("string"), F.lit(":"), text)
+        parts.append(F.coalesce(text, F.lit("n")))
+    return F.unhex(F.sha2(F.concat_ws(",", *parts), 256))
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> bool:

@@ -399,3 +399,28 @@ def test_folders_are_cut_without_a_pattern(spark):
     found = catalog.queries()["V6_partitioned_swap"](spark, "/root/testdata/sf0.001")
     assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.where("place <> concat('l_linestatus=', l_linestatus, '/l_returnflag=', l_returnflag)").isEmpty()
+
+
+def test_another_length_is_told_without_digests(spark, numbered, monkeypatch):
+    known = {True: digests.take_proof(numbered), False: digests.take_fingerprint(numbered)}
+
+    def refuse(df):
+        raise AssertionError("rows were digested")
+
+    monkeypatch.setattr(digests, "take_proof", refuse)
+    monkeypatch.setattr(digests, "take_fingerprint", refuse)
+    for strict in (True, False):
+        for name in ("lost", "twice"):
+            assert recompress.verify(numbered, damaged(numbered)[name], known[strict], strict) is None
+
+
+def test_commas_and_marks_in_texts_are_told_apart(spark):
+    schema = "a string, i int, b string, d double"
+    data = [
+        ("x,1", 2, "y", 1.0), ("x", 1, "2,y", 1.0), ("x", 12, "y", 1.0), ("1:x", 2, "y", 1.0), ("n", None, None, None),
+        (None, None, "n", None), (None, None, "", None), (None, 1, None, float("nan")), (None, 1, None, None), ("", 1, None, None),
+    ]
+    df = spark.createDataFrame(data, schema)
+    assert df.select(digests.row_digest(df).alias("d")).distinct().count() == len(data)
+    plan = df.select(digests.row_digest(df.select("i", "d")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(" not in plan
