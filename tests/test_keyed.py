@@ -108,4 +108,12 @@ def test_one_call_takes_the_lines_of_many_jobs():
     want = [("a", 2, 5, 0.0), ("b", 3, 7, 2.0), ("b", 5, 7, 3.0), ("c", 1, 0, 0.0)]
     assert sorted(found.itertuples(index=False, name=None)) == want
     assert sorted(asked) == [("a",), ("b",), ("c",)]
-    assert kept == {("a",): (5, 0.0), ("b",): (7, 3.0), ("other",): (1, 1.0)}
+    assert kept == {("a",): (5, 0.0), ("b",): (7, 3.0), ("c",): (0, 0.0), ("other",): (1, 1.0)}
+
+
+def test_values_in_force_are_read_as_a_table(spark, place):
+    lines = [("a", 1, "out_time_us=5"), ("b", 2, "progress=end"), ("a", 3, "speed=2x"), ("q", 4, "noise")]
+    append(spark, f"{place}/in", lines, "job string, seq long, line string")
+    stream = jobs.read_stream(spark, f"{place}/in", spark.read.parquet(f"{place}/in").schema)
+    keyed.progress_blocks(stream, f"{place}/out", f"{place}/cp", buckets=2).awaitTermination()
+    assert rows(keyed.read_state(spark, f"{place}/cp")) == [("a", 5, 2.0), ("b", 0, 0.0)]
